@@ -5,9 +5,8 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import contextlib
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,45 +14,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from strandframe.sources.shared import discard, fresh_path, shared_dir, stash
+
+__all__ = ["WordCachedEncoder", "discard", "encoder", "fresh_path", "shared_dir", "slices", "stash", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark only, so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a local one that is set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            found = known.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="strandframe-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of the shared store that nothing reads any more."""
-    jvm = spark._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most_bytes`` a slice, one row at least."""
     for batch in batches:
@@ -77,27 +47,67 @@ class WordCachedEncoder:
     The memory is bounded: it is emptied at ``most`` chunks.
     """
 
-    def __init__(self, path: str, drops_space: bool, most: int = 600_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, drops_space: bool, most: int = 300_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.drops_space, self.most = drops_space, most
-        self.stops = (",", ".")
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, many in one text, told apart by a separator that is always tokens of its own."""
-        ends = {c: c[:-1] for c in chunks if c[-1:] in self.stops and c[:-1].isalpha()}
-        if ends:  # a letter run and the stop behind it are words of their own
-            stops = {k: self._ids(k).tobytes() for k in self.stops}
-            more = {stem for stem in ends.values() if stem not in self.known}
-            chunks = [c for c in {*chunks, *more} if c not in ends]
+        self._plain = Tokenizer(self.model.model)
+        self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._edges = np.zeros(1 << 16, dtype=bool)
+        for token, i in self.model.get_vocab().items():
+            self._edges[i] = token.endswith("</w>") if drops_space else token.startswith("\u0120")
+        self._line = b"" if drops_space else self._ids("\n").tobytes()
+        self._stops = {k: self._ids(k).tobytes() for k in (",", ".")}
+
+    def _stem(self, stem: str) -> str | None:
+        """A run of Latin letters as the model spells it; None: it is no such run."""
+        if not stem.isalpha():
+            return None
+        if not stem.isascii():
+            if max(stem) > "\u024f":
+                return None
+            stem = stem.lower() if self.drops_space else stem
+            return stem.encode().decode("latin-1").translate(_BYTE_CHARS) if stem.isalpha() else None
+        return stem.lower() if self.drops_space else stem
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks.
+
+        Runs of letters, with a stop behind them or not, are words for the model as they are: they go to
+        a copy of the tokenizer that only splits at blanks, and the marks of a word's begin or end in the
+        vocabulary tell its ids apart. Other chunks go to the whole tokenizer, many in one text, told
+        apart by a separator that is always tokens of its own.
+        """
+        new, rest, line = self.known, [], self._line
+        words: list[str] = []
+        names: list[tuple[str, bytes]] = []
+        for c in chunks:
+            stop = self._stops.get(c[-1], b"")
+            stem = self._stem(c[:-1] if stop else c)
+            if stem is None:
+                rest.append(c)
+            else:
+                words.append(stem)
+                names.append((c, stop))
+        for start in range(0, len(words), 2000):
+            part = words[start : start + 2000]
+            text = " ".join(part) if self.drops_space else "\u0120" + " \u0120".join(part)
+            ids = np.array(self._plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+            edge = np.flatnonzero(self._edges[ids])
+            ends = (edge + 1 if self.drops_space else np.append(edge[1:], len(ids))).tolist()
+            assert len(ends) == len(part)
+            raw, before = ids.tobytes(), 0
+            for (c, stop), end in zip(names[start : start + 2000], ends, strict=True):
+                new[c] = raw[2 * before : 2 * end] + stop
+                before = end
         apart = " \ue000 " if self.drops_space else "\n"
         mark = self._ids(apart)
         for kind in (False, True):  # chunks behind a blank, chunks behind a newline
-            group = [c for c in chunks if (c[:1] == "\n") == kind and "\ue000" not in c]
+            group = [c for c in rest if (c[:1] == "\n") == kind and "\ue000" not in c]
             for start in range(0, len(group), 2000):
                 part = group[start : start + 2000]
                 heads = part if self.drops_space else [c[1:] for c in part] if kind else [" " + c for c in part]
@@ -106,21 +116,19 @@ class WordCachedEncoder:
                 for k in range(1, len(mark)):
                     hit = hit & (ids[k : len(ids) - len(mark) + 1 + k] == mark[k])
                 at = np.flatnonzero(hit).tolist()
-                if len(at) != len(part) - 1 or (kind and self.drops_space):
+                prefix = line if kind else b""
+                if len(at) != len(part) - 1:
                     for c, head in zip(part, heads, strict=True):
-                        self.known[c] = (mark.tobytes() if kind else b"") + self._ids(head).tobytes()
+                        new[c] = prefix + self._ids(head).tobytes()
                     continue
                 raw, width, before = ids.tobytes(), len(mark), 0
-                prefix = mark.tobytes() if kind else b""
                 for c, end in zip(part, [*at, len(ids)], strict=True):
-                    self.known[c] = prefix + raw[2 * before : 2 * end]
+                    new[c] = prefix + raw[2 * before : 2 * end]
                     before = end + width
-        for c in chunks:
+        for c in rest:
             if "\ue000" in c:
-                head = c if self.drops_space or c[0] == "\n" else " " + c
-                self.known[c] = self._ids(head).tobytes()
-        for c, stem in ends.items():
-            self.known[c] = self.known[stem] + stops[c[-1]]
+                new[c] = self._ids(c if self.drops_space or c[0] == "\n" else " " + c).tobytes()
+        return new
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
@@ -142,26 +150,35 @@ class WordCachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of every text."""
-        split = [self._chunks(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        get = self.known.get
+        found: list[tuple[bytes, list, list] | None] = []
         unknown: set[str] = set()
-        for s in split:
-            if s is not None:
-                unknown.update(s[1])
-        unknown.difference_update(self.known)
-        if unknown:
-            if len(self.known) + len(unknown) > self.most:
-                self.known.clear()
-                unknown = {c for s in split if s is not None for c in s[1]}
-            self._learn(list(unknown))
-        known = self.known.__getitem__
-        out = []
-        for text, s in zip(texts, split, strict=True):
+        for text in texts:
+            s = self._chunks(text)
             if s is None:
-                out.append(self._whole(text) if text else b"")
-            else:
-                out.append((self._whole(s[0]) if s[0] else b"") + b"".join(map(known, s[1])))
-        return out
+                found.append((self._whole(text) if text else b"", [], []))
+                continue
+            ids = list(map(get, s[1]))
+            gaps, at = [], -1
+            with contextlib.suppress(ValueError):
+                while True:
+                    at = ids.index(None, at + 1)
+                    gaps.append((at, s[1][at]))
+            unknown.update(c for _, c in gaps)
+            found.append((self._whole(s[0]) if s[0] else b"", ids, gaps))
+        if unknown:
+            learned = self._learn(list(unknown))
+            for _, ids, gaps in found:
+                for i, c in gaps:
+                    ids[i] = learned[c]
+        return [head + b"".join(ids) for head, ids, _ in found]
+
 
+#: Byte to printable character, as byte-level vocabularies write it: printable Latin-1 stays, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 _ENCODERS: dict[tuple, WordCachedEncoder] = {}
 

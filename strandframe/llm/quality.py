@@ -90,6 +90,19 @@ def assess(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_words", "removed_words", "base_failed", kept.alias("kept"))
 
 
+def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, kept_percent: int = KEPT_PERCENT) -> DataFrame:
+    """The kept documents, all columns as they are. Base rules are a filter on the scan; only the depleted
+    (host, text) pairs, found from hashes, are joined against the texts."""
+    names = docs.columns
+    passed = base_metrics(docs.select(F.struct(*names).alias("_row"), "text")).where(~F.col("base_failed"))
+    keyed = passed.select("_row", F.coalesce("_row.source", F.lit("")).alias("_host"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_text_hash"))
+    words = line_structs(docs.select("text", "source")).select("host", "text_hash", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.words).alias("line_words"))
+    gone = depleted_words(docs.select("text", "source"), min_docs, share_percent)
+    depleted = words.dropDuplicates(["host", "text_hash"]).join(gone, ["host", "text_hash"]).where(100 * (F.col("line_words") - F.col("removed_words")) < kept_percent * F.col("line_words"))
+    bad = depleted.select(F.col("host").alias("_host"), F.col("text_hash").alias("_text_hash"))
+    return keyed.join(bad, ["_host", "_text_hash"], "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in names])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))
 
