@@ -94,7 +94,9 @@ def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHA
     """The kept documents, all columns as they are. Base rules are a filter on the scan; only the depleted
     (host, text) pairs, found from hashes, are joined against the texts."""
     names = docs.columns
-    passed = base_metrics(docs.select(F.struct(*names).alias("_row"), "text")).where(~F.col("base_failed"))
+    judged = base_metrics(docs.select(F.struct(*names).alias("_row"), "text"))
+    # Behind a generator: a filter on the projections themselves would be pushed into them, and their arrays computed again for every element.
+    passed = judged.select("_row", F.explode(F.array("base_failed")).alias("_failed")).where(~F.col("_failed"))
     keyed = passed.select("_row", F.coalesce("_row.source", F.lit("")).alias("_host"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_text_hash"))
     words = line_structs(docs.select("text", "source")).select("host", "text_hash", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.words).alias("line_words"))
     gone = depleted_words(docs.select("text", "source"), min_docs, share_percent)
