@@ -8,12 +8,14 @@
    value) pair flips one of ``BITS`` bits, so two sketches' XOR holds the samples that differ, and its
    population count estimates a high similarity far more precisely than the samples' agreement could
    in the same space.
-3. Round one compares each member of a band bucket with the bucket's smallest member only. Then only
-   buckets whose members are not yet of one component go on; there sketches are compared in blocks of
-   bounded size: first each text with its most similar partner of another component, round by round
-   while components merge; finally every pair of different components that the sketches let pass. So
-   links are never lost to a cap, while pairs inside a known component are never made.
-4. A pair that passes is confirmed on both full shingle sets, from the texts.
+3. Round one compares each member of a band bucket with the bucket's smallest member only, and confirms
+   what the sketches let pass on both full shingle sets, from the texts.
+4. Only buckets whose members are not yet of one component go on. They are cut into blocks of bounded
+   size; each pair of blocks is compared inside one task, sketches first, then full sets, for pairs of
+   different components. All of those are decided, but only links that join components come out, so no
+   list of pairs exists anywhere, and no link is lost to a cap. The work of this round grows with the
+   square of the largest family that is similar enough to share buckets, yet not linked to its smallest
+   member; the sketches make it 16 words a pair.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; fewer than five
 words are one shingle; rows that share a doc_id count as one document in links and keep a row each; a
@@ -25,14 +27,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import discard, slices, stash, table
+from strandframe.llm.common import slices, stash, table
 from strandframe.operators.components import connected_components
 
 WORDS = 5
@@ -41,8 +42,7 @@ SAMPLES, BITS = BANDS * ROWS, 1024
 #: Most bits in which sketches of linked texts may differ: similarity 0.75 gives about 60, and 112 lies more than five deviations away.
 ODD_LIMIT = 112
 #: Members of a block; a task compares two blocks at a time.
-BLOCK = 512
-BEST_ROUNDS = 4
+BLOCK = 256
 
 U = np.uint64
 
@@ -133,13 +133,13 @@ def odd_similarity(a: bytes, b: bytes) -> float:
     return max(0.0, 1 - float(np.log(1 - 2 * z / BITS) / np.log(1 - 2 / BITS)) / 2 / SAMPLES)
 
 
-FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, marks binary, sketch binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, marks, sketch = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
@@ -147,14 +147,16 @@ def features(docs: DataFrame) -> DataFrame:
                     sig = minhash(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(sig))
+                    marks.append(bands[-1].astype(np.uint32).tobytes())
                     sketch.append(odd_sketch(sig))
                 else:
                     digest.append(None)
                     bands.append(None)
+                    marks.append(None)
                     sketch.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "bands", "marks", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, FEATURES)
@@ -193,66 +195,125 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, every: bool) -> DataFrame:
-    """Pairs of different labels within the buckets of ``members(key, n_members, doc_id, label, n, sketch)``.
+KEYS = ["key", "i", "j"]
+GROUPED = "key long, i int, j int, band int, own int, doc_id long, label long, n long, sketch binary, marks binary"
 
-    A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of blocks is a group, so
-    no group holds more than two blocks. ``every``: all pairs that pass; else each member's closest.
-    """
+
+def grouped(members: DataFrame) -> DataFrame:
+    """Buckets cut into blocks of about ``BLOCK`` members; each pair of blocks (and each block) is a group of its own."""
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     m = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n", "sketch")
-    dealt = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compared(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        ids, labels, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (4, 5, 6))
-        side = np.array([r[3] for r in rows]) == i
-        sk = np.frombuffer(b"".join(r[7] for r in rows), dtype=U).reshape(-1, BITS // 64)
-        left = np.arange(len(rows)) if i == j else np.flatnonzero(side)
-        right = left if i == j else np.flatnonzero(~side)
-        out: list[tuple[int, int]] = []
-        if not len(left) or not len(right):
-            return out
-        best_right = np.full(len(right), ODD_LIMIT + 1)
-        best_from = np.zeros(len(right), dtype=np.int64)
-        for at in range(0, len(left), 64):
-            l = left[at : at + 64]  # noqa: E741
-            far = np.bitwise_count(sk[l][:, None, :] ^ sk[right][None, :, :]).sum(axis=2)
-            small, large = np.minimum(n[l][:, None], n[right][None, :]), np.maximum(n[l][:, None], n[right][None, :])
-            far = np.where((labels[l][:, None] != labels[right][None, :]) & (4 * small >= 3 * large), far, ODD_LIMIT + 1)
-            if every:
-                x, y = np.nonzero(far <= ODD_LIMIT)
-                out.extend((int(min(p, q)), int(max(p, q))) for p, q in zip(ids[l[x]], ids[right[y]], strict=True))
-                continue
-            y = far.argmin(axis=1)
-            ok = far[np.arange(len(l)), y] <= ODD_LIMIT
-            out.extend((int(min(p, q)), int(max(p, q))) for p, q in zip(ids[l[ok]], ids[right[y[ok]]], strict=True))
-            least = far.min(axis=0)
-            better = least < best_right
-            best_right[better], best_from[better] = least[better], l[far.argmin(axis=0)[better]]
-        if not every:
-            ok = best_right <= ODD_LIMIT
-            out.extend((int(min(p, q)), int(max(p, q))) for p, q in zip(ids[best_from[ok]], ids[right[ok]], strict=True))
-        return list(dict.fromkeys(out))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    yield from sent(compared(held))
-                    held = []
-                held.append(r)
-        if held:
-            yield from sent(compared(held))
+    return m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "doc_id", "label", "n", "sketch", "marks")
+
+
+def candidates(rows: list[tuple]) -> np.ndarray:
+    """Index pairs of a group's rows that may be linked: labels differ, sizes and sketches allow it, and no
+    earlier band holds both (which would compare them there)."""
+    i, j, band = rows[0][1], rows[0][2], rows[0][3]
+    ids, labels, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (5, 6, 7))
+    sk = np.frombuffer(b"".join(r[8] for r in rows), dtype=U).reshape(-1, BITS // 64)
+    marks = np.frombuffer(b"".join(r[9] for r in rows), dtype=np.uint32).reshape(-1, BANDS)[:, :band]
+    side = np.array([r[4] for r in rows]) == i
+    left = np.arange(len(rows)) if i == j else np.flatnonzero(side)
+    right = left if i == j else np.flatnonzero(~side)
+    out = []
+    for at in range(0, len(left), 64):
+        l = left[at : at + 64]  # noqa: E741
+        ok = (labels[l][:, None] != labels[right][None, :]) & (4 * np.minimum(n[l][:, None], n[right][None, :]) >= 3 * np.maximum(n[l][:, None], n[right][None, :]))
+        if i == j:
+            ok &= ids[l][:, None] < ids[right][None, :]
+        x, y = np.nonzero(ok)
+        for part in range(0, len(x), 1 << 15):
+            p, q = l[x[part : part + (1 << 15)]], right[y[part : part + (1 << 15)]]
+            near = np.bitwise_count(sk[p] ^ sk[q]).sum(axis=1) <= ODD_LIMIT
+            p, q = p[near], q[near]
+            new = ~(marks[p] == marks[q]).any(axis=1)
+            out.append(np.stack([p[new], q[new]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """A partition's rows, sorted by their first three columns, group by group."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != r[:3]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def shared_counts(sets: dict[int, np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Intersection sizes of many pairs; many at once by products of incidence matrices, a range of shingles at a time."""
+    if len(pairs) < 500:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in pairs.tolist()], dtype=np.int64)
+    rows = np.unique(pairs)
+    at = {int(r): k for k, r in enumerate(rows)}
+    every, column = np.unique(np.concatenate([sets[int(r)] for r in rows]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(sets[int(r)]) for r in rows])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(rows), len(rows)), dtype=np.float32)
+    for start in range(0, len(every), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        m = np.zeros((len(rows), min(4096, len(every) - start)), dtype=np.float32)
+        m[row[a:b], column[a:b] - start] = 1
+        counts += m @ m.T
+    index = np.array([[at[int(p)], at[int(q)]] for p, q in pairs])
+    return counts[index[:, 0], index[:, 1]].astype(np.int64)
+
+
+def forest(rows: list[tuple], pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Of confirmed pairs, those that join two components of the group."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for p, q in pairs.tolist():
+        a, b = find(rows[p][6]), find(rows[q][6])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((rows[p][5], rows[q][5]))
+    return out
 
-    def sent(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def cross_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels within buckets: all of them are decided, those of a forest come out.
+
+    First the sketches tell which rows of a group have a candidate at all; only those get their texts.
+    Each pair is decided in the first band that holds both, inside the group, so no pair is a row.
+    """
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_groups(batches):
+            kept = [rows[k] for k in np.unique(candidates(rows))]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), KINDS, strict=True)], names=NAMES)
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_groups(batches):
+            pairs = candidates(rows)
+            sets = {int(k): shingles(rows[k][10]) for k in np.unique(pairs)}
+            both = shared_counts(sets, pairs)
+            sizes = {k: len(v) for k, v in sets.items()}
+            total = np.array([sizes[p] + sizes[q] for p, q in pairs.tolist()], dtype=np.int64)
+            found = forest(rows, pairs[100 * both >= percent * (total - both)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    NAMES = ["key", "i", "j", "band", "own", "doc_id", "label", "n", "sketch", "marks"]
+    KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    sifted, _ = stash(grouped(members).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(having, GROUPED), "neardup-groups")
+    whole = sifted.join(texts, "doc_id").select(*NAMES, "text")
+    return whole.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(decided, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -260,47 +321,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     feats, _ = stash(features(docs), "neardup-features")
     usable = feats.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch", "marks", "bands"))
     reps, _ = stash(usable.groupBy("digest").agg(one.alias("r")).select("digest", "r.*"), "neardup-classes")
-    known = reps.select("doc_id", "n", "sketch")
+    known = reps.select("doc_id", "n", "sketch", "marks")
 
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n_members")).where("n_members > 1")
-    members, _ = stash(keyed.join(buckets, "key").select("key", "n_members", "pivot", "doc_id"), "neardup-buckets")
+    members, _ = stash(keyed.join(buckets, "key").select("key", "band", "n_members", "pivot", "doc_id"), "neardup-buckets")
     wanted = members.select("doc_id").distinct()
     texts, _ = stash(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id"), "neardup-texts")
 
     star = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested, _ = stash(sift(star, known), "neardup-pairs")
-    links, _ = stash(confirm(tested, texts, percent), "neardup-links")
-    all_tested, all_links = [tested], [links]
-
-    def labelled() -> DataFrame:
-        return connected_components(reduce(DataFrame.unionAll, all_links))
-
-    labels = labelled() if links.limit(1).count() else None
-    turn, stalled = 0, False
-    while True:
-        every = stalled or turn == BEST_ROUNDS
-        rows = members.select("key", "n_members", "doc_id")
-        if labels is None:
-            rows = rows.withColumn("label", F.col("doc_id"))
-        else:
-            rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        rows, rows_path = stash(rows, "neardup-labels")
-        unsettled = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rows = rows.join(unsettled, "key").join(known, "doc_id")
-        pairs, _ = stash(cross_pairs(rows, every).join(reduce(DataFrame.unionAll, all_tested), ["a", "b"], "left_anti"), "neardup-pairs")
-        discard(spark, rows_path)
-        found, _ = stash(confirm(pairs, texts, percent), "neardup-links")
-        all_tested.append(pairs)
-        stalled = not found.limit(1).count()
-        if not stalled:
-            all_links.append(found)
-            labels = labelled()
-        if every:
-            break
-        turn += 1
+    links, _ = stash(confirm(sift(star, known), texts, percent), "neardup-links")
+    labels = connected_components(links) if links.limit(1).count() else None
+    rows = members.select("key", "band", "n_members", "doc_id")
+    if labels is None:
+        rows = rows.withColumn("label", F.col("doc_id"))
+    else:
+        rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    rows, _ = stash(rows, "neardup-labels")
+    unsettled = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rows = rows.join(unsettled, "key").join(known, "doc_id")
+    found, _ = stash(cross_links(rows, texts, percent), "neardup-links")
+    if found.limit(1).count():
+        labels = connected_components(links.unionAll(found))
     classes = reps.select("digest", "doc_id")
     if labels is None:
         classes = classes.withColumn("component_id", F.col("doc_id"))
