@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
     """One row per piece of every document, with the checksum of its ids as 32-bit little-endian integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end, row = encoder(tokenizer, drops_space=True), np.array([end_id], dtype="<u4").tobytes(), 0
+        model, end, row = encoder(tokenizer, drops_space=True, most=1_500_000), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in slices(batches, "text"):
             out: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
