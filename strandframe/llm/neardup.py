@@ -42,7 +42,7 @@ SAMPLES, BITS = BANDS * ROWS, 1024
 #: Most bits in which sketches of linked texts may differ: similarity 0.75 gives about 60, and 112 lies more than five deviations away.
 ODD_LIMIT = 112
 #: Members of a block; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 512
 
 U = np.uint64
 
