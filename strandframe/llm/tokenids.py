@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import encoder, fresh_path, slices, table
+from strandframe.llm.common import encoder, fresh_path, slices, stash, table
 
 MAGIC, VERSION = b"EFTK", 1
 HEAD = struct.Struct("<4sIQ")
@@ -180,41 +180,33 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segme
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (among all files' ids), n_tokens and the ids' checksum, from the files alone.
 
-    The ids before each partition's file come from the blobs' heads: a row per partition of the
-    writer, so the table that is broadcast has as many rows as there are files.
+    The files are read once. A file is one partition of the writer, whole and in order, so what lies before
+    each file is summed from one number per file; the table of offsets that is broadcast has a row per
+    file of the writer.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("content").to_pylist():
-                found = [(s.partition, s.segment, s.n_ids) for s in segments(raw, heads_only=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 3)], names=["part", "segment", "n_ids"])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
+                before = 0
                 for s in segments(raw):
                     ends = s.bounds.all()
                     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                    wide = s.ids.astype("<u4").tobytes()
-                    sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    sums = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(s.n_docs, s.partition)), pa.array(np.full(s.n_docs, s.segment)), pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(starts), pa.array(ends - starts), pa.array(sums, pa.int64())],
-                        names=["part", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
+                        [pa.array(np.full(s.n_docs, s.partition)), pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(starts + before), pa.array(ends - starts), pa.array(sums, pa.int64())],
+                        names=["part", "doc_id", "local", "n_tokens", "ids_crc32"],
                     )
-
-    kind = "part long, segment long, doc_id long, local long, n_tokens long, ids_crc32 long"
-    found = sorted((r.part, r.segment, r.n_ids) for r in files.mapInArrow(heads, "part long, segment long, n_ids long").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.max("segment").alias("segment")).collect())
-    before, base = 0, {}
-    for part, _, n in found:
-        base[part] = before
-        before += n
-    offsets = spark.createDataFrame(list(base.items()) or [(0, 0)], "part long, base long")
-    docs = files.mapInArrow(rows, kind)
-    within = files.mapInArrow(heads, "part long, segment long, n_ids long").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("segment", "n_ids"))).alias("all")).select("part", F.posexplode("all").alias("at", "s"), "all").select("part", F.col("s.segment").alias("segment"), F.aggregate(F.slice("all", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda acc, x: acc + x.n_ids).alias("inner"))
-    bases = within.join(F.broadcast(offsets), "part").select("part", "segment", (F.col("base") + F.col("inner")).alias("before"))
-    return docs.join(bases, ["part", "segment"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+                    before += s.n_ids
+
+    docs, _ = stash(files.mapInArrow(rows, "part long, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-rows")
+    before, base = 0, []
+    for r in sorted(docs.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        base.append((r.part, before))
+        before += r.n
+    offsets = spark.createDataFrame(base or [(0, 0)], "part long, base long")
+    return docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
