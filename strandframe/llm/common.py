@@ -183,7 +183,7 @@ _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x
 _ENCODERS: dict[tuple, WordCachedEncoder] = {}
 
 
-def encoder(path: str, drops_space: bool, most: int = 800_000) -> WordCachedEncoder:
+def encoder(path: str, drops_space: bool, most: int = 1_500_000) -> WordCachedEncoder:
     """One encoder for each file and Python worker; it outlives the task. A remembered chunk takes about 170 bytes."""
     key = (path, drops_space, most)
     if key not in _ENCODERS:
