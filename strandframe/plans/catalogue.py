@@ -1,10 +1,390 @@
-"""Named queries over the given tables, with the SQL that each is compared with."""
+"""Named queries over the given tables, with the SQL that each is compared with.
+
+The tables stand for sequence-graph data: a read is an order, a contig a supplier, mapping quality a
+quantity, a path an order with its lines as steps, a sequence a document's letters as nucleotides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.functions import cigar, naming, sequence
+from strandframe.operators import contacts as C
+from strandframe.operators import graph as G
+from strandframe.operators import kmers as K
+from strandframe.operators import phasing as P
+from strandframe.operators.components import connected_components as components
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _alignments(spark: SparkSession, sf_dir: str, min_mapq: int = 0) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    a = li.select(F.col("l_orderkey").alias("read"), F.col("l_suppkey").alias("contig"), F.col("l_quantity").cast("int").alias("mapq"), F.when(F.col("l_returnflag") == "R", 256).otherwise(0).alias("flag"), F.col("l_extendedprice").alias("position"))
+    return C.usable(a, min_mapq)
+
+
+AL = "al AS (SELECT l_orderkey AS read, l_suppkey AS contig, CAST(l_quantity AS INT) AS mapq, l_extendedprice AS position, row_number() OVER () AS id FROM lineitem WHERE l_returnflag <> 'R')"
+AQ = "aq AS (SELECT * FROM al WHERE mapq >= 20)"
+CM = "cm AS (SELECT least(x.contig, y.contig) AS a, greatest(x.contig, y.contig) AS b, count(*) AS weight FROM aq x JOIN aq y ON x.read = y.read AND x.id < y.id GROUP BY 1, 2)"
+PARTS = "parts AS (SELECT s_suppkey AS node, CAST(s_suppkey % 3 - 1 AS INT) AS partition FROM supplier)"
+
+
+def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.contact_map(_alignments(spark, sf_dir, 20))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 3 - 1).cast("int").alias("partition"))
+
+
+@query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, weight FROM cm")
+def contact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contacts(spark, sf_dir)
+
+
+@query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT * FROM cm UNION ALL SELECT b, a, weight FROM cm) GROUP BY a, b")
+def contact_map_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.symmetric(_contacts(spark, sf_dir))
+
+
+@query(f"WITH {AL}, {AQ} SELECT least(x.contig, y.contig) AS a, greatest(x.contig, y.contig) AS b, least(x.mapq, y.mapq) AS mapq, count(*) AS weight FROM aq x JOIN aq y ON x.read = y.read AND x.id < y.id GROUP BY 1, 2, 3")
+def contact_map_by_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.contact_map_by_mapq(_alignments(spark, sf_dir, 20))
+
+
+@query(f"WITH {AL} SELECT contig, count(*) AS coverage FROM al GROUP BY contig")
+def node_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coverage(_alignments(spark, sf_dir))
+
+
+@query("SELECT l_suppkey AS contig, count(*) AS coverage FROM lineitem WHERE l_returnflag <> 'R' AND starts_with(CAST(l_suppkey AS VARCHAR), '1') GROUP BY 1")
+def contacts_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coverage(C.usable(_alignments(spark, sf_dir), prefix="1"))
+
+
+@query(f"WITH {AL} SELECT mapq, count(*) AS n FROM al GROUP BY mapq")
+def mapq_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.mapq_distribution(_alignments(spark, sf_dir))
+
+
+@query(f"WITH {AL}, h AS (SELECT mapq, count(*) AS n FROM al GROUP BY mapq), g AS (SELECT CAST(unnest(range(0, 61)) AS INT) AS mapq) SELECT g.mapq, CAST(coalesce(h.n, 0) AS BIGINT) AS n, CAST(sum(coalesce(h.n, 0)) OVER (ORDER BY g.mapq DESC) AS BIGINT) AS at_least FROM g LEFT JOIN h USING (mapq)")
+def mapq_reverse_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.reverse_cdf(C.mapq_distribution(_alignments(spark, sf_dir)), "mapq", 0, 60)
+
+
+@query(f"""WITH {AL}, {AQ}, {PARTS}, e AS (SELECT least(x.mapq, y.mapq) AS mapq, p.partition AS pa, q.partition AS pb FROM aq x JOIN aq y ON x.read = y.read AND x.id < y.id AND x.contig <> y.contig
+  JOIN parts p ON p.node = x.contig JOIN parts q ON q.node = y.contig WHERE p.partition <> 0 AND q.partition <> 0),
+h AS (SELECT mapq, sum(CASE WHEN pa = pb THEN 1 ELSE 0 END) AS s, count(*) AS t FROM e GROUP BY mapq), g AS (SELECT CAST(unnest(range(0, 61)) AS INT) AS mapq),
+c AS (SELECT g.mapq, sum(coalesce(s, 0)) OVER (ORDER BY g.mapq DESC) AS s, sum(coalesce(t, 0)) OVER (ORDER BY g.mapq DESC) AS t FROM g LEFT JOIN h USING (mapq))
+SELECT mapq, CAST(s AS BIGINT) AS consistent, CAST(t - s AS BIGINT) AS inconsistent, round(s / nullif(CAST(t AS DOUBLE), 0), 9) AS ratio FROM c""")
+def phase_signal_by_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.phase_signal(C.contact_map_by_mapq(_alignments(spark, sf_dir, 20)), _parts(spark, sf_dir), 0, 60)
+
+
+@query(f"WITH {AL} SELECT read, count(*) AS n FROM al GROUP BY read HAVING count(*) >= 2")
+def linked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.linked_reads(_alignments(spark, sf_dir))
+
+
+@query(f"WITH {AL}, p AS (SELECT read, contig, id, CAST(floor(position / 100) AS BIGINT) AS p FROM al) SELECT CAST(floor(abs(x.p - y.p) / 50) * 50 AS BIGINT) AS bin_start, count(*) AS count FROM p x JOIN p y ON x.read = y.read AND x.contig = y.contig AND x.id < y.id GROUP BY 1")
+def gap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.gap_histogram(_alignments(spark, sf_dir), F.floor(F.col("position") / 100), 50)
+
+
+NAMES = "names AS (SELECT DISTINCT (contig // 2) || '.' || (contig % 2) AS name FROM al WHERE mapq >= 49)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignments(spark, sf_dir, 49).select(F.expr("concat(contig div 2, '.', contig % 2)").alias("name")).distinct()
+
+
+@query(f"WITH {AL}, {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON split_part(x.name, '.', 1) = split_part(y.name, '.', 1) AND x.name < y.name")
+def alts_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _names(spark, sf_dir)
+    other = n.select(naming.alt_name(F.col("name")).alias("name"), F.col("name").alias("other"))
+    return n.join(other, "name").where("name < other").select(F.col("name").alias("a"), F.col("other").alias("b"))
+
+
+@query(f"WITH {AL}, {NAMES}, m AS (SELECT name, split_part(name, '.', 1) || '.' || (1 - CAST(split_part(name, '.', 2) AS INT)) AS partner FROM names) SELECT name, partner FROM m WHERE partner NOT IN (SELECT name FROM names)")
+def alt_missing_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _names(spark, sf_dir)
+    return n.select("name", naming.alt_name(F.col("name")).alias("partner")).join(n.select(F.col("name").alias("partner")), "partner", "left_anti").select("name", "partner")
+
+
+@query(f"WITH {AL}, {AQ}, {CM}, k AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey % 5 <> 0) SELECT a, b, weight FROM cm WHERE a <> b AND a IN (SELECT n FROM k) AND b IN (SELECT n FROM k)")
+def prune_no_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alts = _t(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0")
+    side = lambda x: alts.select(F.col("s_suppkey").alias(x))
+    return _contacts(spark, sf_dir).where("a <> b").join(side("a"), "a", "left_semi").join(side("b"), "b", "left_semi").select("a", "b", "weight")
+
+
+@query(f"WITH {AL}, {AQ}, {CM}, {PARTS} SELECT CAST(sum(weight * p.partition * q.partition) AS BIGINT) AS score FROM cm JOIN parts p ON p.node = a JOIN parts q ON q.node = b WHERE a <> b")
+def consistency_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.total_consistency(_contacts(spark, sf_dir), _parts(spark, sf_dir))
+
+
+@query(f"WITH {AL}, {AQ}, {CM}, {PARTS}, e AS (SELECT a, b, weight * p.partition * q.partition AS s FROM cm JOIN parts p ON p.node = a JOIN parts q ON q.node = b WHERE a <> b) SELECT node, CAST(sum(s) AS BIGINT) AS score FROM (SELECT a AS node, s FROM e UNION ALL SELECT b, s FROM e) GROUP BY node")
+def consistency_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.node_consistency(_contacts(spark, sf_dir), _parts(spark, sf_dir))
+
+
+@query(f"WITH {AL}, {AQ}, {CM} SELECT least(a // 2, b // 2) AS bubble_a, greatest(a // 2, b // 2) AS bubble_b, CAST(sum(CASE WHEN a % 2 = b % 2 THEN weight ELSE 0 END) AS BIGINT) AS same_side, CAST(sum(CASE WHEN a % 2 <> b % 2 THEN weight ELSE 0 END) AS BIGINT) AS cross_side FROM cm WHERE a // 2 <> b // 2 GROUP BY 1, 2")
+def consistency_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.expr("s_suppkey div 2").alias("bubble"), (F.col("s_suppkey") % 2).alias("side"))
+    return P.bubble_consistency(_contacts(spark, sf_dir), b)
+
+
+SAMPLED = "smp AS (SELECT s AS sample, s_suppkey AS node, CASE WHEN (s_suppkey * (s + 3)) % 7 < 3 THEN -1 ELSE 1 END AS p FROM supplier, unnest(range(0, 10)) AS r(s))"
+
+
+@query(f"""WITH {AL}, {AQ}, {CM}, {SAMPLED}, v AS (SELECT a, b, CAST(sum(CASE WHEN x.p <> y.p THEN 1 ELSE 0 END) AS BIGINT) AS n_different, CAST(sum(CASE WHEN x.p = y.p THEN 1 ELSE 0 END) AS BIGINT) AS n_same
+  FROM cm JOIN smp x ON x.node = a JOIN smp y ON y.node = b AND y.sample = x.sample WHERE a <> b GROUP BY a, b)
+SELECT a, b, n_different, n_same, round(factorial(CAST(n_different + n_same AS INT)) / (factorial(CAST(n_different AS INT)) * factorial(CAST(n_same AS INT))) / pow(2, n_different + n_same), 9) AS p_null FROM v""")
+def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("sample")).withColumn("partition", F.when(F.expr("(node * (sample + 3)) % 7 < 3"), -1).otherwise(1))
+    v = P.orientation_votes(s, _contacts(spark, sf_dir))
+    return v.withColumn("p_null", F.round(naming.binomial_p(F.col("n_different") + F.col("n_same"), F.least("n_different", "n_same")), 9))
+
+
+LINKS = "lk AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b, l_linenumber % 2 = 0 AS ra, l_returnflag = 'N' AS rb FROM lineitem WHERE l_quantity = 50 AND l_returnflag IN ('R', 'N')), hf AS (SELECT a AS node, CASE WHEN ra THEN 0 ELSE 1 END AS side, b AS other, CASE WHEN rb THEN 1 ELSE 0 END AS oside FROM lk), he AS (SELECT DISTINCT * FROM (SELECT * FROM hf UNION ALL SELECT other, oside, node, side FROM hf))"
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag IN ('R', 'N')")
+    return G.half_edges(li.select(F.col("l_partkey").alias("node_a"), (F.col("l_linenumber") % 2 == 0).alias("rev_a"), (F.col("l_suppkey") + 1000000).alias("node_b"), (F.col("l_returnflag") == "N").alias("rev_b")))
+
+
+@query(f"WITH {LINKS}, nodes AS (SELECT p_partkey AS node FROM part UNION ALL SELECT s_suppkey + 1000000 FROM supplier), sides AS (SELECT node, unnest([0, 1]) AS side FROM nodes), d AS (SELECT node, side, count(*) AS degree FROM he GROUP BY node, side) SELECT CAST(coalesce(degree, 0) AS BIGINT) AS degree, count(*) AS n FROM sides LEFT JOIN d USING (node, side) GROUP BY 1")
+def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).unionAll(_t(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("node")))
+    return G.degree_distribution(_halves(spark, sf_dir), nodes)
+
+
+@query(f"WITH {LINKS} SELECT node, side, min(other) AS other FROM he GROUP BY node, side HAVING count(*) = 1")
+def singleton_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.unique_neighbours(_halves(spark, sf_dir))
+
+
+SECOND = "sec AS (SELECT x.node, x.side, list_sort(list(DISTINCT y.other)) AS others FROM he x JOIN he y ON x.other = y.node AND x.oside = y.side WHERE y.other <> x.node GROUP BY x.node, x.side)"
+
+
+@query(f"WITH {LINKS}, {SECOND} SELECT l.node AS node_0, l.others[1] AS node_1 FROM sec l JOIN sec r ON l.node = r.node AND l.side = 0 AND r.side = 1 AND l.others = r.others WHERE len(l.others) = 1 AND l.node < l.others[1]")
+def symmetric_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.symmetric_bubbles(_halves(spark, sf_dir))
+
+
+@query(f"""WITH {LINKS}, {SECOND}, n AS (SELECT DISTINCT node FROM he), f AS (SELECT node, side, count(DISTINCT other) AS c FROM he GROUP BY node, side),
+j AS (SELECT n.node, coalesce(fl.c, 0) AS fl, coalesce(fr.c, 0) AS fr, sl.others AS sl, sr.others AS sr, coalesce(len(sl.others), 0) AS cl, coalesce(len(sr.others), 0) AS cr FROM n LEFT JOIN f fl ON fl.node = n.node AND fl.side = 0 LEFT JOIN f fr ON fr.node = n.node AND fr.side = 1
+  LEFT JOIN sec sl ON sl.node = n.node AND sl.side = 0 LEFT JOIN sec sr ON sr.node = n.node AND sr.side = 1),
+k AS (SELECT node, CASE WHEN cl = 0 AND cr = 0 THEN 'haploid' WHEN sl = sr AND cl = 1 AND fl < 3 AND fr < 3 THEN 'diploid' WHEN (fl = 0 AND cr = 1 AND fr < 3) OR (fr = 0 AND cl = 1 AND fl < 3) THEN 'tip' END AS kind FROM j)
+SELECT node, kind FROM k WHERE kind IS NOT NULL""")
+def chainable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _halves(spark, sf_dir)
+    return G.chainable(h, h.select("node").distinct())
+
+
+E49 = "ed AS (SELECT DISTINCT l_partkey AS a, l_orderkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 49)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 10000000).alias("b")).distinct()
+
+
+@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS node, a AS root FROM bo UNION SELECT b, root FROM r JOIN bo ON r.node = bo.a) SELECT node, min(root) AS component FROM r GROUP BY node")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT DISTINCT a AS node, 0 AS depth FROM ed WHERE a < 20 UNION SELECT b, depth + 1 FROM r JOIN bo ON r.node = bo.a WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    return G.bfs(e, e.where("a < 20").select(F.col("a").alias("node")), 40)
+
+
+@query(f"""WITH RECURSIVE {E49}, fl AS (SELECT node, (node % 3 = 0) AS flag FROM (SELECT a AS node FROM ed UNION SELECT b FROM ed)), s AS (SELECT a, b FROM ed JOIN fl x ON x.node = a JOIN fl y ON y.node = b WHERE x.flag = y.flag),
+bo AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), r AS (SELECT node, node AS root FROM fl UNION SELECT b, root FROM r JOIN bo ON r.node = bo.a), c AS (SELECT node, min(root) AS g FROM r GROUP BY node)
+SELECT DISTINCT least(x.g, y.g) AS a, greatest(x.g, y.g) AS b FROM ed JOIN fl p ON p.node = a JOIN fl q ON q.node = b JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE p.flag <> q.flag""")
+def bipartition_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    flags = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("flag", F.col("node") % 3 == 0)
+    return G.bipartition(e, flags)[1]
+
+
+@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS node, a AS root, 0 AS side FROM bo UNION SELECT b, root, 1 - side FROM r JOIN bo ON r.node = bo.a), m AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT m.node, m.component, CAST(min(side) AS INT) AS side, count(DISTINCT side) = 1 AS bipartite FROM m JOIN r ON r.node = m.node AND r.root = m.component GROUP BY m.node, m.component")
+def alt_two_colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.two_colouring(_edges(spark, sf_dir))
+
+
+STEPS = "steps AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step, l_partkey AS node, l_linenumber % 2 = 1 AS rev, p_size AS length FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("length"))
+    return li.join(part, "l_partkey").select(F.col("l_orderkey").alias("path"), (F.row_number().over(order) - 1).cast("long").alias("step"), F.col("l_partkey").alias("node"), (F.col("l_linenumber") % 2 == 1).alias("rev"), "length")
+
+
+@query(f"WITH {STEPS} SELECT path, CAST(sum(length) AS BIGINT) AS length, count(*) AS n_steps FROM steps GROUP BY path")
+def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir).groupBy("path").agg(F.sum("length").alias("length"), F.count("*").alias("n_steps"))
+
+
+@query(f"WITH {STEPS} SELECT path, step, CAST(coalesce(sum(length) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM steps")
+def path_cumulative_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.path_positions(_steps(spark, sf_dir), "step").select("path", "step", "start")
+
+
+@query(f"WITH {STEPS} SELECT path, count(*) AS n_steps, string_agg(node || CASE WHEN rev THEN '-' ELSE '+' END, ' ' ORDER BY step) AS nodes FROM steps GROUP BY path")
+def path_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _steps(spark, sf_dir).select("path", F.struct("step", F.concat(F.col("node").cast("string"), F.when(F.col("rev"), "-").otherwise("+")).alias("n")).alias("s"))
+    return s.groupBy("path").agg(F.count("*").alias("n_steps"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x.n), " ").alias("nodes"))
+
+
+def _dna(text: Column) -> Column:
+    """A document's letters as nucleotides; a fixed mapping of e, t, a, o."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^etao]", ""), "etao", "ACGT")
+
+
+DNA = "dna AS (SELECT doc_id, lang, translate(regexp_replace(lower(text), '[^etao]', '', 'g'), 'etao', 'ACGT') AS s FROM documents)"
+
+
+@query(f"WITH {DNA} SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, length(s) AS length FROM dna")
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", _dna(F.col("text")).alias("s"))
+    return d.select("doc_id", sequence.reverse_complement(F.col("s")).alias("rc"), F.length("s").cast("long").alias("length"))
+
+
+@query(f"WITH {DNA}, k AS (SELECT unnest(list_transform(range(1, greatest(length(s) - 6, 1)), lambda i: substr(s, i, 8))) AS kmer FROM dna) SELECT kmer, count(*) AS n FROM k WHERE length(kmer) = 8 GROUP BY kmer")
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.kmer_counts(_t(spark, sf_dir, "documents").select(_dna(F.col("text")).alias("sequence")), 8)
+
+
+CAN = "least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
+MATRIX = f"""{DNA}, pk AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(s) - 8, 1)), lambda i: substr(s, i, 10))) AS kmer FROM (SELECT item_id, translate(regexp_replace(lower(text), '[^etao]', '', 'g'), 'etao', 'ACGT') AS s FROM benchmark)),
+ps AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'pat' ELSE 'mat' END AS parent, {CAN} AS kmer FROM pk WHERE length(kmer) = 10),
+dk AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(s) - 8, 1)), lambda i: substr(s, i, 10))) AS kmer FROM dna),
+ds AS (SELECT DISTINCT doc_id // 2 AS component, doc_id % 2 AS haplotype, {CAN} AS kmer FROM dk WHERE length(kmer) = 10),
+mx AS (SELECT component, haplotype, parent, count(*) AS n FROM ds JOIN ps USING (kmer) GROUP BY component, haplotype, parent)"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("component"), (F.col("doc_id") % 2).alias("haplotype"), _dna(F.col("text")).alias("sequence"))
+    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), F.explode(sequence.kmers(_dna(F.col("text")), 10)).alias("kmer"))
+    return K.parental_matrix(d, b, 10)
+
+
+@query(f"WITH {MATRIX} SELECT component, haplotype, parent, n FROM mx")
+def parental_kmer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir)
+
+
+@query(f"WITH {MATRIX}, g AS (SELECT component, sum(CASE WHEN (haplotype = 0) = (parent = 'pat') THEN n ELSE 0 END) AS f, sum(CASE WHEN (haplotype = 0) <> (parent = 'pat') THEN n ELSE 0 END) AS s FROM mx GROUP BY component) SELECT component, CAST(f AS BIGINT) AS forward, CAST(s AS BIGINT) AS swapped, s > f AS flipped FROM g")
+def bubble_order_by_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.bubble_order(_matrix(spark, sf_dir))
+
+
+OV = f"""{DNA}, k AS (SELECT doc_id AS name, unnest(list_transform(range(1, greatest(length(s) - 14, 1)), lambda i: substr(s, i, 16))) AS kmer FROM dna),
+h AS (SELECT DISTINCT name, h FROM (SELECT name, CAST('0x' || substr(md5(kmer), 1, 15) AS BIGINT) AS h FROM k WHERE length(kmer) = 16) WHERE h < {int(0.1 * (1 << 60))}),
+sz AS (SELECT name, count(*) AS n_hashes FROM h GROUP BY name), bn AS (SELECT h FROM h GROUP BY h HAVING count(*) BETWEEN 2 AND 30),
+pr AS (SELECT x.name, y.name AS other_name, count(*) AS n_shared FROM h x JOIN bn USING (h) JOIN h y ON x.h = y.h AND x.name <> y.name GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_shared DESC, other_name) AS r FROM pr)"""
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.minhash_overlaps(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), _dna(F.col("text")).alias("sequence")), 16, 0.1)
+
+
+@query(f"WITH {OV} SELECT name, other_name, n_shared, n_hashes, round(n_shared / CAST(n_hashes AS DOUBLE), 9) AS similarity FROM rk JOIN sz USING (name) WHERE r <= 5")
+def minhash_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir)
+
+
+@query(f"WITH {OV}, b AS (SELECT name, other_name FROM rk WHERE r = 1) SELECT x.name AS a, x.other_name AS b FROM b x JOIN b y ON x.name = y.other_name AND x.other_name = y.name WHERE x.name < x.other_name")
+def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.mutual_best(_overlaps(spark, sf_dir))
+
+
+CIG = "cg AS (SELECT l_orderkey AS query_name, CAST(l_suppkey AS BIGINT) AS ref, CAST(l_quantity AS INT) || 'M' || l_linenumber || 'I' || (l_partkey % 7) || 'D' || (l_suppkey % 40) || 'X' AS cigar FROM lineitem), op AS (SELECT query_name, ref, cigar, CAST(l_quantity AS INT) AS m, l_linenumber AS i, l_partkey % 7 AS d, l_suppkey % 40 AS x FROM (SELECT *, l_orderkey AS query_name, CAST(l_suppkey AS BIGINT) AS ref, '' AS cigar FROM lineitem))"
+
+
+def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M"), F.col("l_linenumber").cast("string"), F.lit("I"), (F.col("l_partkey") % 7).cast("string"), F.lit("D"), (F.col("l_suppkey") % 40).cast("string"), F.lit("X"))
+    return li.select(F.col("l_orderkey").alias("query_name"), F.col("l_suppkey").alias("ref"), cigar.parse(text).alias("ops"))
+
+
+@query(f"WITH {CIG} SELECT query_name, CAST(sum(m + d + x) AS BIGINT) AS ref_length, CAST(sum(m + i + x) AS BIGINT) AS query_length, CAST(sum((m > 0)::INT + (i > 0)::INT + (d > 0)::INT + (x > 0)::INT) AS BIGINT) AS n_ops FROM op GROUP BY query_name")
+def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cigars(spark, sf_dir)
+    return c.groupBy("query_name").agg(F.sum(cigar.total(F.col("ops"), cigar.REFERENCE)).alias("ref_length"), F.sum(cigar.total(F.col("ops"), cigar.QUERY)).alias("query_length"), F.sum(F.size("ops").cast("long")).alias("n_ops"))
+
+
+@query(f"WITH {CIG} SELECT ref, count(*) AS n, round(avg(m / CAST(m + x + least(i, 20) + least(d, 20) AS DOUBLE)), 9) AS identity FROM op GROUP BY ref")
+def cigar_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cigars(spark, sf_dir).groupBy("ref").agg(F.count("*").alias("n"), F.round(F.avg(cigar.identity(F.col("ops"))), 9).alias("identity"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS name, p_size AS length, p_brand AS g FROM part), c AS (SELECT g, length, sum(length) OVER (PARTITION BY g ORDER BY length DESC, name) AS x1, sum(length) OVER (PARTITION BY g) AS t FROM l)
+SELECT g, length AS n50 FROM c WHERE 2 * (x1 - length) < t AND t <= 2 * x1""")
+def n50_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.n50(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("length"), F.col("p_brand").alias("g")), "g")
+
+
+@query("SELECT CAST(floor(n_chars / 500) * 500 AS BIGINT) AS bin_start, count(*) AS count, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM documents GROUP BY 1")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    h = _t(spark, sf_dir, "documents").groupBy((F.floor(F.col("n_chars") / 500) * 500).cast("long").alias("bin_start")).agg(F.count("*").alias("count"))
+    return h.withColumn("share", F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), 9))
+
+
+@query(f"WITH {AL}, {PARTS}, v AS (SELECT contig, read % 2 AS truth, count(*) AS n FROM al JOIN parts ON node = contig WHERE partition <> 0 GROUP BY 1, 2) SELECT contig, CAST(coalesce(max(CASE WHEN truth = 0 THEN n END), 0) AS BIGINT) AS n0, CAST(coalesce(max(CASE WHEN truth = 1 THEN n END), 0) AS BIGINT) AS n1, round(min(n) FILTER (truth >= 0) / CAST(sum(n) AS DOUBLE) * CASE WHEN count(*) = 2 THEN 1 ELSE 0 END, 9) AS hamming FROM v GROUP BY contig")
+def hamming_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alignments(spark, sf_dir).join(_parts(spark, sf_dir).where("partition <> 0"), F.col("contig") == F.col("node"))
+    n = lambda k: F.sum((F.col("read") % 2 == k).cast("long"))
+    return a.groupBy("contig").agg(n(0).alias("n0"), n(1).alias("n1")).withColumn("hamming", F.round(F.least("n0", "n1") / (F.col("n0") + F.col("n1")), 9))
+
+
+@query("""WITH m AS (SELECT l_suppkey AS name, l_returnflag AS truth, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT name, truth, n, sum(n) OVER (PARTITION BY name) AS t, row_number() OVER (PARTITION BY name ORDER BY n DESC, truth) AS k FROM m)
+SELECT truth, count(*) AS names, CAST(sum(n) AS BIGINT) AS matching, CAST(sum(t) AS BIGINT) AS total FROM r WHERE k = 1 GROUP BY truth""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name"), F.col("l_returnflag").alias("truth")).agg(F.count("*").alias("n"))
+    best = m.groupBy("name").agg(F.min(F.struct(-F.col("n"), F.col("truth"))).alias("b"), F.sum("n").alias("total"))
+    return best.groupBy(F.col("b.truth").alias("truth")).agg(F.count("*").alias("names"), F.sum(-F.col("b.col1")).alias("matching"), F.sum("total").alias("total"))
+
+
+@query("""WITH iv AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 86400 AS e FROM events), b AS (SELECT user_id, s AS pos, 1 AS d FROM iv UNION ALL SELECT user_id, e, -1 FROM iv), g AS (SELECT user_id, pos, sum(d) AS d FROM b GROUP BY 1, 2),
+w AS (SELECT user_id, pos, sum(d) OVER (PARTITION BY user_id ORDER BY pos) AS depth, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) - pos AS span FROM g)
+SELECT user_id, CAST(max(depth) AS BIGINT) AS most, CAST(sum(CASE WHEN depth >= 2 THEN span ELSE 0 END) AS BIGINT) AS overlapped FROM w GROUP BY user_id""")
+def interval_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    iv = _t(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("s"))
+    b = iv.select("user_id", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("s") + 86400).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    g = b.groupBy("user_id", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy("user_id").orderBy("at")
+    d = g.select("user_id", F.sum("d").over(w).alias("depth"), (F.lead("at").over(w) - F.col("at")).alias("span"))
+    return d.groupBy("user_id").agg(F.max("depth").alias("most"), F.sum(F.when(F.col("depth") >= 2, F.col("span")).otherwise(0)).alias("overlapped"))
