@@ -67,18 +67,20 @@ def chainable(halves: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def splice_empty(links: DataFrame, empty: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Take nodes without sequence out: each of their neighbours on one side meets each on the other; runs need rounds."""
-    halves = half_edges(links).select("node", "side", "other", "other_side")
+    whole, _ = stash(half_edges(links), "splice-links")
+    gone = empty.select("node").distinct()
+    there = gone.withColumnRenamed("node", "other")
+    far = whole.select(F.col("node").alias("mid"), F.col("side").alias("mid_side"), F.col("other").alias("far"), F.col("other_side").alias("far_side"))
+    halves = whole.join(gone, "node", "left_anti").select("node", "side", "other", "other_side")
     for _ in range(most_rounds):
         halves, _ = stash(halves, "splice")
-        into = halves.join(empty.select(F.col("node").alias("other")), "other")
+        into = halves.join(there, "other")
         if not into.limit(1).count():
             break
         out = into.select(F.col("other").alias("mid"), (1 - F.col("other_side")).alias("mid_side"), "node", "side")
-        far = halves.select(F.col("node").alias("mid"), F.col("side").alias("mid_side"), F.col("other").alias("far"), F.col("other_side").alias("far_side"))
         new = out.join(far, ["mid", "mid_side"]).select("node", "side", F.col("far").alias("other"), F.col("far_side").alias("other_side"))
-        plain = halves.join(empty.select(F.col("node").alias("other")), "other", "left_anti").select(*new.columns)
-        halves = plain.unionAll(new).join(empty, "node", "left_anti").select(*new.columns).distinct()
-    return halves.join(empty, "node", "left_anti").join(empty.select(F.col("node").alias("other")), "other", "left_anti").select("node", "side", "other", "other_side")
+        halves = halves.join(there, "other", "left_anti").select(*new.columns).unionAll(new).distinct()
+    return halves.join(there, "other", "left_anti").select("node", "side", "other", "other_side")
 
 
 def bfs(edges: DataFrame, start: DataFrame, most_depth: int = 1000, allowed: DataFrame | None = None) -> DataFrame:
