@@ -17,7 +17,10 @@ def canonical(kmer: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Array of all windows of ``k`` letters; empty for a shorter sequence."""
+    """Array of all windows of ``k`` letters; empty for a shorter sequence.
+
+    ``s`` should be a column, not an expression: an expression is computed again for every window.
+    """
     if not 1 <= k <= 64:
         raise ValueError("k must be from 1 to 64")
     at = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))

@@ -16,7 +16,10 @@ from strandframe.operators import contacts as C
 from strandframe.operators import graph as G
 from strandframe.operators import kmers as K
 from strandframe.operators import phasing as P
+from strandframe.operators import assembly, structure
 from strandframe.operators.components import connected_components as components
+from strandframe.plans import pipelines
+from strandframe.sources import text, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,7 +295,7 @@ mx AS (SELECT component, haplotype, parent, count(*) AS n FROM ds JOIN ps USING
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("component"), (F.col("doc_id") % 2).alias("haplotype"), _dna(F.col("text")).alias("sequence"))
-    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), F.explode(sequence.kmers(_dna(F.col("text")), 10)).alias("kmer"))
+    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), _dna(F.col("text")).alias("s")).select("parent", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer"))
     return K.parental_matrix(d, b, 10)
 
 
@@ -388,3 +391,137 @@ def interval_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("at")
     d = g.select("user_id", F.sum("d").over(w).alias("depth"), (F.lead("at").over(w) - F.col("at")).alias("span"))
     return d.groupBy("user_id").agg(F.max("depth").alias("most"), F.sum(F.when(F.col("depth") >= 2, F.col("span")).otherwise(0)).alias("overlapped"))
+
+
+@query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS place FROM cm WHERE a <> b AND weight >= 5")
+def edge_order_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    heavy = _contacts(spark, sf_dir).where("a <> b AND weight >= 5")
+    return heavy.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "a", "b")).cast("long"))
+
+
+@query(f"""WITH {AL}, x AS (SELECT contig, sum(CASE WHEN mapq < 25 THEN 1 ELSE 0 END) AS na, sum(CASE WHEN mapq >= 25 THEN 1 ELSE 0 END) AS nb FROM al GROUP BY contig)
+SELECT contig, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(log2((na + 0.5) / (nb + 0.5)), 9) AS ratio FROM x""")
+def contact_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alignments(spark, sf_dir)
+    low, high = (a.where(c).groupBy("contig").agg(F.count("*").alias(n)) for c, n in (("mapq < 25", "na"), ("mapq >= 25", "nb")))
+    both = low.join(high, "contig", "full").fillna(0, ["na", "nb"])
+    return both.withColumn("ratio", F.round(naming.log2_ratio(F.col("na"), F.col("nb"), 0.5), 9))
+
+
+@query(f"""WITH {AL}, {AQ}, {PARTS}, e AS (SELECT least(x.mapq, y.mapq) AS mapq, CASE WHEN p.partition * q.partition = 1 THEN 'same' WHEN p.partition * q.partition = -1 THEN 'other' ELSE 'unphased' END AS relation
+  FROM aq x JOIN aq y ON x.read = y.read AND x.id < y.id AND x.contig <> y.contig JOIN parts p ON p.node = x.contig JOIN parts q ON q.node = y.contig) SELECT mapq, relation, count(*) AS n FROM e GROUP BY 1, 2""")
+def label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.contact_map_by_mapq(_alignments(spark, sf_dir, 20)).where("a <> b")
+    p = lambda x: _parts(spark, sf_dir).select(F.col("node").alias(x), F.col("partition").alias(f"p{x}"))
+    product = F.col("pa") * F.col("pb")
+    relation = F.when(product == 1, "same").when(product == -1, "other").otherwise("unphased")
+    return e.join(p("a"), "a").join(p("b"), "b").groupBy("mapq", relation.alias("relation")).agg(F.sum("weight").alias("n"))
+
+
+@query(f"WITH {STEPS} SELECT path, step, CAST(sum(length) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS BIGINT) AS total FROM steps QUALIFY count(*) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3")
+def sliding_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("step").rowsBetween(0, 2)
+    s = _steps(spark, sf_dir).select("path", "step", F.sum("length").over(w).alias("total"), F.count("*").over(w).alias("n"))
+    return s.where("n = 3").select("path", "step", F.col("total").cast("long").alias("total"))
+
+
+@query("WITH st AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS node FROM lineitem WHERE l_quantity >= 48) SELECT x.path AS path_a, y.path AS path_b, count(*) AS shared FROM st x JOIN st y ON x.node = y.node AND x.path < y.path GROUP BY 1, 2")
+def diploid_path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = _t(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("node")).distinct()
+    a, b = st.withColumnRenamed("path", "path_a"), st.withColumnRenamed("path", "path_b")
+    return a.join(b, "node").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("shared"))
+
+
+@query("SELECT p_partkey AS name, upper(substr(p_name, 1, 12)) AS sequence, CAST(length(substr(p_name, 1, 12)) AS INT) AS length FROM part")
+def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.upper(F.substring("p_name", 1, 12)).alias("sequence"))
+    links = spark.createDataFrame([], "node_a string, rev_a boolean, node_b string, rev_b boolean, cigar string")
+    back = text.gfa_segments(writers.gfa_lines(segments, links))
+    return back.select(F.col("name").cast("long").alias("name"), "sequence", "length")
+
+
+@query(f"WITH {STEPS}, sg AS (SELECT p_partkey AS node, substr(repeat('ACGGT', 10), 1, p_size) AS s FROM part) SELECT path, string_agg(CASE WHEN rev THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END, '' ORDER BY step) AS sequence, count(*) AS n_steps FROM steps JOIN sg USING (node) GROUP BY path")
+def unzip_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _steps(spark, sf_dir).select("path", F.col("step").alias("step_index"), "node", F.col("rev").alias("reversed"))
+    segments = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.substring(F.repeat(F.lit("ACGGT"), 10), F.lit(1), F.col("p_size")).alias("sequence"))
+    return assembly.unzip_sequences(s, segments)
+
+
+@query(f"WITH {PARTS} SELECT CASE partition WHEN -1 THEN 'phase_0' WHEN 1 THEN 'phase_1' ELSE 'unphased' END AS phase, count(*) AS n FROM supplier LEFT JOIN parts ON node = s_suppkey AND node % 4 <> 0 GROUP BY 1")
+def phase_fasta_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.lit("ACGT").alias("sequence"))
+    phases = _parts(spark, sf_dir).where("node % 4 <> 0").select(F.col("node").alias("name"), "partition")
+    return writers.fasta_by_phase(segments, phases).groupBy("phase").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'x.' || (s_nationkey) || '.' || s_suppkey AS name, CAST(s_nationkey AS VARCHAR) AS label FROM supplier")
+def component_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "supplier").select(F.concat_ws(".", F.lit("x"), F.col("s_nationkey"), F.col("s_suppkey")).alias("name"))
+    return n.select("name", naming.component_label(F.col("name")).alias("label"))
+
+
+@query("SELECT s_suppkey AS name, CAST(s_suppkey % 3 - 1 AS INT) AS phase, CASE s_suppkey % 3 WHEN 0 THEN 'Cornflower Blue' WHEN 1 THEN 'Plum' ELSE 'Tomato' END AS colour FROM supplier")
+def phase_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), (F.col("s_suppkey") % 3 - 1).cast("int").alias("partition"), F.lit(0).alias("coverage"), F.lit(0).alias("length"))
+    return writers.phase_rows(n).select(F.col("Name").alias("name"), F.col("Phase").alias("phase"), F.col("Color").alias("colour"))
+
+
+@query(f"""WITH {LINKS}, e AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 2 = 0),
+o AS (SELECT x.node, x.side, y.other, y.oside FROM he x JOIN e ON x.other = e.node JOIN he y ON y.node = x.other AND y.side = 1 - x.oside), p AS (SELECT node, side, other, oside FROM he WHERE other NOT IN (SELECT node FROM e) UNION SELECT * FROM o)
+SELECT DISTINCT node, side, other, oside AS other_side FROM p WHERE node NOT IN (SELECT node FROM e) AND other NOT IN (SELECT node FROM e)""")
+def empty_node_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag IN ('R', 'N')")
+    links = li.select(F.col("l_partkey").alias("node_a"), (F.col("l_linenumber") % 2 == 0).alias("rev_a"), (F.col("l_suppkey") + 1000000).alias("node_b"), (F.col("l_returnflag") == "N").alias("rev_b"))
+    return G.splice_empty(links, _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node")))
+
+
+UNPHASED = f"""{MATRIX}, un AS (SELECT doc_id, {CAN} AS kmer FROM dk WHERE length(kmer) = 10), sc AS (SELECT doc_id, sum(CASE WHEN parent = 'mat' THEN 1 ELSE 0 END) AS m, sum(CASE WHEN parent = 'pat' THEN 1 ELSE 0 END) AS p FROM un JOIN ps USING (kmer) GROUP BY doc_id)"""
+
+
+@query(f"WITH {UNPHASED} SELECT doc_id, CAST(m AS BIGINT) AS maternal, CAST(p AS BIGINT) AS paternal, round(log2((m + 1.0) / (p + 1.0)), 9) AS score, CASE WHEN abs(log2((m + 1.0) / (p + 1.0))) <= 0.02 THEN 'none' WHEN m > p THEN 'mat' ELSE 'pat' END AS parent FROM sc")
+def unphased_kmer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", _dna(F.col("text")).alias("s")).select("doc_id", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer")).select("doc_id", sequence.canonical(F.col("kmer")).alias("kmer"))
+    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), _dna(F.col("text")).alias("s")).select("parent", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer"))
+    sets = b.select("parent", sequence.canonical(F.col("kmer")).alias("kmer")).distinct()
+    n = lambda p: F.sum((F.col("parent") == p).cast("long"))
+    s = d.groupBy("doc_id", "kmer").agg(F.count("*").alias("c")).join(sets, "kmer").groupBy("doc_id").agg(F.sum(F.when(F.col("parent") == "mat", F.col("c")).otherwise(0)).alias("maternal"), F.sum(F.when(F.col("parent") == "pat", F.col("c")).otherwise(0)).alias("paternal"))
+    score = naming.log2_ratio(F.col("maternal"), F.col("paternal"), 1.0)
+    parent = F.when(F.abs(score) <= 0.02, "none").when(F.col("maternal") > F.col("paternal"), "mat").otherwise("pat")
+    return s.select("doc_id", "maternal", "paternal", F.round(score, 9).alias("score"), parent.alias("parent"))
+
+
+@query(f"WITH {OV}, c AS (SELECT least(x.name, x.other_name) AS a, greatest(x.name, x.other_name) AS b, x.n_shared FROM rk x WHERE r <= 5), d AS (SELECT a, b, max(n_shared) AS n_shared FROM c GROUP BY a, b) SELECT a, b, n_shared, CAST((x.n_chars + y.n_chars) // 2 AS BIGINT) AS mean_length FROM d JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE a // 2 <> b // 2")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _overlaps(spark, sf_dir).select(F.least("name", "other_name").alias("a"), F.greatest("name", "other_name").alias("b"), "n_shared").groupBy("a", "b").agg(F.max("n_shared").alias("n_shared"))
+    size = lambda x: _t(spark, sf_dir, "documents").select(F.col("doc_id").alias(x), F.col("n_chars").alias(f"n{x}"))
+    adjacent = F.expr("a div 2 = b div 2")
+    return o.where(~adjacent).join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_shared", F.expr("(na + nb) div 2").alias("mean_length"))
+
+
+@query()
+def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _halves(spark, sf_dir)
+    return structure.bridge_nodes(h, h.select("node").distinct())
+
+
+@query()
+def bridge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _halves(spark, sf_dir)
+    n = h.select("node").distinct()
+    parts = structure.bridge_components(h, n, structure.bridge_nodes(h, n))
+    return parts.groupBy(F.col("component.n").alias("node"), F.col("component.s").alias("side")).agg(F.count("*").alias("members"))
+
+
+@query()
+def alt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.alt_components(_edges(spark, sf_dir).withColumn("weight", F.col("a") % 5))
+
+
+@query()
+def partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alignments(spark, sf_dir, 20).withColumn("contig", F.expr("concat(contig div 2, '.', contig % 2)"))
+    return pipelines.phase_contacts(a, samples=8, iterations=10)
