@@ -17,14 +17,20 @@ def canonical(kmer: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Array of all windows of ``k`` letters; empty for a shorter sequence.
+    """Array of all windows of ``k`` letters of an ASCII sequence; empty for a shorter one.
 
-    ``s`` should be a column, not an expression: an expression is computed again for every window.
+    The sequence is bound once, as bytes, so that a window costs its own length and not its distance
+    from the beginning, as it would in a string of variable-width characters.
     """
     if not 1 <= k <= 64:
         raise ValueError("k must be from 1 to 64")
-    at = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(s, i, F.lit(k)))
+
+    def windows(b: Column) -> Column:
+        n = F.octet_length(b)
+        at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(b, i, F.lit(k)).cast("string"))
+
+    return F.get(F.transform(F.array(s.cast("binary")), windows), F.lit(0))
 
 
 def pack_2bit(kmer: Column) -> Column:

@@ -15,9 +15,10 @@ def kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
 
 def parental_matrix(sequences: DataFrame, parental: DataFrame, k: int) -> DataFrame:
     """(component, haplotype, parent, n): distinct k-mers of each haplotype that a parent's set holds, either strand."""
-    own = sequences.select("component", "haplotype", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).select("component", "haplotype", canonical(F.col("kmer")).alias("kmer")).distinct()
+    own = sequences.select("component", "haplotype", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).select("component", "haplotype", canonical(F.col("kmer")).alias("kmer"))
     sets = parental.select("parent", canonical(F.col("kmer")).alias("kmer")).distinct()
-    return own.join(sets, "kmer").groupBy("component", "haplotype", "parent").agg(F.count("*").alias("n"))
+    # Most k-mers are in no parent's set: the join comes before the distinct, and is a broadcast when the sets are small.
+    return own.join(sets, "kmer").distinct().groupBy("component", "haplotype", "parent").agg(F.count("*").alias("n"))
 
 
 def bubble_order(matrix: DataFrame) -> DataFrame:
