@@ -105,3 +105,47 @@ def phase(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: i
     s = sample_partitions(contacts, alts, samples, iterations, seed).persist()
     best = s.groupBy("sample").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "sample").limit(1)
     return s.join(best.select("sample"), "sample").select("node", "partition")
+
+
+def merge_round(votes: list[tuple], components: dict, samples: int, strength: dict) -> dict:
+    """Join components across edges on which all samples agree, each component once a round.
+
+    ``votes``: (a, b, n_different, n_same); heaviest agreement first, then the ends' mean consistency,
+    then names. Ends that always differ become opposite sides, ends that never do become the same side.
+    """
+    out, touched = dict(components), set()
+    agreed = [v for v in votes if max(v[2], v[3]) == samples]
+    agreed.sort(key=lambda v: (-max(v[2], v[3]), -(strength.get(v[0], 0) + strength.get(v[1], 0)) / 2, v[0], v[1]))
+    for a, b, different, same in agreed:
+        (ca, sa), (cb, sb) = components.get(a, (a, 0)), components.get(b, (b, 0))
+        if ca == cb or ca in touched or cb in touched:
+            continue
+        touched |= {ca, cb}
+        turn = (sa ^ sb ^ 1) if different >= same else (sa ^ sb)
+        low = min(ca, cb)
+        for n, (c, s) in list(components.items()) + [(x, (x, 0)) for x in (a, b) if x not in components]:
+            if c in (ca, cb):
+                out[n] = (low, s ^ (turn if c == cb else 0))
+    return out
+
+
+def phase_in_rounds(contacts: DataFrame, alts: DataFrame, rounds: int = 2, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
+    """(node, partition): rounds of sampling, each joining what all samples agree on, then a search three times as long.
+
+    Components and votes of one search are held by the driver, as its graph is by every sample.
+    """
+    spark = contacts.sparkSession
+    kinds = f"node {contacts.schema['a'].dataType.simpleString()}, component {alts.schema['component'].dataType.simpleString()}, side int"
+    held = {r.node: (r.component, r.side) for r in alts.collect()}
+    frame = lambda: spark.createDataFrame([(n, c, s) for n, (c, s) in held.items()], kinds)
+    for r in range(rounds):
+        s = sample_partitions(contacts, frame(), samples, iterations, seed + 1000 * r).select("sample", "node", "partition").persist()
+        votes = [tuple(v) for v in orientation_votes(s, contacts).select("a", "b", "n_different", "n_same").collect()]
+        best = s.where("sample = 0").select("node", "partition")
+        strength = {x.node: x.score for x in node_consistency(contacts, best).collect()}
+        s.unpersist()
+        after = merge_round(votes, held, samples, strength)
+        if after == held:
+            break
+        held = after
+    return phase(contacts, frame(), samples, 3 * iterations, seed + 1000 * rounds)

@@ -18,7 +18,7 @@ def named_alts(nodes: DataFrame) -> DataFrame:
     return nodes.join(other, "node").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1).alias("weight"))
 
 
-def phase_contacts(alignments: DataFrame, min_mapq: int = 1, samples: int = 30, iterations: int = 200, seed: int = 0, alts: DataFrame | None = None) -> DataFrame:
+def phase_contacts(alignments: DataFrame, min_mapq: int = 1, samples: int = 30, iterations: int = 200, seed: int = 0, alts: DataFrame | None = None, rounds: int = 0) -> DataFrame:
     """(node, partition): contacts of reads, alternatives by name unless given, nodes without one left out, then the search.
 
     No contact left between such nodes gives no rows.
@@ -30,6 +30,8 @@ def phase_contacts(alignments: DataFrame, min_mapq: int = 1, samples: int = 30,
     kept = contacts.where("a <> b").join(has("a"), "a", "left_semi").join(has("b"), "b", "left_semi")
     same = components.select(F.col("node").alias("a"), F.col("component").alias("ca")), components.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     kept = kept.join(same[0], "a").join(same[1], "b").where("ca <> cb").select("a", "b", "weight")
+    if rounds:
+        return P.phase_in_rounds(kept, components, rounds, samples, iterations, seed)
     return P.phase(kept, components, samples, iterations, seed)
 
 

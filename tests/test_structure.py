@@ -164,6 +164,8 @@ def test_contact_phasing_finds_the_planted_partition(spark):
     a = spark.createDataFrame(reads, "read string, contig string, mapq int, flag int")
     got = {x.node: x.partition for x in pipelines.phase_contacts(a, samples=4, iterations=20).collect()}
     assert len(got) == 24 and len({got[f"b{i}.0"] for i in range(12)}) == 1 and all(got[f"b{i}.0"] == -got[f"b{i}.1"] for i in range(12))
+    again = {x.node: x.partition for x in pipelines.phase_contacts(a, samples=3, iterations=10, rounds=2).collect()}
+    assert len({again[n] * got[n] for n in got}) == 1
     parts = spark.createDataFrame(list(got.items()), "node string, partition int")
     truth = spark.createDataFrame([(n, n[-1]) for n in got], "node string, reference string")
     assert all(x.hamming == 0 for x in pipelines.evaluate(parts, truth).collect())
@@ -171,6 +173,14 @@ def test_contact_phasing_finds_the_planted_partition(spark):
     assert (votes.n_different, votes.n_same) == (1, 0)
 
 
+def test_merge_round():
+    held = {"a": ("a", 0), "A": ("a", 1), "b": ("b", 0), "B": ("b", 1), "c": ("c", 0)}
+    out = phasing.merge_round([("a", "b", 0, 5), ("A", "c", 5, 0), ("a", "c", 4, 1)], held, 5, {"a": 9, "b": 9})
+    assert out == {"a": ("a", 0), "A": ("a", 1), "b": ("a", 0), "B": ("a", 1), "c": ("c", 0)}
+    out = phasing.merge_round([("A", "c", 5, 0)], held, 5, {})
+    assert out["c"] == ("a", 0) and out["b"] == ("b", 0)
+
+
 def test_trio(spark):
     s = spark.createDataFrame([("c", 0, "AAAACCCC"), ("c", 1, "ACGTTGCA")], "component string, haplotype int, sequence string")
     p = spark.createDataFrame([("mat", "AAAAC"), ("pat", "GTTGC")], "parent string, kmer string")
