@@ -15,7 +15,7 @@ from strandframe.llm.packing import op4_packing
 from strandframe.llm.quality import OP9_SQL, op9_quality
 from strandframe.llm.sharding import op7_sharding
 from strandframe.llm.tokenids import op5_token_ids
-from strandframe.llm.warc import op3_warc
+from strandframe.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {"op6_chat": OP6_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op6_chat": OP6_SQL, "op9_quality": OP9_SQL}
