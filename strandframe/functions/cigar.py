@@ -38,3 +38,16 @@ def identity(ops: Column, indel_cap: int = 20) -> Column:
     """Matches over matches, mismatches and indels, the latter capped each."""
     m, x, indel = total(ops, MATCH), total(ops, ("X",)), total(ops, ("I", "D"), indel_cap)
     return m / F.nullif((m + x + indel).cast("double"), F.lit(0.0))
+
+
+def events(ops: Column, least: int = 1) -> Column:
+    """Insertions, deletions and mismatches of a length or more, with the letters of reference and query before each."""
+    start = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<op:string,len:int,ref_at:bigint,query_at:bigint>>").alias("e"))
+
+    def step(acc, x):
+        seen = F.array(F.struct(x.op.alias("op"), x.len.alias("len"), acc.r.alias("ref_at"), acc.q.alias("query_at")))
+        kept = F.when(x.op.isin("I", "D", "X") & (x.len >= least), F.concat(acc.e, seen)).otherwise(acc.e)
+        moved = lambda at, kinds: at + F.when(x.op.isin(*kinds), x.len).otherwise(0)
+        return F.struct(moved(acc.r, REFERENCE).alias("r"), moved(acc.q, QUERY).alias("q"), kept.alias("e"))
+
+    return F.aggregate(ops, start, step).e

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,11 @@ def bubble_consistency(contacts: DataFrame, bubbles: DataFrame) -> DataFrame:
     return e.groupBy(F.least("ua", "ub").alias("bubble_a"), F.greatest("ua", "ub").alias("bubble_b")).agg(F.sum(F.when(same, F.col("weight")).otherwise(0)).cast("long").alias("same_side"), F.sum(F.when(~same, F.col("weight")).otherwise(0)).cast("long").alias("cross_side"))
 
 
+def true_phase(pat_identity: Column, mat_identity: Column) -> Column:
+    """1 if the maternal reference is the better one, else 0; 2 if either has no alignment."""
+    return F.when((pat_identity == 0) | (mat_identity == 0), 2).when(mat_identity > pat_identity, 1).otherwise(0)
+
+
 def orientation_votes(samples: DataFrame, contacts: DataFrame) -> DataFrame:
     """Per edge: samples (``sample, node, partition``) that put its ends in different and in equal phases."""
     p = lambda x: samples.select("sample", F.col("node").alias(x), F.col("partition").alias(f"p{x}"))

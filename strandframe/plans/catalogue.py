@@ -16,7 +16,7 @@ from strandframe.operators import contacts as C
 from strandframe.operators import graph as G
 from strandframe.operators import kmers as K
 from strandframe.operators import phasing as P
-from strandframe.operators import assembly, structure
+from strandframe.operators import assembly, chains, structure
 from strandframe.operators.components import connected_components as components
 from strandframe.plans import pipelines
 from strandframe.sources import text, writers
@@ -502,6 +502,67 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where(~adjacent).join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_shared", F.expr("(na + nb) div 2").alias("mean_length"))
 
 
+@query(f"WITH {AL} SELECT read, min(contig) AS contig FROM al GROUP BY read HAVING count(*) = 1")
+def singleton_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignments(spark, sf_dir).groupBy("read").agg(F.min("contig").alias("contig"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+@query(f"WITH {CIG}, u AS (SELECT query_name, ref, unnest([{{'k': 'M', 'n': m}}, {{'k': 'I', 'n': i}}, {{'k': 'D', 'n': d}}, {{'k': 'X', 'n': x}}]) AS o FROM op) SELECT query_name, ref, o.k AS op, CAST(sum(o.n) AS BIGINT) AS n_bases, count(*) AS n_ops FROM u WHERE o.n > 0 GROUP BY query_name, ref, o.k")
+def cigar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cigars(spark, sf_dir).select("query_name", F.col("ref").cast("long").alias("ref"), F.explode("ops").alias("o"))
+    return c.groupBy("query_name", "ref", F.col("o.op").alias("op")).agg(F.sum(F.col("o.len").cast("long")).alias("n_bases"), F.count("*").alias("n_ops"))
+
+
+@query(f"""WITH {CIG}, u AS (SELECT query_name, ref, m, i, d, x, unnest([{{'k': 'I', 'n': i, 'r': m, 'q': m}}, {{'k': 'D', 'n': d, 'r': m, 'q': m + i}}, {{'k': 'X', 'n': x, 'r': m + d, 'q': m + i}}]) AS e FROM op)
+SELECT query_name, ref, e.k AS op, CAST(e.n AS INT) AS len, CAST(e.r AS BIGINT) AS ref_at, CAST(e.q AS BIGINT) AS query_at, count(*) AS n FROM u WHERE e.n >= 5 GROUP BY ALL""")
+def cigar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _cigars(spark, sf_dir).select("query_name", F.col("ref").cast("long").alias("ref"), F.explode(cigar.events(F.col("ops"), 5)).alias("e"))
+    return e.groupBy("query_name", "ref", "e.op", "e.len", "e.ref_at", "e.query_at").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {AL}, b AS (SELECT read, contig, CAST(floor(position) AS BIGINT) AS ref_start, mapq FROM al), w AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY ref_start, mapq) AS r FROM b)
+SELECT contig, CAST(sum(mapq) AS BIGINT) AS matches FROM w GROUP BY contig""")
+def nonoverlapping_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alignments(spark, sf_dir).select("contig", F.floor("position").alias("ref_start"), (F.floor("position") + F.col("mapq")).alias("ref_stop"), F.col("mapq").alias("n_matches"), F.lit(1.0).alias("identity"))
+    return chains.non_overlapping_matches(a, "contig")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS name, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) / CAST(sum(CASE WHEN l_returnflag = 'A' THEN 50 ELSE 0 END) AS DOUBLE) AS pat,
+  sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) / CAST(sum(CASE WHEN l_returnflag = 'N' THEN 50 ELSE 0 END) AS DOUBLE) AS mat FROM lineitem GROUP BY 1)
+SELECT name, round(coalesce(pat, 0), 9) AS pat_identity, round(coalesce(mat, 0), 9) AS mat_identity, CASE WHEN coalesce(pat, 0) = 0 OR coalesce(mat, 0) = 0 THEN 2 WHEN mat > pat THEN 1 ELSE 0 END AS phase FROM s""")
+def truth_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    share = lambda f: F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))) / F.nullif(F.sum(F.when(F.col("l_returnflag") == f, 50.0)), F.lit(0.0)), F.lit(0.0))
+    s = li.groupBy(F.col("l_suppkey").alias("name")).agg(share("A").alias("pat_identity"), share("N").alias("mat_identity"))
+    return s.select("name", F.round("pat_identity", 9).alias("pat_identity"), F.round("mat_identity", 9).alias("mat_identity"), P.true_phase(F.col("pat_identity"), F.col("mat_identity")).alias("phase"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS name, p_size AS length, p_brand AS g FROM part)
+SELECT g, name, length, CAST(sum(length) OVER w - length AS BIGINT) AS x0, CAST(sum(length) OVER w AS BIGINT) AS x1, CAST(sum(length) OVER (PARTITION BY g) AS BIGINT) AS total FROM l WINDOW w AS (PARTITION BY g ORDER BY length DESC, name)""")
+def nx_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nx_curve(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("length"), F.col("p_brand").alias("g")), "g")
+
+
+@query()
+def chain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _halves(spark, sf_dir)
+    return chains.chains(h, h.select("node").distinct())
+
+
+@query()
+def chain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = chain_layers(spark, sf_dir)
+    return chains.chain_paths(layers, layers.select("node", (F.col("node") % 2 * 2 - 1).cast("int").alias("partition")))
+
+
+@query()
+def best_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _overlaps(spark, sf_dir)
+    sizes = o.select(F.col("name").alias("node"), F.col("n_hashes").alias("length")).distinct()
+    sizes = sizes.groupBy("node").agg(F.max("length").alias("length"))
+    return chains.best_overlaps(o.select(F.col("name").alias("a"), F.col("other_name").alias("b"), F.col("n_shared").alias("weight")), sizes)
+
+
 @query()
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _halves(spark, sf_dir)
