@@ -2,10 +2,11 @@
 
 The templates' words form one automaton whose paths are all their substrings. A text's words are fed
 through it; the state's depth is, at each word, the longest run ending there that stands in any
-template (the matching statistics). Runs of ``MIN_MATCH`` words or more that cannot be extended are
-matches; those of one template are chained in order, in the text and in the template, into spans, and
-the words that a chain covers, against the template's length, are its coverage. A template of coverage
-``COVERED`` or more gives the text its label. Words that no template has end every run, so only runs of
+template (the matching statistics), and its suffix links lead to the longest run of every other place
+in the templates. Runs of ``MIN_MATCH`` words or more that cannot be extended at their place are
+matches, whatever the other templates hold; those of one template are chained in order, in the text and
+in the template, into spans, and the words that a chain covers, against the template's length, are its
+coverage. A template of coverage ``COVERED`` or more gives the text its label. Words that no template has end every run, so only runs of
 known words are fed; nothing is shuffled.
 
 Base labels come from three phrases, wherever their words stand one after another.
@@ -54,9 +55,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All substrings of several sequences; each state knows one end per sequence that holds it."""
+    """All substrings of several sequences; each state knows one end per sequence that holds it, those of ``least`` tokens or more all places."""
 
-    def __init__(self, sequences: list[list[int]]) -> None:
+    def __init__(self, sequences: list[list[int]], least: int = MIN_MATCH) -> None:
+        self.least = least
         self.next: list[dict[int, int]] = [{}]
         self.link, self.depth = [-1], [0]
         self.ends: list[dict[int, int]] = [{}]
@@ -65,10 +67,13 @@ class SuffixAutomaton:
             for i, token in enumerate(sequence):
                 last = self._extend(last, token)
                 self.ends[last].setdefault(n, i + 1)
+        self.places: list[list[tuple[int, int]]] = [list(e.items()) for e in self.ends]
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.depth[s]):
             up = self.ends[self.link[state]]
             for n, end in self.ends[state].items():
                 up[n] = min(up.get(n, end), end)
+            if self.depth[self.link[state]] >= least:
+                self.places[self.link[state]] += self.places[state]
 
     def _new(self, depth: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
@@ -117,6 +122,25 @@ class SuffixAutomaton:
             out.append((len(tokens), length, state))
         return out
 
+    def matches_by_place(self, tokens: list[int]) -> list[tuple[int, int, int, int]]:
+        """(end, length, sequence, end there) of the runs of ``least`` tokens or more, at every place of every sequence, that the next token does not extend at that place."""
+        out, state, length, before = [], 0, 0, {}
+        for i, token in enumerate(tokens):
+            while state and token not in self.next[state]:
+                state = self.link[state]
+                length = self.depth[state]
+            state, length = (self.next[state][token], length + 1) if token in self.next[state] else (0, 0)
+            now: dict[tuple[int, int], int] = {}
+            at, run = state, length
+            while run >= self.least:
+                for place in self.places[at]:
+                    now.setdefault(place, run)
+                at = self.link[at]
+                run = self.depth[at]
+            out += [(i, run, n, stop) for (n, stop), run in before.items() if (n, stop + 1) not in now]
+            before = now
+        return out + [(len(tokens), run, n, stop) for (n, stop), run in before.items()]
+
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
@@ -152,9 +176,8 @@ class Scanner:
             for s in np.flatnonzero(ends - starts >= MIN_MATCH):
                 first = int(known[starts[s]])
                 run = ids[first : first + int(ends[s] - starts[s])].astype(np.int64).tolist()
-                for end, length, state in self.automaton.matches(run):
-                    for n, stop in self.automaton.ends[state].items():
-                        spans.setdefault(n, []).append((first + end - length, first + end, stop - length, stop))
+                for end, length, n, stop in self.automaton.matches_by_place(run):
+                    spans.setdefault(n, []).append((first + end - length, first + end, stop - length, stop))
         found = {n: chain(s, self.lengths[n]) for n, s in spans.items()}
         own = sorted({self.labels[n] for n, (c, _) in found.items() if c >= COVERED})
         starts_ = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
@@ -177,8 +200,9 @@ def chain(spans: list[tuple[int, int, int, int]], length: int, gap: int = GAP) -
             low += 1
         for j in range(low, i):
             _, pb, _, ptb = spans[j]
-            if pb <= b and ptb < tb and a <= pb + gap and spans[j][2] < ta + 1:
-                own = max(own, (covered[j][0] + tb - max(ta, ptb), covered[j][1]), key=lambda x: (x[0], -x[1]))
+            more = (b - a) - max(pb - a, ptb - ta, 0)  # a word of the text, and one of the template, counts once
+            if more > 0 and a <= pb + gap:
+                own = max(own, (covered[j][0] + more, covered[j][1]), key=lambda x: (x[0], -x[1]))
         covered.append(own)
         share = min(1.0, own[0] / length)
         if share > best[0]:

@@ -380,6 +380,34 @@ def test_suffix_automaton_matches_brute_force():
                 assert seqs[k][stop - n : stop] == text[e - n : e]
 
 
+def test_every_place_of_every_template_is_matched():
+    rng = random.Random(12)
+    for _ in range(50):
+        seqs = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        text = [rng.randrange(4) for _ in range(30)]
+        same = lambda n, i, t: 0 <= i < len(text) and 0 <= t < len(seqs[n]) and text[i] == seqs[n][t]
+        want = set()
+        for n, seq in enumerate(seqs):
+            for i in range(len(text)):
+                for t in range(len(seq)):
+                    if same(n, i, t) and not same(n, i - 1, t - 1):
+                        k = next(k for k in range(1, 40) if not same(n, i + k, t + k))
+                        want |= {(i + k, k, n, t + k)} if k >= 2 else set()
+        found = licences.SuffixAutomaton(seqs, 2).matches_by_place(text)
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_notice_before_words_of_another_template():
+    scanner = licences.Scanner()
+    notice = "Licensed under the Apache License, Version 2.0"
+    for after in (". The files", ' (the "License"); see LICENSE', ' (the "License"); you may not', ". Now"):
+        got = scanner.scan("x y z " + notice + after)
+        assert got["labels"] == "apache-2.0" and got["score"] == 1.0 and ("apache-2.0", 3, 11) in got["spans"]
+    twice = licences.Scanner([("t", "a b c d e p q r s t u a b c d f"), ("u", "p q r s a b c d x")], {})
+    assert twice.scan("p q r s t u v a b c d")["labels"] == "t,u"  # the later place of a b c d
+    assert licences.Scanner([("t", "a b c d e a b c d")], {}).scan("a b c d")["score"] == 4 / 9  # one run of the text does not cover two places
+
+
 def test_pipeline_against_single_steps(spark):
     import corpus_pipeline
 
