@@ -6,7 +6,11 @@ template (the matching statistics), and its suffix links lead to the longest run
 in the templates. Runs of ``MIN_MATCH`` words or more that cannot be extended at their place are
 matches, whatever the other templates hold; those of one template are chained in order, in the text and
 in the template, into spans, and the words that a chain covers, against the template's length, are its
-coverage. A template of coverage ``COVERED`` or more gives the text its label. Words that no template has end every run, so only runs of
+coverage. A template of coverage ``COVERED`` or more gives the text its label. Templates of different
+labels share words (GPL-2 and GPL-3 notices, BSD-2 and BSD-3), so a word of the text speaks for one label
+only: the chain with most words covered, less those missing, takes its words, and the others are chained
+anew without them. In a notice, all words that tell variants apart (``TELLING`` and numbers) must be covered,
+and a chain does not skip such a word, which its template lacks. The whole texts are in ``licence_texts``. Words that no template has end every run, so only runs of
 known words are fed; nothing is shuffled.
 
 Base labels come from three phrases, wherever their words stand one after another.
@@ -18,7 +22,9 @@ alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +34,17 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import slices, table
 
 MIN_MATCH, COVERED, GAP = 4, 0.6, 40
+#: Templates up to this many words are notices; in longer ones the telling words are left to the coverage.
+NOTICE = 300
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Words that tell variants apart; ``library`` also names what is licensed, so it need not be covered.
+TELLING = {"lesser", "affero", "noncommercial", "noderivatives", "noderivs", "sharealike", "nc", "nd", "sa"}
+NOT_SKIPPED = TELLING | {"library"}
+
 #: Public licence notices, each under its label; a label may have several.
 TEMPLATES: list[tuple[str, str]] = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -46,7 +58,56 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("cc-by-sa-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    ("cc-by-nc-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License"),
+    ("cc-by-nd-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License"),
+    ("cc-by-nc-sa-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License"),
+    ("cc-by-nc-nd-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-3.0", "Licensed under CC BY 3.0"),
+    ("cc-by-sa-3.0", "Licensed under CC BY-SA 3.0"),
+    ("cc-by-nc-3.0", "Licensed under CC BY-NC 3.0"),
+    ("cc-by-nd-3.0", "Licensed under CC BY-ND 3.0"),
+    ("cc-by-nc-sa-3.0", "Licensed under CC BY-NC-SA 3.0"),
+    ("cc-by-nc-nd-3.0", "Licensed under CC BY-NC-ND 3.0"),
+    ("gpl-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1 of the License, or (at your option) any later version."),
+    ("gpl-1.0", "This work is licensed under the GNU General Public License, version 1"),
+    ("gpl-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 1 as published by the Free Software Foundation."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("lgpl-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-2.0", "This work is licensed under the GNU Library General Public License, version 2"),
+    ("lgpl-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License version 2 as published by the Free Software Foundation."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation."),
+    ("agpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."),
+    ("isc", "Released under the ISC License"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"),
+    ("mpl-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
 ]
+#: Whole licence texts, a file for each label.
+TEMPLATES += [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -147,11 +208,15 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         texts = [words_of(t) for _, t in templates]
         self.ids: dict[bytes, int] = {}
-        for words in [*texts, *(p.encode().split() for p in phrases)]:
+        named = [w.encode() for w in sorted(NOT_SKIPPED)]
+        for words in [*texts, named, *(p.encode().split() for p in phrases)]:
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
         self.lengths = [len(t) for t in texts]
         self.automaton = SuffixAutomaton([[self.ids[w] for w in t] for t in texts])
+        self.named = {self.ids[w] for w in named}
+        self.held = [{self.ids[w] for w in t} for t in texts]
+        self.needed = [{self.ids[w] for w in t if w.isdigit() or w.decode("utf-8", "replace") in TELLING} if len(t) <= NOTICE else set() for t in texts]
         self.phrases = [(label, [self.ids[w] for w in p.encode().split()]) for p, label in phrases.items()]
 
     def scan(self, text: str | None) -> dict:
@@ -178,36 +243,85 @@ class Scanner:
                 run = ids[first : first + int(ends[s] - starts[s])].astype(np.int64).tolist()
                 for end, length, n, stop in self.automaton.matches_by_place(run):
                     spans.setdefault(n, []).append((first + end - length, first + end, stop - length, stop))
-        found = {n: chain(s, self.lengths[n]) for n, s in spans.items()}
-        own = sorted({self.labels[n] for n, (c, _) in found.items() if c >= COVERED})
+        best, kept = self.explain(words, ids, spans)
+        own = sorted({self.labels[n] for n, _, _ in kept})
         starts_ = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
         return {
             "n_words": len(words), "n_base": len(starts_), "first_word": int(starts_.min()) if len(starts_) else None, "last_word": int(starts_.max()) if len(starts_) else None,
-            "base_labels": ",".join(sorted(set(base))), "labels": ",".join(sorted({*base, *own})), "score": float(max((c for c, _ in found.values()), default=0.0)),
-            "spans": [(self.labels[n], a, b) for n, (c, (a, b)) in sorted(found.items()) if c >= COVERED],
+            "base_labels": ",".join(sorted(set(base))), "labels": ",".join(sorted({*base, *own})), "score": best,
+            "spans": [(self.labels[n], a, b) for n, a, b in sorted(kept)],
         }
 
-
-def chain(spans: list[tuple[int, int, int, int]], length: int, gap: int = GAP) -> tuple[float, tuple[int, int]]:
-    """Best coverage by spans that follow one another in text and template, ``gap`` words apart at most, and where it lies."""
-    best: tuple[float, tuple[int, int]] = (0.0, (0, 0))
-    covered: list[tuple[int, int]] = []  # words covered by the best chain that ends in the span, and its start
+    def explain(self, words: list[bytes], ids: np.ndarray, spans: dict[int, list[tuple[int, int, int, int]]]) -> tuple[float, list[tuple[int, int, int]]]:
+        """The greatest coverage of any template, and (template, start, stop) of those that give their label; each word speaks for one label."""
+        named = [int(i) for i in np.flatnonzero(np.isin(ids, list(self.named)))] if spans else []
+
+        def parted(n: int, start: int, stop: int) -> bool:
+            return words[start - 1].isdigit() and words[start].isdigit() or any(start <= i < stop and int(ids[i]) not in self.held[n] for i in named)
+
+        def chained(n: int) -> tuple[int, list[tuple[int, int]]]:
+            return chain(spans[n], (lambda start, stop: parted(n, start, stop)) if self.lengths[n] <= NOTICE else None)
+
+        found, kept = {n: chained(n) for n in spans}, []
+        share = lambda n: found[n][0] / self.lengths[n]
+        best = float(max(map(share, found), default=0.0))
+        while good := [n for n in found if share(n) >= COVERED]:
+            n = max(good, key=lambda n: (2 * found[n][0] - self.lengths[n], -n))
+            taken, others = found[n][1], [n]
+            if self.needed[n] <= {int(ids[i]) for a, b in taken for i in range(a, b)}:
+                kept.append((n, taken[0][0], taken[-1][1]))
+                others += [m for m in found if self.labels[m] != self.labels[n]]
+            for m in others:
+                rest = without(spans[m], taken)
+                if rest != spans[m]:
+                    spans[m] = rest
+                    found[m] = chained(m)
+        return best, kept
+
+
+def chain(spans: list[tuple[int, int, int, int]], parted: Callable[[int, int], bool] | None = None, gap: int = GAP) -> tuple[int, list[tuple[int, int]]]:
+    """Most words covered by spans that follow one another in text and template, ``gap`` words apart at most, and where they lie; no step over words of the text that are ``parted``."""
     spans = sorted(set(spans))
-    low = 0
+    covered: list[tuple[int, int, int]] = []  # words covered by the best chain that ends in the span, less its start, and the span before
+    near: list[int] = []
     for i, (a, b, ta, tb) in enumerate(spans):
-        own = (tb - ta, a)
-        while low < i and spans[low][1] + gap < a:
-            low += 1
-        for j in range(low, i):
+        near = [j for j in near if spans[j][1] + gap >= a]
+        own = (b - a, -a, -1)
+        for j in near:
             _, pb, _, ptb = spans[j]
             more = (b - a) - max(pb - a, ptb - ta, 0)  # a word of the text, and one of the template, counts once
-            if more > 0 and a <= pb + gap:
-                own = max(own, (covered[j][0] + more, covered[j][1]), key=lambda x: (x[0], -x[1]))
+            if more > 0 and (covered[j][0] + more, covered[j][1]) > own[:2] and not (parted and pb < a and parted(pb, a)):
+                own = (covered[j][0] + more, covered[j][1], j)
         covered.append(own)
-        share = min(1.0, own[0] / length)
-        if share > best[0]:
-            best = (share, (own[1], b))
-    return best
+        near.append(i)
+    i = max(range(len(spans)), key=lambda i: (covered[i][0], -i), default=-1)
+    most, places = covered[i][0] if spans else 0, []
+    while i >= 0:
+        places.append(spans[i][:2])
+        i = covered[i][2]
+    return most, places[::-1]
+
+
+def without(spans: list[tuple[int, int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """What is left of the spans, in runs of ``MIN_MATCH`` words or more, when those words of the text are taken."""
+    for x, y in taken:
+        left = []
+        for a, b, ta, tb in spans:
+            if b <= x or y <= a:
+                left.append((a, b, ta, tb))
+                continue
+            if x - a >= MIN_MATCH:
+                left.append((a, x, ta, tb - (b - x)))
+            if b - y >= MIN_MATCH:
+                left.append((y, b, ta + y - a, tb))
+        spans = left
+    return spans
+
+
+@lru_cache(maxsize=2)
+def scanner_of(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> Scanner:
+    """Built once per Python worker."""
+    return Scanner(list(templates), dict(phrases))
 
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,stop:long>>"
@@ -216,8 +330,10 @@ SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Words, phrase places, labels, score and the covered text spans of every document."""
 
+    given = tuple(map(tuple, templates)), tuple(phrases.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = scanner_of(*given)
         kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         for batch in slices(batches, "text"):
             out = [scanner.scan(t) for t in batch.column("text").to_pylist()]
