@@ -1,12 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items become lower-case words with single blanks between them. An item is cut into windows
-of ``WINDOW`` words, one every ``STRIDE``, so that a passage quoted in part is found too. A window of
-``m`` characters may differ by ``e = floor(m * RATE)`` edits; cut into ``e + 1`` pieces, at least one
-piece of it stands unchanged in any text that holds it within budget. All pieces form one
-Aho-Corasick automaton; every hit fixes a place in the text, and Myers' bit-parallel algorithm finds
-the window's least edit distance there. A document is contaminated by an item if any of its windows
-lies within its budget.
+Texts and items become lower-case words with single blanks between them. Every run of ``WINDOW`` words of
+an item is a window, so that a passage quoted in part is found too; so are runs of ``LONG`` words, one every
+``LONG_STRIDE``, whose greater budget lets edits lie close together. A window of ``m`` characters may differ
+by ``e = floor(m * RATE)`` edits; cut into ``e + 1`` pieces, at least one piece of it stands unchanged in
+any text that holds it within budget. Or it may differ by up to ``WORD_EDITS`` whole words, replaced, put
+in or left out; then a run of ``GRAM`` of its words stands unchanged. Both kinds of pieces form one
+Aho-Corasick automaton; every hit fixes a place in the text, and Myers' bit-parallel algorithm finds the
+window's least edit distance there, in characters or in words. A document is contaminated by an item if
+any of its windows lies within a budget.
 
 The items are the query set: they are broadcast in blocks of ``BLOCK_BYTES`` of text at most, and each
 block meets every document, whole, where it is read. Nothing is shuffled.
@@ -19,7 +21,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import slices, table
 
-WINDOW, STRIDE, MIN_WORDS, RATE = 20, 10, 6, 0.06
-BLOCK_BYTES = 8 << 20
+WINDOW, STRIDE, MIN_WORDS, RATE = 13, 1, 6, 0.06
+LONG, LONG_STRIDE = 20, 10
+WORD_EDITS, GRAM = 2, 4
+BLOCK_BYTES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 FOUND = "doc_id long, item_id long, n_windows long, distance long, at long"
@@ -40,14 +45,22 @@ def normalised(text: str | None) -> str:
 
 
 def windows(text: str | None, window: int = WINDOW, stride: int = STRIDE) -> list[str]:
-    """Windows of an item; the last one ends with it."""
+    """Windows of an item, the shorter ones first; the last one of either length ends with it."""
     words = normalised(text).split(" ")
     if len(words) < MIN_WORDS:
         return []
-    starts = list(range(0, max(1, len(words) - window + 1), stride))
-    if starts[-1] + window < len(words):
-        starts.append(len(words) - window)
-    return [" ".join(words[s : s + window]) for s in starts]
+    found: dict[str, None] = {}
+    for size, step in ((window, stride), (max(window, LONG), LONG_STRIDE)):
+        starts = list(range(0, max(1, len(words) - size + 1), step))
+        if starts[-1] + size < len(words):
+            starts.append(len(words) - size)
+        found |= dict.fromkeys(" ".join(words[s : s + size]) for s in starts)
+    return list(found)
+
+
+def word_budget(n: int) -> int:
+    """Whole words that may differ in a window of ``n``: so many that ``GRAM`` words in a row are still the same."""
+    return min(WORD_EDITS, max(0, n // GRAM - 1))
 
 
 def budget(m: int, rate: float = RATE) -> int:
@@ -61,7 +74,7 @@ def pieces(pattern: str, errors: int) -> list[tuple[int, str]]:
     return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str, errors: int) -> tuple[int, int] | None:
+def myers(pattern: Sequence[str], text: Sequence[str], errors: int) -> tuple[int, int] | None:
     """(distance, end) of the pattern's best match anywhere in ``text`` within ``errors``; the earliest of equals."""
     m = len(pattern)
     peq: dict[str, int] = {}
@@ -94,17 +107,24 @@ class Matcher:
         import ahocorasick
 
         self.patterns: list[tuple[int, str, int]] = []
+        self.words: list[list[str]] = []
         at: dict[str, list[tuple[int, int]]] = {}
+        grams: dict[str, list[tuple[int, int]]] = {}
         for row, (_, text) in enumerate(items):
             for p in windows(text, window, stride):
-                e = budget(len(p), rate)
+                e, words, n = budget(len(p), rate), p.split(" "), len(self.patterns)
                 for offset, piece in pieces(p, e):
-                    at.setdefault(piece, []).append((len(self.patterns), offset))
+                    at.setdefault(piece, []).append((n, offset))
+                if errors := word_budget(len(words)):
+                    cuts = [i * len(words) // (errors + 1) for i in range(errors + 2)]
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        grams.setdefault(" " + " ".join(words[x:y]) + " ", []).append((n, x))
                 self.patterns.append((row, p, e))
+                self.words.append(words)
         self.items = [i for i, _ in items]
         self.auto = ahocorasick.Automaton()
-        for piece, places in at.items():
-            self.auto.add_word(piece, (len(piece), places))
+        for piece in at.keys() | grams.keys():
+            self.auto.add_word(piece, (len(piece), at.get(piece, []), grams.get(piece, [])))
         if at:
             self.auto.make_automaton()
 
@@ -114,11 +134,18 @@ class Matcher:
         if not t or not self.patterns:
             return []
         seen: set[tuple[int, int]] = set()
+        near: set[tuple[int, int]] = set()  # windows and words of the text where they may start
+        blanks: list[int] = []
         found: dict[int, dict[int, tuple[int, int]]] = {}
-        for end, (length, places) in self.auto.iter(t):
+
+        def note(w: int, distance: int, end: int) -> None:
+            best = found.setdefault(self.patterns[w][0], {})
+            best[w] = min(best.get(w, (distance, end)), (distance, end))
+
+        for end, (length, places, grams) in self.auto.iter(" " + t + " "):
             for w, offset in places:
-                row, p, e = self.patterns[w]
-                start = end + 1 - length - offset
+                _, p, e = self.patterns[w]
+                start = end - length - offset
                 band = start // (e + 1)
                 if (w, band) in seen:
                     continue
@@ -128,10 +155,32 @@ class Matcher:
                 exact = t.find(p, low, high)
                 hit = (0, exact + len(p) - low) if exact >= 0 else myers(p, t[low:high], e)
                 if hit is not None:
-                    best = found.setdefault(row, {})
-                    best[w] = min(best.get(w, (e + 1, 0)), (hit[0], low + hit[1]))
+                    note(w, hit[0], low + hit[1])
+            if grams:
+                blanks = blanks or [m.start() for m in re.finditer(" ", t + " ")]
+                first = bisect_left(blanks, end - length)
+                first += end - length >= 0
+                near.update((w, first - offset) for w, offset in grams)
+        if near:
+            self._by_words(t, blanks, near, found, note)
         return [(self.items[row], len(best), *min(best.values())) for row, best in sorted(found.items())]
 
+    def _by_words(self, t: str, blanks: list[int], near: set[tuple[int, int]], found: dict[int, dict[int, tuple[int, int]]], note: Callable[[int, int, int], None]) -> None:
+        """The windows, not found yet, that differ by whole words."""
+        words = t.split(" ")
+        for w, start in sorted(near):
+            row, p, _ = self.patterns[w]
+            if w in found.get(row, {}):
+                continue
+            own, e = self.words[w], word_budget(len(self.words[w]))
+            low, high = max(0, start - e), min(len(words), start + len(own) + e)
+            hit = myers(own, words[low:high], e)
+            if hit is not None:
+                stop = low + hit[1]
+                begin = max(0, stop - len(own) - e)
+                distance, _ = myers(p, " ".join(words[begin:stop]), len(p))
+                note(w, distance, blanks[stop - 1])
+
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items, a bounded block at a time."""

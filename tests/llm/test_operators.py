@@ -310,6 +310,30 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, b).collect() == [] and decontaminate.contaminated(d, b.limit(0)).collect() == []
 
 
+def test_quotes_in_part_and_with_replaced_words_are_found():
+    rng = random.Random(14)
+    items = [(i, words(rng, 60, "abcdefghijklmnop")) for i in range(20)]
+    matcher = decontaminate.Matcher(items)
+    some = lambda n: words(rng, n, "qrstuvwxyz")
+    for i, text in items:
+        w = text.split()
+        for n in (13, 20, 24, 26):
+            at = rng.randrange(len(w) - n + 1)
+            assert [f[0] for f in matcher.find(some(30) + " " + " ".join(w[at : at + n]) + " " + some(30))] == [i]
+        tenth = ["replacement" if k % 10 == 9 else x for k, x in enumerate(w)]
+        fewer = [x for k, x in enumerate(w[10:30]) if k not in (5, 11)]
+        more = w[10:16] + ["additional"] + w[16:19] + ["additional"] + w[19:23]
+        for changed in (tenth, fewer, more):
+            assert [f[0] for f in matcher.find(some(30) + " " + " ".join(changed) + " " + some(30))] == [i]
+            assert [f[0] for f in matcher.find(" ".join(changed))] == [i]
+        assert matcher.find(" ".join(x if k % 4 else "replacement" for k, x in enumerate(w))) == []
+    for i in range(20):
+        p = items[i][1].split()[3:16]
+        (hit,) = decontaminate.Matcher([(7, " ".join(p))]).find("zz yy " + " ".join([*p[:5], "qq", *p[6:]]) + " xx")
+        t = "zz yy " + " ".join([*p[:5], "qq", *p[6:]])
+        assert hit == (7, 1, distance(" ".join(p), t + " xx"), len(t))
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(6)
     for _ in range(200):
