@@ -13,8 +13,10 @@ any of its windows lies within a budget.
 The items are the query set: they are broadcast in blocks of ``BLOCK_BYTES`` of text at most, and each
 block meets every document, whole, where it is read. Nothing is shuffled.
 
-Defined results: null or empty texts and items, and items of fewer than ``MIN_WORDS`` words, match
-nothing; repeated documents and items give their rows each; an empty table gives an empty result;
+Where a script has no blanks between words (Chinese, Japanese, Thai and others), every letter is a word.
+
+Defined results: null or empty texts and items match nothing; items of fewer than ``MIN_WORDS`` words match
+unchanged and at word borders only; repeated documents and items give their rows each; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -35,19 +37,24 @@ WINDOW, STRIDE, MIN_WORDS, RATE = 13, 1, 6, 0.06
 LONG, LONG_STRIDE = 20, 10
 WORD_EDITS, GRAM = 2, 4
 BLOCK_BYTES = 1 << 20
-_WORD = re.compile(r"[^\W_]+")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD, _LETTER = re.compile(r"[^\W_]+"), re.compile(f"[^\\W_{_UNSPACED}]+|[^\\W_]")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 
 FOUND = "doc_id long, item_id long, n_windows long, distance long, at long"
 
 
 def normalised(text: str | None) -> str:
-    return " ".join(_WORD.findall(text.lower())) if text else ""
+    if not text:
+        return ""
+    word = _LETTER if not text.isascii() and _ANY_UNSPACED.search(text) else _WORD
+    return " ".join(word.findall(text.lower()))
 
 
 def windows(text: str | None, window: int = WINDOW, stride: int = STRIDE) -> list[str]:
     """Windows of an item, the shorter ones first; the last one of either length ends with it."""
-    words = normalised(text).split(" ")
-    if len(words) < MIN_WORDS:
+    words = normalised(text).split()
+    if not words:
         return []
     found: dict[str, None] = {}
     for size, step in ((window, stride), (max(window, LONG), LONG_STRIDE)):
@@ -110,10 +117,14 @@ class Matcher:
         self.words: list[list[str]] = []
         at: dict[str, list[tuple[int, int]]] = {}
         grams: dict[str, list[tuple[int, int]]] = {}
+        short: dict[str, list[int]] = {}
         for row, (_, text) in enumerate(items):
             for p in windows(text, window, stride):
                 e, words, n = budget(len(p), rate), p.split(" "), len(self.patterns)
-                for offset, piece in pieces(p, e):
+                if len(words) < MIN_WORDS:
+                    e = 0
+                    short.setdefault(f" {p} ", []).append(n)
+                for offset, piece in pieces(p, e) if len(words) >= MIN_WORDS else ():
                     at.setdefault(piece, []).append((n, offset))
                 if errors := word_budget(len(words)):
                     cuts = [i * len(words) // (errors + 1) for i in range(errors + 2)]
@@ -123,9 +134,9 @@ class Matcher:
                 self.words.append(words)
         self.items = [i for i, _ in items]
         self.auto = ahocorasick.Automaton()
-        for piece in at.keys() | grams.keys():
-            self.auto.add_word(piece, (len(piece), at.get(piece, []), grams.get(piece, [])))
-        if at:
+        for piece in at.keys() | grams.keys() | short.keys():
+            self.auto.add_word(piece, (len(piece), at.get(piece, []), grams.get(piece, []), short.get(piece, [])))
+        if self.patterns:
             self.auto.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
@@ -142,7 +153,9 @@ class Matcher:
             best = found.setdefault(self.patterns[w][0], {})
             best[w] = min(best.get(w, (distance, end)), (distance, end))
 
-        for end, (length, places, grams) in self.auto.iter(" " + t + " "):
+        for end, (length, places, grams, whole) in self.auto.iter(" " + t + " "):
+            for w in whole:
+                note(w, 0, end - 1)
             for w, offset in places:
                 _, p, e = self.patterns[w]
                 start = end - length - offset

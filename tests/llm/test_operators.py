@@ -334,6 +334,19 @@ def test_quotes_in_part_and_with_replaced_words_are_found():
         assert hit == (7, 1, distance(" ".join(p), t + " xx"), len(t))
 
 
+def test_short_items_and_scripts_without_blanks_are_found():
+    rng = random.Random(15)
+    find = lambda item, text: [(f[0], f[2], f[3]) for f in decontaminate.Matcher([(1, item)]).find(text)]
+    assert find("Too short!", "it is too, SHORT to see") == [(1, 0, 15)] and find("Too short", "too short") == [(1, 0, 9)]
+    assert find("Too short", "it is too shortly") == find("Too short", "ato short") == find("", "too short") == find("...", "...") == []
+    for low, high in ((0x4E00, 0x9F00), (0x3041, 0x3090), (0x0E01, 0x0E2E)):
+        some = lambda n, low=low, high=high: "".join(chr(rng.randrange(low, high)) for _ in range(n))
+        item = some(60) + "\u3002" + some(80) + "\uff0c" + some(60)
+        for a, b in ((0, 202), (10, 40), (70, 100)):
+            assert [f[0] for f in find(item, some(50) + item[a:b] + some(50))] == [1]
+        assert find(item, some(300)) == [] and [f[:2] for f in find(item[:5], some(9) + item[:5] + some(9))] == [(1, 0)]
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(6)
     for _ in range(200):
