@@ -29,5 +29,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         labels, path = new.drop("changed"), new_path
         if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still change after {most_rounds} rounds")
     discard(spark, edge_path)
     return labels

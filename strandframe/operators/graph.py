@@ -65,39 +65,41 @@ def chainable(halves: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.where("loop IS NULL").select("node", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def splice_empty(links: DataFrame, empty: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Take nodes without sequence out: each of their neighbours on one side meets each on the other; runs need rounds."""
+def splice_empty(links: DataFrame, empty: DataFrame) -> DataFrame:
+    """Take nodes without sequence out: each of their neighbours on one side meets each on the other; a run takes a round a node, rings of empty nodes end."""
     whole, _ = stash(half_edges(links), "splice-links")
     gone = empty.select("node").distinct()
     there = gone.withColumnRenamed("node", "other")
     far = whole.select(F.col("node").alias("mid"), F.col("side").alias("mid_side"), F.col("other").alias("far"), F.col("other_side").alias("far_side"))
-    halves = whole.join(gone, "node", "left_anti").select("node", "side", "other", "other_side")
-    for _ in range(most_rounds):
-        halves, _ = stash(halves, "splice")
-        into = halves.join(there, "other")
-        if not into.limit(1).count():
-            break
+    new, _ = stash(whole.join(gone, "node", "left_anti").select("node", "side", "other", "other_side"), "splice")
+    halves = new
+    while True:
+        into = new.join(there, "other")
         out = into.select(F.col("other").alias("mid"), (1 - F.col("other_side")).alias("mid_side"), "node", "side")
-        new = out.join(far, ["mid", "mid_side"]).select("node", "side", F.col("far").alias("other"), F.col("far_side").alias("other_side"))
-        halves = halves.join(there, "other", "left_anti").select(*new.columns).unionAll(new).distinct()
+        step = out.join(far, ["mid", "mid_side"]).select("node", "side", F.col("far").alias("other"), F.col("far_side").alias("other_side")).distinct()
+        new, _ = stash(step.join(halves, halves.columns, "left_anti").select(*halves.columns), "splice")
+        if not new.limit(1).count():
+            break
+        halves, _ = stash(halves.unionAll(new), "splice")
     return halves.join(there, "other", "left_anti").select("node", "side", "other", "other_side")
 
 
-def bfs(edges: DataFrame, start: DataFrame, most_depth: int = 1000, allowed: DataFrame | None = None) -> DataFrame:
-    """(node, depth) from ``start(node)`` over undirected ``edges(a, b)``, within ``allowed`` nodes; a frontier a round."""
+def bfs(edges: DataFrame, start: DataFrame, most_depth: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(node, depth) from ``start(node)`` over undirected ``edges(a, b)``, within ``allowed`` nodes; a frontier a round, until none is left or at ``most_depth``."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     if allowed is not None:
         both = both.join(allowed.select(F.col("node").alias("b")), "b").select("a", "b")
         start = start.join(allowed, "node")
     both, _ = stash(both, "bfs-edges")
     seen, _ = stash(start.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
-    frontier = seen
-    for depth in range(1, most_depth + 1):
+    frontier, depth = seen, 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
         step = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier, _ = stash(step, "bfs")
         if not frontier.limit(1).count():
             break
-        seen = seen.unionAll(frontier)
+        seen, _ = stash(seen.unionAll(frontier), "bfs")
     return seen
 
 

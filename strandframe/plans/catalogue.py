@@ -221,7 +221,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT DISTINCT a AS node, 0 AS depth FROM ed WHERE a < 20 UNION SELECT b, depth + 1 FROM r JOIN bo ON r.node = bo.a WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir)
-    return G.bfs(e, e.where("a < 20").select(F.col("a").alias("node")), 40)
+    return G.bfs(e, e.where("a < 20").select(F.col("a").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {E49}, fl AS (SELECT node, (node % 3 = 0) AS flag FROM (SELECT a AS node FROM ed UNION SELECT b FROM ed)), s AS (SELECT a, b FROM ed JOIN fl x ON x.node = a JOIN fl y ON y.node = b WHERE x.flag = y.flag),

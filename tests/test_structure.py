@@ -186,3 +186,22 @@ def test_trio(spark):
     p = spark.createDataFrame([("mat", "AAAAC"), ("pat", "GTTGC")], "parent string, kmer string")
     assert tuple(pipelines.phase_trio(s, p, 5).first()) == ("c", 0, 2, True)
     assert kmers.kmer_counts(s.limit(0), 5).collect() == []
+
+
+def test_no_round_limit_leaves_nodes_out(spark, monkeypatch):
+    import inspect
+
+    from strandframe.operators import components, graph
+    from strandframe.plans import catalogue
+
+    n = 44
+    path = spark.range(n).selectExpr("id AS a", "id + 1 AS b").coalesce(1)
+    monkeypatch.setattr(catalogue, "_edges", lambda *_: path.selectExpr("a + 19 AS a", "b + 19 AS b"))
+    assert {r.node: r.depth for r in catalogue.bfs_layers(spark, "").collect()} == {k + 19: k for k in range(n + 1)}
+    assert not {"most_rounds"} & set(inspect.signature(graph.splice_empty).parameters)
+    ring = [(0, 1), (1, 2), (2, 3), (3, 1), (3, 9)]
+    links = spark.createDataFrame([(a, False, b, False) for a, b in ring], "node_a long, rev_a boolean, node_b long, rev_b boolean")
+    empty = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    assert {tuple(r) for r in graph.splice_empty(links, empty).collect()} == {(0, 1, 9, 0), (9, 0, 0, 1)}
+    with pytest.raises(RuntimeError):
+        components.connected_components(path, most_rounds=1)
