@@ -1,12 +1,12 @@
 """Chat formatting with prefix-target expansion, in built-in DataFrame functions only.
 
-Every turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Every assistant turn is an example of its
-own: all preceding turns are its context, and only its reply is trainable. All examples of one
-conversation are prefixes of the same formatted stream, so the stream is kept once, in chunks of
-``CHUNK`` turn numbers, and an example is a pair of spans in it: ``[0, target_start)`` is context and
-``[target_start, target_start + target_chars)`` is under the loss mask. A conversation of any length
-thus costs space in proportion to its length, and no task holds more than a chunk while formatting.
-``materialise`` gives the examples' full texts, whose size is by nature quadratic.
+Every turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Every assistant turn is exploded into an example
+of its own, a row of the ``examples`` table: all preceding turns are its context, and only its reply is
+trainable. All contexts of one conversation are prefixes of the same formatted stream, so the stream is
+written once, in chunks of ``CHUNK`` turn numbers, and an example names its context by length and its reply
+by a span. A conversation of any length thus costs space in proportion to its length, and no task holds
+more than a chunk while formatting (turns of equal or null number share a chunk, as their order is that of
+their texts). ``materialise`` gives the examples' full texts, whose size is by nature quadratic.
 
 Escapes: ``\\`` becomes ``\\b``, the first character of any control string is followed by ``\\p``, and a
 newline in a role becomes ``\\n``. No control string is left in an escaped text, and ``unescape`` gives
@@ -19,10 +19,10 @@ empty table gives no chunks; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stash, table
+from strandframe.llm.common import discard, fresh_path, stash, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates in common use give a meaning to.
@@ -60,30 +60,51 @@ def format_chunks(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def examples(chunks: DataFrame) -> DataFrame:
-    """One row per assistant turn: where its context ends and what is trainable, in the conversation's stream."""
-    from pyspark.sql import Window
+    """One row per assistant turn: all that stands before it is context, and only its reply is trainable.
 
+    ``context_chars`` counts from the begin of the conversation's stream; ``start`` is the reply's place in
+    its chunk, and ``target_chars`` its length.
+    """
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumns({"base": F.coalesce(F.sum("chars").over(before), F.lit(0)), "earlier": F.coalesce(F.sum(F.size("targets")).over(before), F.lit(0))})
+    sizes = chunks.select("conv_id", "chunk", "chars", "targets")
+    placed = sizes.withColumns({"base": F.coalesce(F.sum("chars").over(before), F.lit(0)), "earlier": F.coalesce(F.sum(F.size("targets")).over(before), F.lit(0))})
     each = placed.select("conv_id", "chunk", "base", "earlier", F.posexplode("targets").alias("i", "t"))
-    return each.select("conv_id", (F.col("earlier") + F.col("i")).alias("example"), "chunk", (F.col("base") + F.col("t.start")).alias("target_start"), F.col("t.chars").cast("long").alias("target_chars"))
+    return each.select("conv_id", (F.col("earlier") + F.col("i")).alias("example"), "chunk", (F.col("base") + F.col("t.start")).alias("context_chars"), F.col("t.start").cast("long").alias("start"), F.col("t.chars").cast("long").alias("target_chars"))
 
 
-def materialise(chunks: DataFrame) -> DataFrame:
+def materialise(chunks: DataFrame, examples: DataFrame) -> DataFrame:
     """Context and target texts of every example (quadratic in a conversation's length by nature)."""
-    e = examples(chunks)
-    streams = e.join(chunks.select("conv_id", F.col("chunk").alias("c"), "formatted"), "conv_id").where(F.col("c") <= F.col("chunk"))
-    whole = streams.groupBy("conv_id", "example", "target_start", "target_chars").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "formatted"))), lambda x: x.formatted), "").alias("s"))
-    return whole.select("conv_id", "example", F.expr("substring(s, 1, int(target_start))").alias("context"), F.expr("substring(s, int(target_start) + 1, int(target_chars))").alias("target"))
+    stream = chunks.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("c"), "formatted")
+    parts = examples.join(stream, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("c") <= F.col("chunk")))
+    whole = parts.groupBy("conv_id", "example", "context_chars", "target_chars").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "formatted"))), lambda x: x.formatted), "").alias("s"))
+    return whole.select("conv_id", "example", F.expr("substring(s, 1, int(context_chars))").alias("context"), F.expr("substring(s, int(context_chars) + 1, int(target_chars))").alias("target"))
 
 
-def read_back(chunks: DataFrame) -> DataFrame:
-    """Per conversation, from formatted text and spans alone: turns, digests and loss text, unescaped."""
+def write_examples(conversations: DataFrame, path: str, chunk: int = CHUNK) -> None:
+    """Two tables in a folder: ``streams`` (the formatted chunks) and ``examples`` (a row per assistant turn)."""
+    spark = conversations.sparkSession
+    made, at = stash(format_chunks(conversations, chunk), "chat")
+    made.select("conv_id", "chunk", "n_turns", "chars", "formatted").write.parquet(f"{path}/streams")
+    examples(made).write.parquet(f"{path}/examples")
+    discard(spark, at)
+
+
+def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/streams"), spark.read.parquet(f"{path}/examples")
+
+
+def read_back(streams: DataFrame, examples: DataFrame) -> DataFrame:
+    """Per conversation, from what was written alone: its turns from the stream, and the text under the loss mask of its examples, unescaped.
+
+    Examples meet their chunk as one row of spans, so a chunk's text is not copied for each of them.
+    """
+    spans = examples.groupBy(F.col("conv_id").alias("conv"), F.col("chunk").alias("c")).agg(F.sort_array(F.collect_list(F.struct("example", "start", "target_chars"))).alias("spans"))
+    both = streams.join(spans, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("chunk") == F.col("c")), "left")
     roles, texts = (F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(g)) for g in (1, 2))
-    c = chunks.select("conv_id", "chunk", "chars", "formatted", "targets", F.arrays_zip(roles.alias("role"), texts.alias("text")).alias("turns"))
+    c = both.select("conv_id", "chunk", "chars", "formatted", "spans", F.arrays_zip(roles.alias("role"), texts.alias("text")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(unescape(t.role, True), F.lit("\n"), unescape(t.text), F.lit("\n"))), "")
     stream = F.col("formatted")
-    loss = F.array_join(F.transform("targets", lambda t: unescape(F.substring(stream, t.start + 1, t.chars))), "")
+    loss = F.array_join(F.transform(F.coalesce("spans", F.array()), lambda t: unescape(F.substring(stream, (t.start + 1).cast("int"), t.target_chars.cast("int")))), "")
     parts = c.select("conv_id", "chars", F.size("turns").cast("long").alias("n"), F.struct("chunk", said.alias("said"), loss.alias("loss")).alias("p"))
     whole = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list("p")).alias("ps"))
     joined = lambda name: F.array_join(F.transform("ps", lambda p: p[name]), "")
@@ -93,8 +114,9 @@ def read_back(chunks: DataFrame) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "'</s>[INST] ok [/INST]'"
     extra = spark.range(2).selectExpr("-7L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"{probe} text")
-    chunks = format_chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    return read_back(stash(chunks, "chat")[0])
+    path = fresh_path(spark, "chat-examples")
+    write_examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), path)
+    return read_back(*read_examples(spark, path))
 
 
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\b'), '(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\p\2\4', 'g')"
