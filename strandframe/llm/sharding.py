@@ -2,27 +2,32 @@
 
 A document's id is hashed into one of ``SLOTS`` virtual slots, which never change. Bytes and rows are
 aggregated per slot; that table has ``SLOTS`` rows at most, whatever the input, so it may come to the
-driver, which keeps a *versioned* map of slots to shards. Version 0 deals the slots, largest first,
-to the lightest shard. Later versions are edits of the one before: ``rebalance`` moves as few slots as
-bring the sizes close again, ``grow`` moves slots to a new shard only.
+driver, which keeps a *versioned* map of slots to shards in a folder: ``version=0`` deals the slots in
+turn, and each later version is an edit of the one before. ``rebalance`` moves single slots until the
+sizes are close again, ``grow`` moves slots to a new shard only. Assignment applies the version that was
+read from the folder, so any reader of an older version can tell where a document was then.
 
-The law kept is ``bytes``: sizes of the shards are near equal.
+The law kept is ``bytes``: sizes of the shards are near equal. A document beyond the mean size of a
+shard cannot be split, so its shard stays as heavy as its slot.
 
-Defined results: null text has 16 bytes and the checksum of nothing; null doc_ids share a slot of
-their own hash; repeated rows go to the same shard at places of their own; an empty table gives no
+Defined results: null text has 16 bytes and the checksum of nothing; rows of null doc_id are
+spread over all slots by their place in the scan; repeated rows go to the same shard at places of their own; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stash, table
+from strandframe.llm.common import fresh_path, stash, table
 
 SLOTS, SHARDS, OVERHEAD = 16_384, 40, 16
+#: The map is edited when shards differ by more than this share of their mean.
+TOLERANCE = 0.002
 
 
 def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
@@ -30,9 +35,14 @@ def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """What is needed to place a document; the text stays where it is."""
+    """What is needed to place a document; the text stays where it is.
+
+    Rows without an id have no key of their own, so they are dealt over all slots by their number in the
+    scan; the caller writes the table before it is read twice, which fixes that number.
+    """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"))
+    spread = F.when(F.col("doc_id").isNotNull(), virtual_slot(F.col("doc_id"), slots)).otherwise(virtual_slot(F.monotonically_increasing_id(), slots))
+    return docs.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), spread.alias("virtual_slot"))
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -53,6 +63,11 @@ class SlotMap:
     def __init__(self, shard: list[int], shards: int, version: int = 0) -> None:
         self.shard, self.shards, self.version = shard, shards, version
 
+    @classmethod
+    def dealt(cls, shards: int = SHARDS, slots: int = SLOTS) -> SlotMap:
+        """Version 0, made before any size is known: the slots one after another."""
+        return cls([k % shards for k in range(slots)], shards)
+
     @classmethod
     def balanced(cls, sizes: dict[int, tuple[int, int]], shards: int = SHARDS, slots: int = SLOTS) -> SlotMap:
         """Largest slot first, to the lightest shard (fewest slots, then lowest number, when equal)."""
@@ -70,24 +85,40 @@ class SlotMap:
             out[self.shard[slot]] += b
         return out
 
-    def rebalance(self, sizes: dict[int, tuple[int, int]], tolerance: float = 0.02) -> SlotMap:
-        """Move slots from the heaviest to the lightest shard while that narrows the gap beyond the tolerance."""
+    def drift(self, sizes: dict[int, tuple[int, int]]) -> float:
+        """How much the heaviest shard exceeds the mean, as a share of it."""
+        load = self.loads(sizes)
+        return max(load) * self.shards / max(1, sum(load)) - 1
+
+    def rebalance(self, sizes: dict[int, tuple[int, int]], tolerance: float = TOLERANCE) -> SlotMap:
+        """The next version: slots move, one at a time, from the heaviest shard to the lightest.
+
+        The slot that moves is the one whose size comes nearest to half of the gap, so each edit narrows it
+        as far as one slot can. A shard that no move can lighten (a slot beyond the mean fills it) is set
+        aside, and the others are levelled without it.
+        """
         shard, load = list(self.shard), self.loads(sizes)
-        own: list[list[int]] = [[] for _ in range(self.shards)]
-        for slot in sizes:
-            own[shard[slot]].append(slot)
-        mean = sum(load) / max(1, self.shards)
-        while max(load) > (1 + tolerance) * mean:
-            a, b = load.index(max(load)), load.index(min(load))
-            fit = [k for k in own[a] if 0 < sizes[k][0] < load[a] - load[b]]
-            if not fit:
+        own: list[list[tuple[int, int]]] = [[] for _ in range(self.shards)]
+        for slot, (b, _) in sizes.items():
+            if b:
+                bisect.insort(own[shard[slot]], (b, slot))
+        level = set(range(self.shards))
+        while len(level) > 1:
+            a, b = max(level, key=lambda s: (load[s], -s)), min(level, key=lambda s: (load[s], s))
+            gap = load[a] - load[b]
+            if gap <= tolerance * sum(load[s] for s in level) / len(level):
                 break
-            k = min(fit, key=lambda x: (abs(load[a] - load[b] - 2 * sizes[x][0]), x))
-            own[a].remove(k)
-            own[b].append(k)
-            shard[k] = b
-            load[a] -= sizes[k][0]
-            load[b] += sizes[k][0]
+            at = bisect.bisect_left(own[a], (gap // 2, -1))
+            fit = [x for x in own[a][max(0, at - 1) : at + 1] if x[0] < gap]
+            if not fit:
+                level.discard(a)
+                continue
+            moved = min(fit, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
+            own[a].remove(moved)
+            bisect.insort(own[b], moved)
+            shard[moved[1]] = b
+            load[a] -= moved[0]
+            load[b] += moved[0]
         return SlotMap(shard, self.shards, self.version + 1)
 
     def grow(self, sizes: dict[int, tuple[int, int]]) -> SlotMap:
@@ -114,8 +145,43 @@ class SlotMap:
         return lookup(self.shard, slot).cast("int")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(version, virtual_slot, shard) rows, to be kept beside earlier versions."""
-        return spark.range(len(self.shard)).select(F.lit(self.version).alias("version"), F.col("id").cast("int").alias("virtual_slot"), self.column(F.col("id").cast("int")).alias("shard"))
+        """(virtual_slot, shard, shards) rows of this version."""
+        return spark.range(len(self.shard)).select(F.col("id").cast("int").alias("virtual_slot"), self.column(F.col("id").cast("int")).alias("shard"), F.lit(self.shards).alias("shards"))
+
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Write this version beside the earlier ones; a version is never written twice."""
+        self.frame(spark).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A stored version, the latest one if none is named."""
+        maps = spark.read.parquet(path)
+        at = maps.agg(F.max("version")).first()[0] if version is None else version
+        rows = maps.where(F.col("version") == at).collect()  # one row a slot
+        if sorted(r.virtual_slot for r in rows) != list(range(len(rows))) or not rows:
+            raise ValueError(f"version {at} of the slot map at {path} is not whole")
+        shard = [0] * len(rows)
+        for r in rows:
+            shard[r.virtual_slot] = r.shard
+        return cls(shard, rows[0].shards, at)
+
+
+def current_map(spark: SparkSession, path: str, sizes: dict[int, tuple[int, int]], shards: int = SHARDS, slots: int = SLOTS, tolerance: float = TOLERANCE) -> SlotMap:
+    """The latest stored map, edited and stored as the next version if the sizes have drifted from it.
+
+    Where no map is stored yet, version 0 is. What is applied is always what was read back.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        SlotMap.dealt(shards, slots).store(spark, path)
+    found = SlotMap.load(spark, path)
+    if sizes and found.drift(sizes) > tolerance:
+        edited = found.rebalance(sizes, tolerance)
+        if edited.shard != found.shard:
+            edited.store(spark, path)
+            found = SlotMap.load(spark, path, edited.version)
+    return found
 
 
 def assign(rows: DataFrame, slot_map: SlotMap, sizes: dict[int, tuple[int, int]]) -> DataFrame:
@@ -131,5 +197,5 @@ def assign(rows: DataFrame, slot_map: SlotMap, sizes: dict[int, tuple[int, int]]
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = stash(sized(table(spark, sf_dir, "documents")), "sized")
     sizes = slot_sizes(rows)
-    out = assign(rows, SlotMap.balanced(sizes), sizes)
+    out = assign(rows, current_map(spark, fresh_path(spark, "slot-map"), sizes), sizes)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
