@@ -138,28 +138,61 @@ def test_long_texts_are_scored_whole(monkeypatch):
 
 
 def test_warc(spark):
-    rows = [(3, "http://a/b c\r\nx", "<p>é</p>", 1), (1, None, "<p>é</p>", 2), (2, "http://z", None, 3), (5, "http://q", "", 4), (4, "u", "WARC/1.1\r\n\r\n", 5), (6, "v", "x\n" * 5000, 6)]
+    rows = [(3, "http://a/b c\r\nx\ty\0z", "<p>é</p>", 1), (1, None, "<p>é</p>", 2), (2, "http://z", None, 3), (5, "http://q", "", 4), (4, "u", "WARC/1.1\r\n\r\n", 5), (6, "v", "x\n" * 5000, 6), (None, "n", "no id", 7), (None, "m", "<p>é</p>", 8)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, payload long")
     path = fresh_path(spark, "t")
     warc.write_archive(d, path)
-    got = {r.page_id: r for r in warc.reconstruct(spark, path).collect()}
+    records = warc.reconstruct(spark, path)
+    got = {(r.page_id, r.payload_digest): r for r in warc.parse(records).collect()}
     first = {}
-    for p, _, h, _ in sorted(rows, key=lambda r: r[0]):
+    for p, _, h, _ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         first.setdefault(h or "", p)
     for p, _, h, _ in rows:
         raw = (h or "").encode()
-        r = got[p]
-        assert (r.stored_bytes, r.stored_sha1) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        r = got[(p, digest)]
+        assert r.payload_bytes == len(raw)
         assert r.record_type == ("response" if first[h or ""] == p else "revisit")
         assert r.refers_to == (None if first[h or ""] == p else first[h or ""])
-        fields, block = next(iter(warc.parse_records(bytes(r.record))))
-        assert fields["WARC-Type"] == r.record_type
-        assert block.endswith(raw) if r.record_type == "response" else raw not in block or not raw
-    empty = fresh_path(spark, "t")
+    by_page = {r.page_id: bytes(r.record) for r in records.where("page_id IS NOT NULL").collect()}
+    ((fields, block),) = warc.parse_records(by_page[3])
+    assert fields["WARC-Target-URI"] == "http://a/b%20c%0D%0Ax%09y%00z" and fields["WARC-Type"] == "revisit" and block.startswith(b"HTTP/1.1 200 OK")
+    ((_, block),) = warc.parse_records(by_page[6])
+    assert block.endswith(b"\r\n\r\n" + b"x\n" * 5000)
+    out = fresh_path(spark, "t")
+    warc.export(records, out)
+    files = spark.read.format("binaryFile").load(out).select("content").collect()
+    again = [b for f in files for b in warc.parse_records(zlib.decompress(bytes(f.content), 47))]
+    assert sorted(f["WARC-Record-ID"] for f, _ in again) == sorted(next(iter(warc.parse_records(bytes(r.record))))[0]["WARC-Record-ID"] for r in records.collect())
+    empty, twice = fresh_path(spark, "t"), fresh_path(spark, "t")
     warc.write_archive(d.limit(0), empty)
-    again = fresh_path(spark, "t")
-    warc.write_archive(d.unionAll(d), again)
-    assert warc.reconstruct(spark, again, with_payload=False).where("record_type = 'response'").count() == 4
+    assert warc.parse(warc.reconstruct(spark, empty)).collect() == []
+    warc.write_archive(d.unionAll(d), twice)
+    assert warc.parse(warc.reconstruct(spark, twice)).where("record_type = 'response'").count() == 5
+
+
+def test_warc_hot_payloads_and_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 20)
+    monkeypatch.setattr(warc, "BLOB_BYTES", 2000)
+    rows = [(i, f"http://h/{i}", "hot " * 100 if i % 3 else f"page {i} " + "q" * i) for i in range(300)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = fresh_path(spark, "t")
+    warc.write_archive(d, path)
+    got = {r.page_id: r for r in warc.parse(warc.reconstruct(spark, path)).collect()}
+    assert len(got) == 300 and all(got[i].payload_bytes == len(h) for i, _, h in rows)
+    assert [i for i in got if got[i].record_type == "revisit"] and all((got[i].refers_to == 1) == (i % 3 != 0 and i != 1) for i in got)
+    small = fresh_path(spark, "t")
+    warc.write_archive(d, small, min_revisit=401)
+    assert {r.record_type for r in warc.parse(warc.reconstruct(spark, small)).collect()} == {"response"}
+
+
+def test_warc_notices_a_changed_payload(spark):
+    path = fresh_path(spark, "t")
+    warc.write_archive(spark.createDataFrame([(1, "u", "abc"), (2, "v", "abcd")], "page_id long, url string, html string"), path)
+    records = warc.reconstruct(spark, path)
+    assert warc.parse(records).count() == 2
+    with pytest.raises(Exception, match="speaks of another payload"):
+        warc.parse(records.withColumn("record", F.expr("cast(replace(cast(record AS string), 'abc', 'abx') AS binary)"))).collect()
 
 
 def tokens(name, end, texts):
@@ -244,8 +277,10 @@ def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b <s> [INST] <|im_end|>\n"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, None, None, "x"), (2, 5, "assistant", "é" * 3), (2, 5, "assistant", "a"), (None, 0, "ro\nle", "<"), (3, 0, "user", "<|im_start|>\\p\\b")]
     rows += [(9, i, ["user", "assistant"][i % 2], f"t{i} <|im_start|>") for i in range(700)]
     d = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, chunk string, made long")
-    chunks = chat.format_chunks(d)
-    got = {r.conv_id: r for r in chat.read_back(chunks).collect()}
+    path = fresh_path(spark, "t")
+    chat.write_examples(d, path)
+    streams, made_examples = chat.read_examples(spark, path)
+    got = {r.conv_id: r for r in chat.read_back(streams, made_examples).collect()}
     turns = {}
     for c, t, role, text in rows:
         turns.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
@@ -254,12 +289,19 @@ def test_chat(spark):
         said, loss = "".join(f"{r}\n{x}\n" for _, _, r, x in ts), "".join(x for _, _, r, x in ts if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(ts), hashlib.sha256(said.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    small = chunks.where("conv_id = 1")
-    made = sorted(chat.materialise(small).collect(), key=lambda r: r.example)
+    small = made_examples.where("conv_id = 1")
+    made = sorted(chat.materialise(streams, small).collect(), key=lambda r: r.example)
     assert len(made) == 2 and made[1].context.startswith(made[0].context + made[0].target)
     assert not any(c in made[0].target for c in chat.CONTROL)
-    assert chat.examples(chunks).where("conv_id = 9").count() == 350
-    assert chat.read_back(chat.format_chunks(d.limit(0))).collect() == []
+    assert made_examples.where("conv_id = 9").count() == 350
+    assert made_examples.where("conv_id = 9").select("example").distinct().count() == 350
+    long = sorted(chat.materialise(streams, made_examples.where("conv_id = 9 AND example >= 340")).collect(), key=lambda r: r.example)
+    stream = "".join(r.formatted for r in streams.where("conv_id = 9").orderBy("chunk").collect())
+    for r in long:
+        assert stream.startswith(r.context + r.target) and r.context.endswith("<|im_start|>assistant\n") and r.target.startswith(f"t{2 * r.example + 1} ")
+    empty = fresh_path(spark, "t")
+    chat.write_examples(d.limit(0), empty)
+    assert chat.read_back(*chat.read_examples(spark, empty)).collect() == []
 
 
 def test_sharding(spark, docs, rows, none):
@@ -274,9 +316,37 @@ def test_sharding(spark, docs, rows, none):
     assert g.shards == 5 and g.version == 1 and all(b in (a, 4) for a, b in zip(m.shard, g.shard, strict=True))
     skewed = sharding.SlotMap([0] * sharding.SLOTS, 4)
     assert max(skewed.rebalance(sizes).loads(sizes)) < max(skewed.loads(sizes))
-    assert m.frame(spark).where("shard < 4").count() == sharding.SLOTS
     empty = sharding.sized(none)
-    assert sharding.assign(empty, sharding.SlotMap.balanced(sharding.slot_sizes(empty)), {}).collect() == []
+    assert sharding.assign(empty, sharding.current_map(spark, fresh_path(spark, "map"), {}), {}).collect() == []
+    same = spark.createDataFrame([(None, "x")] * 500, "doc_id long, text string")
+    assert sharding.sized(same).select("virtual_slot").distinct().count() > 400
+
+
+def test_slot_map_versions(spark):
+    rng = random.Random(3)
+    sizes = {k: (rng.randint(100, 3000), 1) for k in range(4000)}
+    path = fresh_path(spark, "map")
+    first = sharding.current_map(spark, path, sizes, 40, 4096)
+    assert first.version == 1 and first.drift(sizes) <= sharding.TOLERANCE
+    assert sharding.SlotMap.load(spark, path, 0).shard == [k % 40 for k in range(4096)]
+    assert sharding.current_map(spark, path, sizes, 40, 4096).version == 1  # nothing has drifted
+    grown = {k: (b * (3 if k % 40 == 7 else 1), n) for k, (b, n) in sizes.items()}
+    second = sharding.current_map(spark, path, grown, 40, 4096)
+    assert second.version == 2 and second.drift(grown) <= sharding.TOLERANCE < first.drift(grown)
+    assert sum(a != b for a, b in zip(first.shard, second.shard, strict=True)) < 1000  # an edit, not a new deal
+    assert sharding.SlotMap.load(spark, path, 1).shard == first.shard
+    with pytest.raises(Exception, match="exists"):
+        second.store(spark, path)
+    huge = {0: (10**9, 1)} | {k: (rng.randint(100, 200), 1) for k in range(1, 4000)}
+    load = sorted(sharding.SlotMap.dealt(40, 4096).rebalance(huge).loads(huge))
+    assert load[-1] == 10**9 and load[-2] - load[0] <= 0.01 * load[0]  # the others are level
+
+
+def test_shards_are_near_equal(spark):
+    out = sharding.op7_sharding(spark, "/root/testdata/sf0.1").groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("places")).collect()
+    assert len(out) == 40 and all(r.places == r.n == r.last + 1 for r in out)
+    mean = sum(r.b for r in out) / 40
+    assert max(r.b for r in out) <= 1.01 * mean and min(r.b for r in out) >= 0.99 * mean
 
 
 def distance(p, t):
