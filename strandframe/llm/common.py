@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandframe.sources.shared import discard, fresh_path, shared_dir, stash
 
-__all__ = ["WordCachedEncoder", "discard", "encoder", "fresh_path", "shared_dir", "slices", "stash", "table"]
+__all__ = ["WordCachedEncoder", "discard", "encoder", "fresh_path", "renamed", "shared_dir", "slices", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., and each name's new one: names with dots, or that clash with an operator's own, do no harm."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most_bytes`` a slice, one row at least."""
     for batch in batches:
@@ -43,7 +49,8 @@ class WordCachedEncoder:
 
     Both public vocabularies split a text into words before they merge bytes, and a single blank or
     newline between two other characters is always a word boundary. So a text's ids are its chunks'
-    ids, one after another. Texts whose white space is of another kind go to the library as they are.
+    ids, one after another. Texts whose white space is of another kind, or that hold one of the vocabulary's
+    control strings (which the library gives their special ids), go to the library as they are.
     The memory is bounded: it is emptied at ``most`` chunks.
     """
 
@@ -52,7 +59,7 @@ class WordCachedEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.drops_space, self.most = drops_space, most
         self.known: dict[str, bytes] = {}
         self._plain = Tokenizer(self.model.model)
@@ -138,6 +145,8 @@ class WordCachedEncoder:
 
     def _chunks(self, text: str) -> tuple[str, list[str]] | None:
         """The first word, encoded by itself where a blank counts, and the chunks that follow; None: no plain text."""
+        if any(t in text for t in self.special):
+            return None
         if self.drops_space:
             return "", [c for c in text.replace("\n", " ").split(" ") if c]
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
