@@ -3,16 +3,20 @@
 Texts are lower-cased; every run of characters that are no letters counts as one blank. The 1- to
 4-grams of code points are hashed into ``BUCKETS`` counters. Training counts n-grams per language in
 every partition (a ``languages x BUCKETS`` table at most comes out of a task) and adds them up; the
-driver turns the sum into smoothed log-probabilities, a matrix whose size the parameters fix, and
-broadcasts it. Scoring adds, for each document, the matrix's rows at its n-grams, in batches of numpy
-arrays; a text of any length is scored whole, piece by piece.
+driver turns the sum into smoothed log-probabilities and broadcasts the matrix, whose size is checked.
+
+Scoring takes many documents at once: their n-grams are one array of matrix rows, sparse but for the
+counts, which are gathered and added up per document by ``np.add.reduceat``. Log-probabilities are held as
+integers of ``1 / SCALE``, so that sums are exact, and a document's score is the same in any batch. A text of
+any length is scored whole, a piece at a time.
 
 The model is fitted on a bounded sample of labelled rows: about ``SAMPLE`` documents of each language,
-taken by a hash of doc_id, so that fitting costs the same at any scale.
+taken by a hash of doc_id, so that fitting costs the same at any scale. More than ``MOST_LANGUAGES`` labels
+are an error, as the matrix, the counts and the broadcast grow with them.
 
 Defined results: null text, or text without a letter: ``und`` with score 0. No labelled row at all:
 ``und`` for every document. Ties go to the language whose name comes first. Repeated rows are
-predicted alike; columns other than doc_id, text, lang are ignored.
+predicted alike; columns other than doc_id, text, lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import slices, table
+from strandframe.llm.common import renamed, slices, table
 
 BUCKETS, GRAMS, SMOOTHING = 1 << 15, (1, 2, 3, 4), 0.5
 #: Documents of each language that are fitted on, about.
 SAMPLE = 3000
 #: The score is the posterior of the mean n-gram log-likelihood times this many n-grams at most, so that it still tells sure from unsure texts.
 EVIDENCE = 200
-PIECE = 1 << 20
+#: Code points that are scored at once.
+PIECE = 1 << 16
+SCALE, MOST_LANGUAGES = 1 << 16, 512
 
 _LETTERS: np.ndarray | None = None
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,25 +84,73 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
+def gram_starts(c: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+    """Where the n-grams of ``buckets`` begin that lie within one document, given each code point's document."""
+    return doc[: len(c) - n + 1] == doc[n - 1 :]
+
+
 class Model:
-    """Languages and the log-probability matrix, ``BUCKETS x languages``."""
+    """Languages and the log-probability matrix, ``BUCKETS x languages``, in integers of ``1 / SCALE``."""
 
     def __init__(self, languages: list[str], log_prob: np.ndarray, prior: np.ndarray) -> None:
         self.languages, self.log_prob, self.prior = languages, log_prob, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        c = codes(text)
-        if not len(c) or not self.languages:
-            return "und", 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for start in range(0, len(c), PIECE):  # pieces overlap by an n-gram less one, counted once
-            b = buckets(c[start : start + PIECE]) if len(c) <= PIECE else np.concatenate([buckets_at(c, start, min(len(c), start + PIECE))])
-            total += (np.bincount(b, minlength=BUCKETS) @ self.log_prob) if len(b) > BUCKETS else self.log_prob[b].sum(axis=0, dtype=np.float64)
-            n += len(b)
-        x = (total * min(1.0, EVIDENCE / max(1, n))) + self.prior
-        p = np.exp(x - x.max())
-        best = int((total + self.prior).argmax())
-        return self.languages[best], float(p[best] / p.sum())
+    def totals(self, c: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log-probabilities and numbers of n-grams of documents whose code points lie in ``c``, one after another."""
+        k = len(ends)
+        total, count = np.zeros((k, len(self.languages)), dtype=np.int64), np.zeros(k, dtype=np.int64)
+        doc = np.repeat(np.arange(k), np.diff(ends, prepend=0))
+        b, at = buckets(c), 0
+        for n in GRAMS:
+            width = max(0, len(c) - n + 1)
+            if not width:
+                break
+            inside = gram_starts(c, n, doc)
+            rows, owner = b[at : at + width][inside], doc[:width][inside]
+            at += width
+            if len(rows):
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                total[owner[first]] += np.add.reduceat(self.log_prob[rows], first, axis=0, dtype=np.int64)
+                count += np.bincount(owner, minlength=k)
+        return total, count
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        k = len(texts)
+        total, count = np.zeros((k, len(self.languages)), dtype=np.int64), np.zeros(k, dtype=np.int64)
+        held: list[np.ndarray] = []
+        names: list[int] = []
+
+        def flush() -> None:
+            if held:
+                t, n = self.totals(np.concatenate(held), np.cumsum([len(x) for x in held]))
+                np.add.at(total, names, t)
+                np.add.at(count, names, n)
+                held.clear()
+                names.clear()
+
+        size = 0
+        for i, text in enumerate(texts if self.languages else ()):
+            c = codes(text)
+            for start in range(0, len(c), PIECE):
+                part = c[start : start + PIECE + max(GRAMS) - 1]
+                if start + PIECE < len(c):  # n-grams that begin in the piece, and no others
+                    b, per = buckets_at(c, start, start + PIECE), self.log_prob
+                    total[i] += per[b].sum(axis=0, dtype=np.int64)
+                    count[i] += len(b)
+                    continue
+                held.append(part)
+                names.append(i)
+                size += len(part)
+                if size >= PIECE:
+                    flush()
+                    size = 0
+        flush()
+        sums, n = total / SCALE, np.maximum(count, 1)[:, None]
+        best = (sums + self.prior).argmax(axis=1) if self.languages else np.zeros(k, dtype=np.int64)
+        x = sums * np.minimum(1.0, EVIDENCE / n) + self.prior
+        p = np.exp(x - x.max(axis=1, keepdims=True)) if self.languages else x
+        return [(self.languages[j], float(p[i, j] / p[i].sum())) if m else ("und", 0.0) for i, (j, m) in enumerate(zip(best.tolist(), count.tolist(), strict=True))]
 
 
 def buckets_at(c: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -113,9 +167,11 @@ def buckets_at(c: np.ndarray, start: int, end: int) -> np.ndarray:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``labelled(doc_id, text, lang)``; null languages and texts are left out by the caller."""
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages are more than the model holds; the most are {MOST_LANGUAGES}")
     languages = sorted(sizes)
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, sample / sizes[k]) * (1 << 31))))])
     taken = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.element_at(share, F.col("lang")))
@@ -145,7 +201,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in merged.collect():  # one row of fixed size per language
         counts[r.language] += np.frombuffer(zlib.decompress(bytes(r.counts)), dtype=np.int64)
     smooth = counts + SMOOTHING
-    log_prob = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    log_prob = np.rint(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T * SCALE).astype(np.int32)
     n = np.array([sizes[k] for k in languages], dtype=np.float64)
     return Model(languages, np.ascontiguousarray(log_prob), np.log(n / n.sum()))
 
@@ -157,7 +213,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text"):
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
+            found = m.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -166,14 +222,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """``docs`` in a language the model knows, with at least ``min_score``; all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain, name = renamed(docs)
+    text = name["text"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text"):
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text):
+            found = m.predict(batch.column(text).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
