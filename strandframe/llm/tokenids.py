@@ -4,14 +4,22 @@ A segment is one run of ascending doc_ids. Its blob, written to real files by Sp
 writer (which copies bytes as they are) and so into any store, is, all little-endian:
 
     magic "EFTK", version u32, bytes that follow u64,
-    partition u32, segment u32, documents u64, ids u64, low bits u32, high bytes u64, low bytes u64,
-    select samples u32, doc_id bytes u64,
-    high bits | low bits | select samples (u32 each) | doc_ids (delta varints, zigzag) | ids (u16 each)
+    partition u32, segment u32, ids of the partition before the segment u64,
+    documents u64, ids u64, low bits u32, high bytes u64, low bytes u64, select samples u32, doc_id bytes u64,
+    high bits | low bits | select samples (u32 each) | doc_ids (differences as i64, zlib) | ids (u16 each)
+
+A newline follows each blob, and a file is closed after ``FILE_SEGMENTS`` of them, so that a reader holds a
+bounded part of a partition at a time; since each segment says how many ids lie before it, files may be read
+in any order.
 
 The boundaries e_0 <= e_1 <= ... (ids up to the end of each document) are Elias-Fano coded: the low
 ``l = floor(log2(u / n))`` bits are packed side by side and the high parts are unary in a bitmap of
 ``n + (u >> l)`` bits, so a boundary takes about ``2 + log2(u / n)`` bits. Every 64th set bit's
-position is sampled; ``select(i)`` starts there and counts bits on from it.
+position is sampled; ``select(i)`` starts there and counts bits on from it. The reader finds every
+document's ids by ``select``.
+
+Ids are those of the plain library call: control strings of the vocabulary that stand in a text are their
+special ids.
 
 Defined results: null text has the end id alone; repeated doc_ids keep one entry each, ordered by
 text; null doc_id sorts first and is stored as the smallest 64-bit integer; an empty table gives no
@@ -31,12 +39,14 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import encoder, fresh_path, slices, stash, table
 
-MAGIC, VERSION = b"EFTK", 1
+MAGIC, VERSION = b"EFTK", 2
 HEAD = struct.Struct("<4sIQ")
-BODY = struct.Struct("<IIQQIQQIQ")
+BODY = struct.Struct("<IIQQQIQQIQ")
 SAMPLE = 64
 #: A segment is closed beyond so many ids, which bounds a blob to a few MB (one document may exceed it).
 SEGMENT_IDS = 1_000_000
+#: Segments of a file.
+FILE_SEGMENTS = 16
 NO_ID = -(1 << 63)
 
 
@@ -104,13 +114,13 @@ class EliasFano:
         return out
 
 
-def pack_segment(partition: int, segment: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """``ids``: each document's 16-bit ids, its end id included."""
+def pack_segment(partition: int, segment: int, before: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+    """``ids``: each document's 16-bit ids, its end id included; ``before``: ids of the partition's earlier segments."""
     ends = np.cumsum([len(x) // 2 for x in ids])
     ef = EliasFano.encode(ends)
     names = np.array([NO_ID if d is None else d for d in doc_ids], dtype="<i8")
     kept = zlib.compress(np.concatenate([names[:1], names[1:] - names[:-1]]).astype("<i8").tobytes(), 1)
-    body = BODY.pack(partition, segment, ef.n, int(ends[-1]) if len(ends) else 0, ef.l, len(ef.high), len(ef.low), len(ef.samples), len(kept))
+    body = BODY.pack(partition, segment, before, ef.n, int(ends[-1]) if len(ends) else 0, ef.l, len(ef.high), len(ef.low), len(ef.samples), len(kept))
     rest = b"".join((body, ef.high, ef.low, ef.samples.tobytes(), kept, *ids))
     return HEAD.pack(MAGIC, VERSION, len(rest)) + rest
 
@@ -118,14 +128,12 @@ def pack_segment(partition: int, segment: int, doc_ids: list[int | None], ids: l
 class Segment:
     """A blob, opened for reading at ``at``; ``end`` is where the next one may begin."""
 
-    def __init__(self, raw: bytes, at: int = 0, heads_only: bool = False) -> None:
+    def __init__(self, raw: bytes, at: int = 0) -> None:
         magic, version, size = HEAD.unpack_from(raw, at)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id segment")
         self.end = at + HEAD.size + size
-        self.partition, self.segment, self.n_docs, self.n_ids, width, highs, lows, samples, names = BODY.unpack_from(raw, at + HEAD.size)
-        if heads_only:
-            return
+        self.partition, self.segment, self.before, self.n_docs, self.n_ids, width, highs, lows, samples, names = BODY.unpack_from(raw, at + HEAD.size)
         p = at + HEAD.size + BODY.size
         high, p = raw[p : p + highs], p + highs
         low, p = raw[p : p + lows], p + lows
@@ -135,16 +143,20 @@ class Segment:
         self.doc_ids = np.cumsum(deltas)
         self.ids = np.frombuffer(raw, dtype="<u2", count=self.n_ids, offset=p)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th document's ids begin and end, by two selects."""
+        return self.bounds[i - 1] if i else 0, self.bounds[i]
+
     def document(self, i: int) -> np.ndarray:
-        """Ids of the i-th document, by two selects."""
-        return self.ids[self.bounds[i - 1] if i else 0 : self.bounds[i]]
+        begin, end = self.span(i)
+        return self.ids[begin:end]
 
 
-def segments(raw: bytes, heads_only: bool = False) -> Iterator[Segment]:
+def segments(raw: bytes) -> Iterator[Segment]:
     """All blobs of a file; the writer ends each with a newline."""
     at = 0
     while at < len(raw):
-        s = Segment(raw, at, heads_only)
+        s = Segment(raw, at)
         yield s
         at = s.end + 1
 
@@ -159,7 +171,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segme
         model, end = encoder(tokenizer, drops_space=False), np.array([end_id], dtype="<u2").tobytes()
         names: list[int | None] = []
         held: list[bytes] = []
-        size, count, part = 0, 0, 0
+        size, count, part, before = 0, 0, 0, 0
         for batch in slices(batches, "text"):
             part = batch.column("part")[0].as_py()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), model.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -167,38 +179,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segme
                 held.append(ids + end)
                 size += len(ids) // 2 + 1
                 if size >= segment_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack_segment(part, count, names, held)], pa.binary())], names=["blob"])
-                    names, held, size, count = [], [], 0, count + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([pack_segment(part, count, before, names, held)], pa.binary())], names=["blob"])
+                    names, held, before, size, count = [], [], before + size, 0, count + 1
         if names:
-            yield pa.RecordBatch.from_arrays([pa.array([pack_segment(part, count, names, held)], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack_segment(part, count, before, names, held)], pa.binary())], names=["blob"])
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blobs = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(build, "blob binary")
-    blobs.select(F.col("blob").cast("string").alias("value")).write.text(path)
+    blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (among all files' ids), n_tokens and the ids' checksum, from the files alone.
 
-    The files are read once. A file is one partition of the writer, whole and in order, so what lies before
-    each file is summed from one number per file; the table of offsets that is broadcast has a row per
-    file of the writer.
+    The files are read once. What lies before each partition of the writer is summed from one number per
+    partition; the table of offsets that is broadcast has a row for each.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
-                before = 0
                 for s in segments(raw):
-                    ends = s.bounds.all()
-                    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                    sums = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    starts, sizes, sums = [], [], []
+                    for i in range(s.n_docs):
+                        begin, end = s.span(i)
+                        starts.append(s.before + begin)
+                        sizes.append(end - begin)
+                        sums.append(zlib.crc32(s.ids[begin:end].astype("<u4").tobytes()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(s.n_docs, s.partition)), pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(starts + before), pa.array(ends - starts), pa.array(sums, pa.int64())],
+                        [pa.array(np.full(s.n_docs, s.partition)), pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
                         names=["part", "doc_id", "local", "n_tokens", "ids_crc32"],
                     )
-                    before += s.n_ids
 
     docs, _ = stash(files.mapInArrow(rows, "part long, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-rows")
     before, base = 0, []
