@@ -1,18 +1,22 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 Each document's ids (its end id included) are cut at multiples of the window; the rest is cut into
-items of at most ``piece`` ids. Whole windows are sequences already. The items are dealt by a hash
-of the document over blocks of bounded size, and each block is divided into ``k`` windows by
-multiway differencing: every item begins as a partial partition with one filled window; the two
+items of at most ``piece`` ids. Whole windows are sequences already and are numbered where they are cut. The
+items are dealt by a hash of the item over blocks of bounded size, and each block is divided into ``k``
+windows by multiway differencing: every item begins as a partial partition with one filled window; the two
 partial partitions of the widest spread are merged, the fullest window of one with the emptiest of
 the other, until one partition is left. ``k`` starts at the smallest count that could hold the
 block and rises whenever the fullest window exceeds the capacity.
 
-Only (doc, start, length, checksum) rows are shuffled: texts and ids stay where they are read.
+Only (doc, start, length, checksum) rows of items are shuffled: texts and ids stay where they are read.
+
+Ids are those of the plain library call: control strings of the vocabulary that stand in a text are their
+special ids.
 
 Defined results: null or empty texts are one piece with the end id alone; repeated rows (equal
-``doc_id``) are packed each for itself; a null ``doc_id`` is packed like another; an empty table
-gives no pieces; columns other than those named are ignored, whatever their names.
+``doc_id``) are packed each for itself; a null ``doc_id`` is packed like another; items of equal size keep
+the order of their documents' rows; an empty table gives no pieces; columns other than those named are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ PIECE = 512
 #: Items that one block should hold; a block is one task's unit of work.
 BLOCK = 2048
 
-PIECES = "doc_id long, doc_row long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, doc_row long, start long, length long, ids_crc32 long, doc_tokens long, whole long"
 
 
 def differencing(sizes: list[int], k: int) -> list[int]:
@@ -98,20 +102,23 @@ def cut_points(n: int, window: int, piece: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
-    """One row per piece of every document, with the checksum of its ids as 32-bit little-endian integers."""
+    """One row per piece of every document, with the checksum of its ids as 32-bit little-endian integers; ``whole`` numbers whole windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end, row = encoder(tokenizer, drops_space=True, most=1_500_000), np.array([end_id], dtype="<u4").tobytes(), 0
+        whole = 0
         for batch in slices(batches, "text"):
             out: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, part, ids in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), model.encode(texts), strict=True):
                 raw = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() + end
                 n = len(raw) // 4
-                out.extend((doc_id, (part << 40) + row, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), n) for s, m in cut_points(n, window, piece))
+                for s, m in cut_points(n, window, piece):
+                    out.append((doc_id, (part << 40) + row, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), n, (part << 40) + whole if m == window else None))
+                    whole += m == window
                 row += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "doc_row", "start", "length", "ids_crc32", "doc_tokens"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "doc_row", "start", "length", "ids_crc32", "doc_tokens", "whole"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(cut, PIECES)
 
@@ -120,14 +127,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     """Pieces with ``sequence_id`` and ``offset``.
 
     The blocks' number follows from the number of items, so a block's size is bounded at any scale.
-    A document's pieces may lie in several blocks; a hash of the piece decides. Sequence ids are
-    ``local * blocks + block`` and so never meet. The pieces are written to the shared folder once,
-    because they are counted before they are dealt.
+    A document's items may lie in several blocks; a hash of the item decides. Sequences of items are even,
+    ``2 * (local * blocks + block)``, and whole windows odd, so they never meet. The pieces are written to
+    the shared folder once, because they are counted before they are dealt.
     """
     cut, _ = stash(pieces(docs, tokenizer, end_id, window, piece), "pieces")
-    items = cut.where(F.col("length") < window).count()
-    blocks = max(1, -(-items // block))
-    keyed = cut.withColumn("block", F.pmod(F.xxhash64("doc_row", "start", "ids_crc32"), F.lit(blocks)))
+    items = cut.where(F.col("whole").isNull())
+    blocks = max(1, -(-items.count() // block))
+    keyed = items.drop("whole").withColumn("block", F.pmod(F.xxhash64("doc_row", "start", "ids_crc32"), F.lit(blocks)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come one after another, each whole within the partition."""
@@ -135,15 +142,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
 
         def packed() -> pa.RecordBatch:
             held.sort(key=lambda r: (-r[3], r[1], r[2]))
-            whole = [r for r in held if r[3] >= window]
-            rest = held[len(whole) :]
-            windows, k = pack_block([r[3] for r in rest], window)
+            windows, k = pack_block([r[3] for r in held], window)
             fill, out = [0] * k, []
-            for r, w in zip(rest, windows, strict=True):
-                out.append((r[0], r[2], r[3], r[4], r[5], w * blocks + r[6], fill[w]))
+            for r, w in zip(held, windows, strict=True):
+                out.append((r[0], r[2], r[3], r[4], r[5], 2 * (w * blocks + r[6]), fill[w]))
                 fill[w] += r[3]
-            base = k if rest else 0
-            out.extend((r[0], r[2], r[3], r[4], r[5], (base + i) * blocks + r[6], 0) for i, r in enumerate(whole))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
@@ -156,7 +159,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             yield packed()
 
     dealt = keyed.repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    some = dealt.mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    alone = cut.where(F.col("whole").isNotNull()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("whole") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return some.unionAll(alone)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
