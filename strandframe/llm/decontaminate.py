@@ -10,19 +10,23 @@ Aho-Corasick automaton; every hit fixes a place in the text, and Myers' bit-para
 window's least edit distance there, in characters or in words. A document is contaminated by an item if
 any of its windows lies within a budget.
 
-The items are the query set: they are broadcast in blocks of ``BLOCK_BYTES`` of text at most, and each
-block meets every document, whole, where it is read. Nothing is shuffled.
+The items are the query set: they are broadcast in blocks of about ``BLOCK_BYTES`` of text, and each
+block meets every document, whole, where it is read. Nothing is shuffled. A block's automaton is built once
+in a Python worker; it is bounded by the block, and so is what one pass over the documents can hold, so
+their number of passes grows with the items.
 
 Where a script has no blanks between words (Chinese, Japanese, Thai and others), every letter is a word.
 
 Defined results: null or empty texts and items match nothing; items of fewer than ``MIN_WORDS`` words match
-unchanged and at word borders only; repeated documents and items give their rows each; an empty table gives an empty result;
-other columns are ignored.
+unchanged and at word borders only; repeated documents and items give their rows each; of a window's equally
+good places the first counts; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import slices, table
+from strandframe.llm.common import renamed, slices, table
 
 WINDOW, STRIDE, MIN_WORDS, RATE = 13, 1, 6, 0.06
 LONG, LONG_STRIDE = 20, 10
@@ -108,7 +112,7 @@ def myers(pattern: Sequence[str], text: Sequence[str], errors: int) -> tuple[int
 
 
 class Matcher:
-    """The automaton of a block of items, built once per Python worker."""
+    """The automaton of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRIDE, rate: float = RATE) -> None:
         import ahocorasick
@@ -195,6 +199,17 @@ class Matcher:
                 note(w, distance, blanks[stop - 1])
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple[int, str]]) -> Matcher:
+    """The automaton of the block of that name; a worker keeps the last one."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(items)
+    return _BUILT[name]
+
+
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items, a bounded block at a time."""
     rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
@@ -210,10 +225,10 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
     sc, parts = docs.sparkSession.sparkContext, []
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for block in blocks(items, block_bytes):
-        shared = sc.broadcast(block)
+        shared, name = sc.broadcast(block), uuid.uuid4().hex
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(name, shared.value)
             for batch in slices(batches, "text"):
                 out = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.find(t)]
                 if out:
@@ -225,17 +240,19 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
 
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the contaminated ones, columns as they are; decided where each document is read."""
-    sc, out = docs.sparkSession.sparkContext, docs
+    sc = docs.sparkSession.sparkContext
+    out, names = renamed(docs)
+    schema, text = out.schema, names["text"]
     for block in blocks(items, block_bytes):
-        shared = sc.broadcast(block)
+        shared, name = sc.broadcast(block), uuid.uuid4().hex
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
-            for batch in slices(batches, "text"):
-                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(name, shared.value)
+            for batch in slices(batches, text):
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+        out = out.mapInArrow(keep, schema)
+    return out.toDF(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
