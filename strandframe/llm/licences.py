@@ -45,69 +45,20 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TELLING = {"lesser", "affero", "noncommercial", "noderivatives", "noderivs", "sharealike", "nc", "nd", "sa"}
 NOT_SKIPPED = TELLING | {"library"}
 
-#: Public licence notices, each under its label; a label may have several.
-TEMPLATES: list[tuple[str, str]] = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
-    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
-    ("cc-by-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
-    ("cc-by-sa-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
-    ("cc-by-nc-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License"),
-    ("cc-by-nd-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License"),
-    ("cc-by-nc-sa-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License"),
-    ("cc-by-nc-nd-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
-    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
-    ("cc-by-3.0", "Licensed under CC BY 3.0"),
-    ("cc-by-sa-3.0", "Licensed under CC BY-SA 3.0"),
-    ("cc-by-nc-3.0", "Licensed under CC BY-NC 3.0"),
-    ("cc-by-nd-3.0", "Licensed under CC BY-ND 3.0"),
-    ("cc-by-nc-sa-3.0", "Licensed under CC BY-NC-SA 3.0"),
-    ("cc-by-nc-nd-3.0", "Licensed under CC BY-NC-ND 3.0"),
-    ("gpl-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1 of the License, or (at your option) any later version."),
-    ("gpl-1.0", "This work is licensed under the GNU General Public License, version 1"),
-    ("gpl-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 1 as published by the Free Software Foundation."),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
-    ("gpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
-    ("lgpl-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("lgpl-2.0", "This work is licensed under the GNU Library General Public License, version 2"),
-    ("lgpl-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License version 2 as published by the Free Software Foundation."),
-    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
-    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
-    ("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
-    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation."),
-    ("agpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
-    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("agpl-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."),
-    ("isc", "Released under the ISC License"),
-    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"),
-    ("mpl-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
-    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
-]
-#: Whole licence texts, a file for each label.
-TEMPLATES += [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+#: Licences without a notice or text of their own here, which short identifiers still name.
+NAMED_ONLY = ("ecl-2.0", "ipl-1.0", "lppl-1.3c", "mit-0", "upl-1.0")
+_HERE = Path(__file__).parent
+
+
+def _templates() -> list[tuple[str, str]]:
+    """(label, text): the notices, the whole texts, and a line of the form ``SPDX-License-Identifier`` for every label."""
+    notices = [tuple(line.split("\t", 1)) for line in (_HERE / "licence_notices.txt").read_text("utf-8").splitlines() if not line.startswith("#")]
+    texts = [(f.stem, f.read_text("utf-8")) for f in sorted((_HERE / "licence_texts").glob("*.txt"))]
+    labels = dict.fromkeys([label for label, _ in notices + texts if label != "bsd"] + list(NAMED_ONLY))
+    return notices + texts + [(label, f"SPDX-License-Identifier: {label}") for label in labels]
+
+
+TEMPLATES: list[tuple[str, str]] = _templates()
 
 
 def words_of(text: str | None) -> list[bytes]:
