@@ -1,18 +1,20 @@
 """Quality rules with cross-document line frequency, in built-in DataFrame functions only.
 
-Every line of a text is normalised (lower case, white space squeezed) and hashed. Per host, the
-*distinct texts* that hold a line are counted, so that copies of one text count once. A line found in
-more than ``greatest(min_docs, share of the host's texts)`` texts is boilerplate and is taken away;
-a document is depleted, and rejected, when less than ``kept_percent`` of the words of its distinct
-lines are left. The base rules look at one text alone.
-
-No line, text or word array is ever shuffled: what travels are 64-bit hashes with word counts.
-Copies of a text meet in the first aggregation's map side, and joins on hot lines are plain
-equi-joins that adaptive execution may split.
+Every line of a text is normalised (lower case, white space squeezed) and hashed. Per host, the documents
+that hold a line are counted; documents of one text count as one document, because a text that stands in a
+host a hundred times over is a matter for deduplication: counted row by row, all its lines would be
+boilerplate, and all of its copies would be lost. A line found in more than ``MIN_DOCS`` documents of a
+host is boilerplate and is taken away, and a document is depleted, and rejected, when less than
+``kept_percent`` of the words of its distinct lines are left. The base rules look at one text alone.
+
+The documents are read once; their metrics and line hashes are written to the shared folder and read from
+there. No text and no line is ever shuffled, what travels are 64-bit hashes with word counts. Boilerplate
+lines, and the texts that hold some, are broadcast when a count shows them to be few, and joined by their
+keys otherwise; texts that a thousandth of all rows share are taken out of that join and broadcast.
 
 Defined results: null or empty texts have no words, fail the base rule and are not kept; a null host
 is a host of its own (the empty string); repeated rows are judged alike; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import table
+from strandframe.llm.common import discard, renamed, stash, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-MIN_DOCS, SHARE_PERCENT, KEPT_PERCENT = 20, 10, 30
+MIN_DOCS, KEPT_PERCENT = 20, 30
+#: Tables of so many rows or fewer are broadcast.
+FEW = 50_000
 
 
 def _words(text: Column) -> Column:
@@ -50,59 +54,99 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     pos = F.col("pos")
     gaps = F.transform(pos, lambda p, i: F.coalesce(F.least(F.get(pos, i + 1) - p, F.lit(5)), F.lit(5)))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("pos").withColumn("lines", lines)
+    d = d.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("pos").withColumn("raw_lines", lines)
     d = d.withColumn("word_chars", F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long"))
     d = d.withColumn("n_symbols", (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long"))
-    d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("lines", "t")
+    d = d.withColumn("n_dup_lines", (F.size("raw_lines") - F.size(F.array_distinct("raw_lines"))).cast("long"))
+    return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("raw_lines", "t")
+
+
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
 def line_structs(docs: DataFrame) -> DataFrame:
-    """host, text_hash and the distinct normalised lines of each row as (hash, words)."""
+    """``docs(text, source, ...)`` with host, text_hash, the distinct normalised lines as (hash, words), and the words in them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))), lambda x: x != "")
+    norm = F.filter(F.transform(F.split(text, "\n"), normal_line), lambda x: x != "")
     each = F.transform(norm, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words")))
     return docs.withColumns({"host": F.coalesce(F.col("source"), F.lit("")), "text_hash": F.xxhash64(text), "lines": F.array_distinct(each)})
 
 
-def boilerplate(lines: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT) -> DataFrame:
-    """(host, line) above the limit; ``lines``: distinct (host, text_hash, line)."""
-    texts = lines.where(F.col("line").isNull()).groupBy("host").agg(F.count("*").alias("texts"))
-    counts = lines.where(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    return counts.join(texts, "host").where(100 * F.col("docs") > share_percent * F.col("texts")).select("host", "line")
+def boilerplate(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, line) in more than ``min_docs`` documents of the host; ``lines(host, text_hash, lines)``, a row per document."""
+    distinct = lines.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    return distinct.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs).select("host", "line")
+
+
+def few(table: DataFrame) -> bool:
+    return table.limit(FEW + 1).count() <= FEW
+
+
+def flawed(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, str]:
+    """(host, text_hash, bad): texts with boilerplate lines and the hashes and words of these; a table in the shared folder, and its path."""
+    spark = lines.sparkSession
+    found, path = stash(boilerplate(lines, min_docs), "quality-boilerplate")
+    each = lines.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
+    bad = each.join(F.broadcast(found) if few(found) else found, ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set(F.struct("line", "words")).alias("bad"))
+    bad, bad_path = stash(bad, "quality-flawed")
+    discard(spark, path)
+    return bad, bad_path
 
 
-def depleted_words(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT) -> DataFrame:
-    """Words that boilerplate lines take from each (host, text); a row of no line stands for the text itself."""
-    s = line_structs(docs).select("host", "text_hash", F.explode(F.concat("lines", F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("words"))))).alias("l"))
-    distinct = s.select("host", "text_hash", F.col("l.line").alias("line"), F.col("l.words").alias("words")).dropDuplicates(["host", "text_hash", "line"])
-    found = boilerplate(distinct, min_docs, share_percent)
-    return distinct.join(found, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
+def with_flaws(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """``rows(host, text_hash, ...)`` with ``bad`` of their text, null where there is none."""
+    keys = ["host", "text_hash"]
+    if few(bad):
+        return rows.join(F.broadcast(bad), keys, "left")
+    total = rows.count()
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * 1000 > total).select(*keys)  # fewer than a thousand
+    if not hot.limit(1).count():
+        return rows.join(bad, keys, "left")
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(bad, keys, "left")
+    return cold.unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(bad.join(F.broadcast(hot), keys, "left_semi")), keys, "left"))
 
 
-def assess(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, kept_percent: int = KEPT_PERCENT) -> DataFrame:
+def _sum_words(lines: Column) -> Column:
+    return F.coalesce(F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x.words), F.lit(0).cast("long"))
+
+
+def depleted(line_words: Column, removed: Column, kept_percent: int) -> Column:
+    return 100 * (line_words - removed) < kept_percent * line_words
+
+
+def assess(docs: DataFrame, min_docs: int = MIN_DOCS, kept_percent: int = KEPT_PERCENT) -> DataFrame:
     """doc_id with the base counts, the words in its distinct lines, those removed, and the verdict."""
-    rows = line_structs(docs.select("doc_id", "text", "source")).withColumn("line_words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.words)).drop("lines")
-    base = base_metrics(rows).drop("text", "source")
-    gone = depleted_words(docs.select("text", "source"), min_docs, share_percent)
-    out = base.join(gone, ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    kept = ~F.col("base_failed") & (100 * (F.col("line_words") - F.col("removed_words")) >= kept_percent * F.col("line_words"))
+    rows, _ = stash(base_metrics(line_structs(docs.select("doc_id", "text", "source"))).drop("text", "source"), "quality-rows")
+    bad, _ = flawed(rows.select("host", "text_hash", "lines"), min_docs)
+    out = with_flaws(rows.withColumn("line_words", _sum_words(F.col("lines"))).drop("lines"), bad).withColumn("removed_words", _sum_words(F.col("bad")))
+    kept = ~F.col("base_failed") & ~depleted(F.col("line_words"), F.col("removed_words"), kept_percent)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_words", "removed_words", "base_failed", kept.alias("kept"))
 
 
-def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, kept_percent: int = KEPT_PERCENT) -> DataFrame:
-    """The kept documents, all columns as they are. Base rules are a filter on the scan; only the depleted
-    (host, text) pairs, found from hashes, are joined against the texts."""
-    names = docs.columns
-    judged = base_metrics(docs.select(F.struct(*names).alias("_row"), "text"))
+def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, kept_percent: int = KEPT_PERCENT) -> DataFrame:
+    """The kept documents with their boilerplate lines taken out of ``text``; all other columns as they are.
+
+    Base rules are a filter on the scan, and the texts stay where they are read unless flawed texts are many.
+    """
+    plain, name = renamed(docs)
+    text, source = F.col(name["text"]), F.col(name["source"])
+    lines, path = stash(line_structs(plain.select(text.alias("text"), source.alias("source"))).select("host", "text_hash", "lines"), "quality-lines")
+    bad, _ = flawed(lines, min_docs)
+    words = lines.join(F.broadcast(bad.select("host", "text_hash")) if few(bad) else bad.select("host", "text_hash"), ["host", "text_hash"], "left_semi")
+    words = words.groupBy("host", "text_hash").agg(F.first(_sum_words(F.col("lines"))).alias("line_words"))
+    removed = _sum_words(F.col("bad"))
+    verdicts, _ = stash(bad.join(words, ["host", "text_hash"]).select("host", "text_hash", depleted(F.col("line_words"), removed, kept_percent).alias("depleted"), F.col("bad.line").alias("bad")), "quality-verdicts")
+    discard(docs.sparkSession, path)
+    judged = base_metrics(plain.select(F.struct(*plain.columns).alias("_row"), text.alias("text")))
     # Behind a generator: a filter on the projections themselves would be pushed into them, and their arrays computed again for every element.
     passed = judged.select("_row", F.explode(F.array("base_failed")).alias("_failed")).where(~F.col("_failed"))
-    keyed = passed.select("_row", F.coalesce("_row.source", F.lit("")).alias("_host"), F.xxhash64(F.coalesce("_row.text", F.lit(""))).alias("_text_hash"))
-    words = line_structs(docs.select("text", "source")).select("host", "text_hash", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.words).alias("line_words"))
-    gone = depleted_words(docs.select("text", "source"), min_docs, share_percent)
-    depleted = words.dropDuplicates(["host", "text_hash"]).join(gone, ["host", "text_hash"]).where(100 * (F.col("line_words") - F.col("removed_words")) < kept_percent * F.col("line_words"))
-    bad = depleted.select(F.col("host").alias("_host"), F.col("text_hash").alias("_text_hash"))
-    return keyed.join(bad, ["_host", "_text_hash"], "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in names])
+    whole = F.coalesce(F.col(f"_row.{name['text']}"), F.lit(""))
+    found = with_flaws(passed.select("_row", F.coalesce(F.col(f"_row.{name['source']}"), F.lit("")).alias("host"), F.xxhash64(whole).alias("text_hash")), verdicts).where(~F.coalesce(F.col("depleted"), F.lit(False)))
+    bad_lines = F.col("bad")
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(bad_lines, F.xxhash64(normal_line(x)))), "\n")
+    cleaned = F.when(bad_lines.isNull(), whole).otherwise(left)
+    return found.select(*[cleaned.alias(c) if c == name["text"] else F.col(f"_row.{c}").alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +165,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regex
 norm AS (SELECT DISTINCT doc_id, host, t, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
 lw AS (SELECT doc_id, host, t, line, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM norm WHERE line <> ''),
 freq AS (SELECT host, line, count(DISTINCT t) AS docs FROM lw GROUP BY host, line),
-tot AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-boil AS (SELECT f.host, f.line FROM freq f JOIN tot USING (host) WHERE docs > {MIN_DOCS} AND 100 * docs > {SHARE_PERCENT} * texts),
+boil AS (SELECT host, line FROM freq WHERE docs > {MIN_DOCS}),
 lines AS (SELECT lw.doc_id, sum(words) AS line_words, sum(CASE WHEN b.line IS NOT NULL THEN words ELSE 0 END) AS removed_words
   FROM lw LEFT JOIN boil b ON lw.host = b.host AND lw.line = b.line GROUP BY lw.doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
