@@ -78,9 +78,65 @@ def test_near_duplicates(docs, rows, none):
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
     assert neardup.near_duplicates(none).collect() == []
-
-
-def test_family_linked_by_others_only(spark):
+    left = neardup.deduplicated(docs)
+    assert left.columns == docs.columns
+    want = [i for i in sets if find(i) == i and sets[i]] + [r[0] for r in rows if r[0] is not None and not sets[r[0]]]
+    assert sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == sorted(want)
+    assert left.where("doc_id IS NULL").count() == 1 and neardup.deduplicated(none).collect() == []
+
+
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(21)
+    one, two, three = (words(rng, 50) for _ in range(3))
+    near = " ".join(["other", *two.split()[1:]])
+    data = [(5, one, "x"), (5, two, "y"), (5, two, "y"), (7, near, "z"), (None, one, "a"), (None, three, "c"), (None, three, "b"), (None, None, "n"), (8, "", "e"), (8, "", "e"), (3, three, "t")]
+    d = spark.createDataFrame(data, ["doc_id", "text", "a.b"]).repartition(3)
+    got = sorted((str(r.doc_id), r.text or "", r["a.b"]) for r in neardup.deduplicated(d).collect())
+    assert got == sorted([("5", one, "x"), ("5", two, "y"), ("None", "", "n"), ("8", "", "e"), ("8", "", "e"), ("3", three, "t")])
+    lone = d.where("doc_id IS NULL AND text IS NOT NULL")
+    assert sorted((r.text, r["a.b"]) for r in neardup.deduplicated(lone).collect()) == sorted([(one, "a"), (three, "b")])
+    ids = {(r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(d).where("doc_id = 7").collect()}
+    assert ids == {(46, 5, False)}
+
+
+def test_words_of_equal_sums_are_told_apart():
+    def thue(n):
+        return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+    a = thue(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert neardup.word_hashes(a)[0] != neardup.word_hashes(b)[0]
+    assert (neardup.word_hashes("Ab cd\tab  CD") == neardup.word_hashes("ab cd AB cd")).all()
+    assert len(neardup.word_hashes("ab ba")) == 2 and neardup.word_hashes("ab ba")[0] != neardup.word_hashes("ab ba")[1]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(22)
+    text = words(rng, 3000) + " " + "x" * 5000 + "\n" + words(rng, 500)
+    whole = neardup.word_hashes(text)
+    for piece in (64, 1000, 4096):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        assert (neardup.word_hashes(text) == whole).all() and len(whole) == 3501
+
+
+def test_pairs_at_the_limit_share_a_band_and_pass_the_sketches():
+    """Bands and sketches lose no pair at or just over the similarity asked for."""
+    rng = np.random.default_rng(5)
+    lost = 0
+    for size in (8, 20, 60, 200, 450):
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+            extra = size * 25 // 75  # 100 * both >= 75 * union
+            left, right = extra // 2, extra - extra // 2
+            a = np.unique(neardup.mix(np.concatenate([both, rng.integers(0, 1 << 63, size=left, dtype=np.uint64)])))
+            b = np.unique(neardup.mix(np.concatenate([both, rng.integers(0, 1 << 63, size=right, dtype=np.uint64)])))
+            x, y = neardup.minhash(a), neardup.minhash(b)
+            z = (int.from_bytes(neardup.odd_sketch(x), "big") ^ int.from_bytes(neardup.odd_sketch(y), "big")).bit_count()
+            lost += not (neardup.band_keys(x) == neardup.band_keys(y)).any() or z > neardup.ODD_LIMIT
+    assert lost == 0
+
+
+def test_family_linked_by_others_only(spark, monkeypatch):
     """A bucket's smallest member may be linked to nobody while others are linked to one another."""
     rng = random.Random(3)
     base = words(rng, 200).split()
@@ -105,8 +161,14 @@ def test_family_linked_by_others_only(spark):
             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK", 4)  # more pivot rounds, and blocks of few members
+    monkeypatch.setattr(neardup, "FAN", 3)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()} == want
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()} == want
 
 
 def test_odd_sketch_estimates():
@@ -127,10 +189,79 @@ def test_languages(spark, docs, none):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
     assert langid.predict(none, langid.train(langid.training_rows(none))).collect() == []
     assert {r.lang_pred for r in langid.predict(docs, langid.train(langid.training_rows(none))).collect()} == {"und"}
-    assert langid.accepted(docs, langid.train(langid.training_rows(docs))).columns == docs.columns
+    strange = spark.createDataFrame([(i, words(rng, 9, "abcde"), "aa", i) for i in range(9)] + [(9, None, "aa", 9), (10, "9 9", "vv", 10), (10, "vw wv", "vv", 10)], ["doc_id", "text", "lang", "a.b"])
+    left = langid.accepted(strange, langid.train(langid.training_rows(d)))
+    assert left.columns == strange.columns and sorted(r["a.b"] for r in left.collect()) == [*range(9), 10]
+    assert langid.accepted(none, langid.train(langid.training_rows(d))).collect() == []
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.range(600).selectExpr("id doc_id", "'a b' text", "concat('l', id) lang"))
+
+
+def brute_bayes(rows, texts):
+    """Multinomial naive Bayes written for itself: dictionaries of n-grams, the same hash of them."""
+    import math
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = " " + " ".join(letters.split()) + " "
+        out = []
+        for n in (1, 2, 3, 4):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[i : i + n]:
+                    h = (((h * 0x9E3779B97F4A7C15) & (2**64 - 1)) ^ (ord(c) + 1)) * 0xD6E8FEB86659FD93 & (2**64 - 1)
+                out.append(h >> 49)
+        return out
+
+    counts, docs = {}, {}
+    for text, lang in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        for g in grams(text) if any(c.isalpha() for c in text) else ():
+            counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    total = sum(docs.values())
+    found = []
+    for text in texts:
+        g = grams(text)
+        score = {}
+        for lang in sorted(docs):
+            c = counts.get(lang, {})
+            n = sum(c.values()) + 0.5 * (1 << 15)
+            score[lang] = (sum(math.log((c.get(x, 0) + 0.5) / n) for x in g), math.log(docs[lang] / total))
+        best = max(score, key=lambda k: score[k][0] + score[k][1])
+        flat = {k: v * min(1, 200 / len(g)) + p for k, (v, p) in score.items()}
+        top = max(flat.values())
+        found.append((best, math.exp(flat[best] - top) / sum(math.exp(v - top) for v in flat.values())))
+    return found
+
+
+def test_languages_against_another_naive_bayes(spark):
+    rng = random.Random(31)
+    made = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "abcdijkl", "dd": "äöüabcïé"}
+    train = [(words(rng, 30, letters), lang) for lang, letters in made.items() for _ in range(12 + len(lang) + ord(lang[0]) % 5)]
+    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(train)], "doc_id long, text string, lang string")
+    texts = [words(rng, n, rng.choice(list(made.values())) + extra) for n in (1, 2, 3, 8, 40, 300) for extra in ("", "xyz", "abcd") for _ in range(3)]
+    model = langid.train(d)
+    got, want = model.predict(texts), brute_bayes(train, texts)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert max(abs(g[1] - w[1]) for g, w in zip(got, want, strict=True)) < 1e-3
+    assert [model.predict([t])[0] for t in texts] == got  # the same in any batch
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    p = langid.predict(docs, langid.train(langid.training_rows(docs))).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = p.where("lang = lang_pred").count(), p.count()
+    assert n > 1000 and right >= 0.99 * n
 
 
 def test_long_texts_are_scored_whole(monkeypatch):
+    rng = random.Random(2)
+    texts = [words(rng, n) for n in (3, 2000, 1, 700, 50)]
+    matrix = np.random.default_rng(1).integers(-(10**6), 0, size=(langid.BUCKETS, 3)).astype(np.int32)
+    model = langid.Model(["a", "b", "c"], matrix, np.zeros(3))
+    want = model.predict(texts)
+    monkeypatch.setattr(langid, "PIECE", 97)
+    assert model.predict(texts) == want
     c = langid.codes("some words of a text " * 30)
     whole = np.sort(langid.buckets(c))
     parts = np.sort(np.concatenate([langid.buckets_at(c, s, min(len(c), s + 50)) for s in range(0, len(c), 50)]))
@@ -199,7 +330,6 @@ def tokens(name, end, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u4") for x in texts]
 
 
@@ -444,18 +574,30 @@ def test_quality(spark, docs, rows, none):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
     kept = sorted(str(r.doc_id) for r in got if r.kept)
+    assert quality.assess(docs.where("source IS NULL").withColumn("source", F.lit(""))).where("kept").count() == quality.assess(docs.where("source IS NULL")).where("kept").count()
+    assert quality.accepted(none).collect() == []
     out = quality.accepted(docs)
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == kept
     assert quality.assess(none).collect() == []
 
 
-def test_lines_of_many_documents_deplete(spark):
+def test_lines_of_many_documents_deplete(spark, monkeypatch):
     rng = random.Random(9)
     frame = "this very line stands in many of the pages of one host and says nothing of them"
-    rows = [(i, frame + "\n" + words(rng, 2 if i < 3 else 40), "h") for i in range(50)] + [(100, frame + "\n" + words(rng, 2), "other")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id for r in quality.assess(d).where("kept").collect()}
-    assert kept == {*range(3, 50), 100} and {r.doc_id for r in quality.accepted(d).collect()} == kept
+    bodies = [words(rng, 2 if i < 3 else 40) for i in range(50)]
+    rows = [(i, frame + "\n" + bodies[i], "h", i) for i in range(50)] + [(100, frame + "\n" + words(rng, 2), "other", 0), (101, None, None, 0), (102, "", "h", 0)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "source", "a.b"])
+    for limit in (quality.FEW, 0):  # broadcast, and joined by keys
+        monkeypatch.setattr(quality, "FEW", limit)
+        kept = {r.doc_id for r in quality.assess(d).where("kept").collect()}
+        out = quality.accepted(d)
+        left = {r.doc_id: r.text for r in out.collect()}
+        assert out.columns == d.columns and kept == {*range(3, 50), 100} == set(left)
+        assert all(left[i] == bodies[i] for i in range(3, 50)) and left[100] == rows[50][1]  # the line is gone where its host repeats it
+    big = [(i, "line %d of the page has some words of its own that are %s\n" % (i, words(rng, 12)) + (frame + "\n" if i % 33 == 0 else "") + words(rng, 3 if i == 66 else 15), "big") for i in range(1000)]
+    big[66] = (66, frame + "\n" + words(rng, 3), "big")
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(big, "doc_id long, text string, source string")).collect()}
+    assert [i for i in got if got[i].removed_words] == [i for i in got if i % 33 == 0] and not got[66].kept and got[33].kept  # 3 % of a large host
     copies = spark.createDataFrame([(i, frame + "\nand two more words here", "h") for i in range(60)], "doc_id long, text string, source string")
     assert quality.assess(copies).where("kept").count() == 60  # copies of one text count once
 
