@@ -1,8 +1,15 @@
-"""From raw documents to packed sequences: five stages, each reading what the one before it has written."""
+"""From raw documents to packed sequences: five stages, each reading what the one before it has written.
+
+Every stage but the last returns the columns it was given, of whatever names. Defined results of odd input: a
+document of null or empty text, or without a letter, is rejected by the first stage; of documents that
+repeat a doc_id, those of unrelated texts stay, each for itself; a null doc_id, lang or source is a value like
+another; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandframe.llm import decontaminate, langid, neardup, packing, quality
 from strandframe.llm.common import discard, stash, table
@@ -14,8 +21,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base rules and are not depleted of lines of their own."""
-    return quality.accepted(docs)
+    """Keeps documents that pass the base rules and are not depleted of lines of their own; boilerplate lines leave their texts.
+
+    ``n_chars`` follows the text where lines were taken out.
+    """
+    left = quality.accepted(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
