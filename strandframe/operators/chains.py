@@ -150,7 +150,7 @@ def best_overlaps(overlaps: DataFrame, lengths: DataFrame, min_similarity: float
 
 
 def non_overlapping_matches(blocks: DataFrame, *by: str) -> DataFrame:
-    """(..., matches): matches of alignments in reference order, less what they share with the last block counted.
+    """(..., matches, stop): matches of alignments in reference order, less what they share with the last block counted.
 
     A block that begins before the end of the last one, and ends behind its start, adds its matches whole
     but does not become the last one; a shared stretch counts by the better of both identities.
@@ -167,4 +167,5 @@ def non_overlapping_matches(blocks: DataFrame, *by: str) -> DataFrame:
 
     fields = [F.col("ref_start").cast("long").alias("ref_start"), F.col("ref_stop").cast("long").alias("ref_stop"), F.col("n_matches").cast("double").alias("n_matches"), F.col("identity").cast("double").alias("identity")]
     listed = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
-    return listed.select(*by, F.aggregate("x", start, step).total.cast("long").alias("matches"))
+    folded = listed.select(*by, F.aggregate("x", start, step).alias("f"))
+    return folded.select(*by, F.col("f.total").cast("long").alias("matches"), F.col("f.stop").alias("stop"))

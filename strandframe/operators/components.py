@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping, each round a table in the shared folder."""
+"""Connected components by contraction: trees of least neighbours become single nodes, until no edge is left."""
 
 from __future__ import annotations
 
@@ -8,28 +8,50 @@ from pyspark.sql import functions as F
 from strandframe.sources.shared import discard, stash
 
 
+def _roots(parents: DataFrame, most_rounds: int) -> tuple[DataFrame, str]:
+    """``parents(node, up)``, up <= node, with ``up`` replaced by the root of the node's tree; pointers double their reach a round."""
+    spark = parents.sparkSession
+    held, path = stash(parents, "roots")
+    for _ in range(most_rounds):
+        above = held.select(F.col("node").alias("at"), F.col("up").alias("further"))
+        new, new_path = stash(held.join(above, F.col("up") == F.col("at")).select("node", F.col("further").alias("up"), (F.col("up") != F.col("further")).alias("moved")), "roots")
+        discard(spark, path)
+        held, path = new.select("node", "up"), new_path
+        if not new.where("moved").limit(1).count():
+            return held, path
+    raise RuntimeError(f"trees are deeper than {most_rounds} doublings reach")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges(a, b)`` -> (node, component): the smallest node that can be reached. Nodes without edges are not listed.
 
-    A round takes the least label among a node's own and its neighbours' (pre-aggregated before the
-    shuffle), then the label of that label, so chains halve from round to round.
+    A round hooks every node to its least neighbour (pre-aggregated before the shuffle) if that is less than
+    itself, finds the roots of the trees that arise, and replaces the edges by those between different roots,
+    once each. What is settled leaves, so rounds shrink; a hub's edges become one after its first round.
+    A table for each round says which root a node went to, and the tables are joined from the last, smallest,
+    to the first.
     """
     spark = edges.sparkSession
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both, edge_path = stash(both.distinct(), "edges")
-    labels, path = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    current, path = stash(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    layers: list[tuple[DataFrame, str]] = []
     for _ in range(most_rounds):
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("heard"))
-        least = labels.join(heard, F.col("node") == F.col("a")).select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was"))
-        least, least_path = stash(least, "labels")
-        roots = least.select(F.col("node").alias("root"), F.col("component").alias("further"))
-        new, new_path = stash(least.join(roots, F.col("component") == F.col("root")).select("node", F.least("component", "further").alias("component"), (F.least("component", "further") != F.col("was")).alias("changed")), "labels")
-        moved = new.where("changed").limit(1).count()
-        discard(spark, path, least_path)
-        labels, path = new.drop("changed"), new_path
-        if not moved:
+        both = current.select("a", "b").unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        layer = _roots(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")), most_rounds)
+        layers.append(layer)
+        side = lambda x, t=layer[0]: t.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}"))
+        further = current.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("up_a <> up_b")
+        new, new_path = stash(further.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "edges")
+        discard(spark, path)
+        current, path = new, new_path
+        if not current.limit(1).count():
             break
     else:
-        raise RuntimeError(f"labels still change after {most_rounds} rounds")
-    discard(spark, edge_path)
-    return labels
+        raise RuntimeError(f"edges are left after {most_rounds} rounds")
+    labels = layers[-1][0]
+    for layer, _ in layers[-2::-1]:
+        above = labels.select(F.col("node").alias("at"), F.col("up").alias("root"))
+        labels = layer.join(above, F.col("up") == F.col("at"), "left").select("node", F.coalesce("root", "up").alias("up"))
+    out, _ = stash(labels.select("node", F.col("up").alias("component")), "labels")
+    discard(spark, path, *[p for _, p in layers])
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.sources.shared import stash
+
 SECONDARY, UNMAPPED, SUPPLEMENTARY = 256, 4, 2048
 
 
@@ -55,10 +57,16 @@ def mapq_distribution(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("mapq").agg(F.count("*").alias("n"))
 
 
+def bins(histogram: DataFrame, bin_col: str, low: int, high: int) -> DataFrame:
+    """(bin_col): a dense grid from ``low`` to ``high``, and wider if the histogram has bins beyond."""
+    found = histogram.agg(F.min(bin_col).alias("a"), F.max(bin_col).alias("b")).first()
+    low, high = (low, high) if found.a is None else (min(low, found.a), max(high, found.b))
+    return histogram.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias(bin_col))
+
+
 def reverse_cdf(histogram: DataFrame, bin_col: str, low: int, high: int, *by: str) -> DataFrame:
     """Counts at or above each bin of a dense grid; the histogram has one row per bin, so the window is small."""
-    spark = histogram.sparkSession
-    grid = spark.range(low, high + 1).select(F.col("id").cast("int").alias(bin_col))
+    grid = bins(histogram, bin_col, low, high)
     if by:
         grid = histogram.select(*by).distinct().join(F.broadcast(grid))
     dense = grid.join(histogram, [*by, bin_col], "left").fillna(0, ["n"])
@@ -71,9 +79,9 @@ def phase_signal(by_mapq: DataFrame, parts: DataFrame, low: int, high: int) -> D
     p = lambda x: parts.select(F.col("node").alias(x), F.col("partition").alias(f"p{x}"))
     e = by_mapq.where("a <> b").join(p("a"), "a").join(p("b"), "b").where("pa <> 0 AND pb <> 0")
     h = e.groupBy("mapq").agg(F.sum(F.when(F.col("pa") == F.col("pb"), F.col("weight")).otherwise(0)).alias("same"), F.sum("weight").alias("total"))
-    grid = by_mapq.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("mapq"))
+    h, _ = stash(h, "phase-signal")  # one row a quality, read twice
     w = Window.orderBy(F.desc("mapq")).rowsBetween(Window.unboundedPreceding, 0)
-    d = grid.join(h, "mapq", "left").fillna(0, ["same", "total"]).select("mapq", F.sum("same").over(w).alias("consistent"), F.sum("total").over(w).alias("total"))
+    d = bins(h, "mapq", low, high).join(h, "mapq", "left").fillna(0, ["same", "total"]).select("mapq", F.sum("same").over(w).alias("consistent"), F.sum("total").over(w).alias("total"))
     return d.select("mapq", "consistent", (F.col("total") - F.col("consistent")).alias("inconsistent"), F.round(F.col("consistent") / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 9).alias("ratio"))
 
 

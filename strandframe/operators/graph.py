@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.components import connected_components
-from strandframe.sources.shared import stash
+from strandframe.sources.shared import discard, stash
 
 
 def half_edges(links: DataFrame) -> DataFrame:
@@ -65,23 +65,40 @@ def chainable(halves: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.where("loop IS NULL").select("node", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def splice_empty(links: DataFrame, empty: DataFrame) -> DataFrame:
-    """Take nodes without sequence out: each of their neighbours on one side meets each on the other; a run takes a round a node, rings of empty nodes end."""
-    whole, _ = stash(half_edges(links), "splice-links")
+def splice_empty(links: DataFrame, empty: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Take nodes without sequence out: each of their neighbours on one side meets each on the other.
+
+    A state is an empty node and the side it is left by. Each round doubles how many empty nodes in a row are
+    passed, so a run of n takes log2(n) rounds; rings of empty nodes end when nothing new is reached.
+    """
+    spark = links.sparkSession
+    whole, whole_path = stash(half_edges(links), "splice-links")
     gone = empty.select("node").distinct()
-    there = gone.withColumnRenamed("node", "other")
-    far = whole.select(F.col("node").alias("mid"), F.col("side").alias("mid_side"), F.col("other").alias("far"), F.col("other_side").alias("far_side"))
-    new, _ = stash(whole.join(gone, "node", "left_anti").select("node", "side", "other", "other_side"), "splice")
-    halves = new
-    while True:
-        into = new.join(there, "other")
-        out = into.select(F.col("other").alias("mid"), (1 - F.col("other_side")).alias("mid_side"), "node", "side")
-        step = out.join(far, ["mid", "mid_side"]).select("node", "side", F.col("far").alias("other"), F.col("far_side").alias("other_side")).distinct()
-        new, _ = stash(step.join(halves, halves.columns, "left_anti").select(*halves.columns), "splice")
-        if not new.limit(1).count():
+    there = gone.select(F.col("node").alias("other"))
+    state = lambda n, s: F.struct(F.col(n).alias("node"), s.cast("int").alias("side"))
+    leaves = whole.join(gone, "node").select(state("node", F.col("side")).alias("at"), "other", "other_side")
+    jump, jump_path = stash(leaves.join(there, "other").select("at", state("other", 1 - F.col("other_side")).alias("to")).distinct(), "splice-jump")
+    first = whole.join(gone, "node", "left_anti").join(there, "other").select("node", "side", state("other", 1 - F.col("other_side")).alias("at"))
+    reached, path = stash(first.distinct(), "splice")
+    before = reached.count()
+    for _ in range(most_rounds):
+        wider, new_path = stash(reached.unionAll(reached.join(jump, "at").select("node", "side", F.col("to").alias("at"))).distinct(), "splice")
+        discard(spark, path)
+        reached, path, now = wider, new_path, wider.count()
+        if now == before:
             break
-        halves, _ = stash(halves.unionAll(new), "splice")
-    return halves.join(there, "other", "left_anti").select("node", "side", "other", "other_side")
+        before = now
+        onward = jump.select(F.col("at").alias("to"), F.col("to").alias("far"))
+        twice, twice_path = stash(jump.join(onward, "to").select("at", F.col("far").alias("to")).distinct(), "splice-jump")
+        discard(spark, jump_path)
+        jump, jump_path = twice, twice_path
+    else:
+        raise RuntimeError(f"runs of empty nodes are longer than 2 ** {most_rounds}")
+    ends = leaves.join(there, "other", "left_anti")
+    plain = whole.join(gone, "node", "left_anti").join(there, "other", "left_anti").select("node", "side", "other", "other_side")
+    out, _ = stash(plain.unionAll(reached.join(ends, "at").select("node", "side", "other", "other_side")).distinct(), "spliced")
+    discard(spark, whole_path, path, jump_path)
+    return out
 
 
 def bfs(edges: DataFrame, start: DataFrame, most_depth: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -90,16 +107,23 @@ def bfs(edges: DataFrame, start: DataFrame, most_depth: int | None = None, allow
     if allowed is not None:
         both = both.join(allowed.select(F.col("node").alias("b")), "b").select("a", "b")
         start = start.join(allowed, "node")
-    both, _ = stash(both, "bfs-edges")
-    seen, _ = stash(start.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
-    frontier, depth = seen, 0
+    spark = edges.sparkSession
+    both, edge_path = stash(both, "bfs-edges")
+    seen, path = stash(start.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
+    frontier, frontier_path, depth = seen, None, 0
     while most_depth is None or depth < most_depth:
         depth += 1
         step = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        frontier, _ = stash(step, "bfs")
+        new, new_path = stash(step, "bfs")
+        if frontier_path:
+            discard(spark, frontier_path)
+        frontier, frontier_path = new, new_path
         if not frontier.limit(1).count():
             break
-        seen, _ = stash(seen.unionAll(frontier), "bfs")
+        wider, wider_path = stash(seen.unionAll(frontier), "bfs")
+        discard(spark, path)
+        seen, path = wider, wider_path
+    discard(spark, edge_path, *filter(None, [frontier_path]))
     return seen
 
 

@@ -172,15 +172,30 @@ def merge_alts(edges: list[tuple]) -> tuple[dict, list[tuple]]:
     return {n: find(n) for n in up}, refused
 
 
-def alt_components(alts: DataFrame) -> DataFrame:
-    """(node, component, side) of ``alts(a, b, weight)``, heaviest first (names settle ties), a component a task."""
+def merged_alts(alts: DataFrame) -> DataFrame:
+    """(a, b, component, node, side) of ``alts(a, b, weight)``, heaviest first (names settle ties), a component a task.
+
+    Rows with a ``node`` give its side; rows with ``a`` and ``b`` are edges that were refused, because they would
+    have put a node on both sides.
+    """
     comp = connected_components(alts.select("a", "b"))
     kind = alts.schema["a"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "a", "b"], ascending=[False, True, True])
-        sides, _ = merge_alts(list(zip(pdf["a"], pdf["b"], strict=True)))
-        return pd.DataFrame([(n, c, s) for n, (c, s) in sides.items()], columns=["node", "component", "side"])
+        sides, refused = merge_alts(list(zip(pdf["a"], pdf["b"], strict=True)))
+        rows = [(None, None, c, n, s) for n, (c, s) in sides.items()] + [(a, b, sides[a][0], None, None) for a, b in refused]
+        return pd.DataFrame(rows, columns=["a", "b", "component", "node", "side"], dtype=object)
 
     rows = alts.join(comp.withColumnRenamed("node", "a"), "a")
-    return rows.groupBy(rows["component"]).applyInPandas(run, f"node {kind}, component {kind}, side int")
+    return rows.groupBy(rows["component"]).applyInPandas(run, f"a {kind}, b {kind}, component {kind}, node {kind}, side int")
+
+
+def alt_components(alts: DataFrame) -> DataFrame:
+    """(node, component, side) of ``alts(a, b, weight)``; ``refused_alts`` lists the edges that this leaves out."""
+    return merged_alts(alts).where("node IS NOT NULL").select("node", "component", "side")
+
+
+def refused_alts(alts: DataFrame) -> DataFrame:
+    """(a, b, component): alternatives that contradict heavier ones."""
+    return merged_alts(alts).where("node IS NULL").select("a", "b", "component")

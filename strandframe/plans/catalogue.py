@@ -16,7 +16,7 @@ from strandframe.operators import contacts as C
 from strandframe.operators import graph as G
 from strandframe.operators import kmers as K
 from strandframe.operators import phasing as P
-from strandframe.operators import assembly, chains, structure
+from strandframe.operators import assembly, chains, paths, structure
 from strandframe.operators.components import connected_components as components
 from strandframe.plans import pipelines
 from strandframe.sources import text, writers
@@ -114,26 +114,29 @@ def gap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.gap_histogram(_alignments(spark, sf_dir), F.floor(F.col("position") / 100), 50)
 
 
-NAMES = "names AS (SELECT DISTINCT (contig // 2) || '.' || (contig % 2) AS name FROM al WHERE mapq >= 49)"
+NAMES = "names AS (SELECT DISTINCT (l_orderkey // 2) || '.' || (l_orderkey % 2) AS name FROM lineitem), half AS (SELECT name, split_part(name, '.', 1) AS pre, CAST(split_part(name, '.', 2) AS INT) AS side FROM names)"
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alignments(spark, sf_dir, 49).select(F.expr("concat(contig div 2, '.', contig % 2)").alias("name")).distinct()
+    return _t(spark, sf_dir, "lineitem").select(F.expr("concat(l_orderkey div 2, '.', l_orderkey % 2)").alias("name")).distinct()
 
 
-@query(f"WITH {AL}, {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON split_part(x.name, '.', 1) = split_part(y.name, '.', 1) AND x.name < y.name")
+@query(f"WITH {NAMES} SELECT x.name AS a, y.name AS b FROM half x JOIN half y ON x.pre = y.pre AND x.side = 0 AND y.side = 1")
 def alts_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _names(spark, sf_dir)
-    other = n.select(naming.alt_name(F.col("name")).alias("name"), F.col("name").alias("other"))
-    return n.join(other, "name").where("name < other").select(F.col("name").alias("a"), F.col("other").alias("b"))
+    return pipelines.named_alts(_names(spark, sf_dir).withColumnRenamed("name", "node")).select("a", "b")
 
 
-@query(f"WITH {AL}, {NAMES}, m AS (SELECT name, split_part(name, '.', 1) || '.' || (1 - CAST(split_part(name, '.', 2) AS INT)) AS partner FROM names) SELECT name, partner FROM m WHERE partner NOT IN (SELECT name FROM names)")
+@query(f"WITH {NAMES}, m AS (SELECT name, pre || '.' || (1 - side) AS partner FROM half) SELECT name, partner FROM m WHERE partner NOT IN (SELECT name FROM names)")
 def alt_missing_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _names(spark, sf_dir)
     return n.select("name", naming.alt_name(F.col("name")).alias("partner")).join(n.select(F.col("name").alias("partner")), "partner", "left_anti").select("name", "partner")
 
 
+@query(f"WITH {NAMES} SELECT DISTINCT pre || '.0' AS node_0, pre || '.1' AS node_1 FROM half")
+def bubbles_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.named_bubbles(_names(spark, sf_dir).withColumnRenamed("name", "node"))
+
+
 @query(f"WITH {AL}, {AQ}, {CM}, k AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey % 5 <> 0) SELECT a, b, weight FROM cm WHERE a <> b AND a IN (SELECT n FROM k) AND b IN (SELECT n FROM k)")
 def prune_no_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     alts = _t(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0")
@@ -169,17 +172,47 @@ def orientation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("p_null", F.round(naming.binomial_p(F.col("n_different") + F.col("n_same"), F.least("n_different", "n_same")), 9))
 
 
-LINKS = "lk AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b, l_linenumber % 2 = 0 AS ra, l_returnflag = 'N' AS rb FROM lineitem WHERE l_quantity = 50 AND l_returnflag IN ('R', 'N')), hf AS (SELECT a AS node, CASE WHEN ra THEN 0 ELSE 1 END AS side, b AS other, CASE WHEN rb THEN 1 ELSE 0 END AS oside FROM lk), he AS (SELECT DISTINCT * FROM (SELECT * FROM hf UNION ALL SELECT other, oside, node, side FROM hf))"
+#: Orders meet part-supplier pairs: every line of the table is a link.
+LINKS = "lk AS (SELECT DISTINCT l_orderkey AS a, 100000000 + l_partkey * 100000 + l_suppkey AS b, l_linenumber % 2 = 0 AS ra, l_returnflag = 'N' AS rb FROM lineitem), hf AS (SELECT a AS node, CASE WHEN ra THEN 0 ELSE 1 END AS side, b AS other, CASE WHEN rb THEN 1 ELSE 0 END AS oside FROM lk), he AS (SELECT DISTINCT * FROM (SELECT * FROM hf UNION ALL SELECT other, oside, node, side FROM hf))"
+
+
+def _pair() -> Column:
+    return (F.lit(100000000) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).cast("long")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node_a"), (F.col("l_linenumber") % 2 == 0).alias("rev_a"), _pair().alias("node_b"), (F.col("l_returnflag") == "N").alias("rev_b"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag IN ('R', 'N')")
-    return G.half_edges(li.select(F.col("l_partkey").alias("node_a"), (F.col("l_linenumber") % 2 == 0).alias("rev_a"), (F.col("l_suppkey") + 1000000).alias("node_b"), (F.col("l_returnflag") == "N").alias("rev_b")))
+    return G.half_edges(_links(spark, sf_dir))
+
+
+#: Bubble chains: an order's lines are its main nodes, and a line of a size divisible by three has two alleles behind it.
+BUBBLES = """bs AS (SELECT (path * 100 + step) * 4 AS m, lead((path * 100 + step) * 4) OVER (PARTITION BY path ORDER BY step) AS nxt, length % 3 = 0 AS bub, path, step FROM steps),
+bl AS (SELECT m AS a, nxt AS b FROM bs WHERE nxt IS NOT NULL AND NOT bub UNION ALL SELECT m, m + i FROM bs, (SELECT unnest([1, 2]) AS i) WHERE nxt IS NOT NULL AND bub UNION ALL SELECT m + i, nxt FROM bs, (SELECT unnest([1, 2]) AS i) WHERE nxt IS NOT NULL AND bub),
+bm AS (SELECT bs.*, min(m) OVER (PARTITION BY path) AS chain, count(*) OVER (PARTITION BY path) AS n, coalesce(sum(bub::INT) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM bs),
+ly AS (SELECT chain, step + earlier AS layer, m AS node FROM bm WHERE n > 1 UNION ALL SELECT chain, step + earlier + 1, m + i FROM bm, (SELECT unnest([1, 2]) AS i) WHERE bub AND nxt IS NOT NULL)"""
+
+
+def _bubble_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    s = _steps(spark, sf_dir).select(((F.col("path") * 100 + F.col("step")) * 4).alias("m"), "path", "step", (F.col("length") % 3 == 0).alias("bub"))
+    s = s.withColumn("nxt", F.lead("m").over(Window.partitionBy("path").orderBy("step"))).where("nxt IS NOT NULL")
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    m, n = F.col("m"), F.col("nxt")
+    each = F.when(F.col("bub"), F.array(pair(m, m + 1), pair(m, m + 2), pair(m + 1, n), pair(m + 2, n))).otherwise(F.array(pair(m, n)))
+    return s.select(F.explode(each).alias("l")).select(F.col("l.a").alias("node_a"), (F.col("l.a") % 5 == 0).alias("rev_a"), F.col("l.b").alias("node_b"), (F.col("l.b") % 5 == 0).alias("rev_b"))
 
 
-@query(f"WITH {LINKS}, nodes AS (SELECT p_partkey AS node FROM part UNION ALL SELECT s_suppkey + 1000000 FROM supplier), sides AS (SELECT node, unnest([0, 1]) AS side FROM nodes), d AS (SELECT node, side, count(*) AS degree FROM he GROUP BY node, side) SELECT CAST(coalesce(degree, 0) AS BIGINT) AS degree, count(*) AS n FROM sides LEFT JOIN d USING (node, side) GROUP BY 1")
+def _bubble_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.half_edges(_bubble_links(spark, sf_dir))
+
+
+@query(f"WITH {LINKS}, nodes AS (SELECT o_orderkey AS node FROM orders UNION SELECT b FROM lk), sides AS (SELECT node, unnest([0, 1]) AS side FROM nodes), d AS (SELECT node, side, count(*) AS degree FROM he GROUP BY node, side) SELECT CAST(coalesce(degree, 0) AS BIGINT) AS degree, count(*) AS n FROM sides LEFT JOIN d USING (node, side) GROUP BY 1")
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).unionAll(_t(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("node")))
+    nodes = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")).union(_t(spark, sf_dir, "lineitem").select(_pair())).distinct()
     return G.degree_distribution(_halves(spark, sf_dir), nodes)
 
 
@@ -191,11 +224,6 @@ def singleton_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECOND = "sec AS (SELECT x.node, x.side, list_sort(list(DISTINCT y.other)) AS others FROM he x JOIN he y ON x.other = y.node AND x.oside = y.side WHERE y.other <> x.node GROUP BY x.node, x.side)"
 
 
-@query(f"WITH {LINKS}, {SECOND} SELECT l.node AS node_0, l.others[1] AS node_1 FROM sec l JOIN sec r ON l.node = r.node AND l.side = 0 AND r.side = 1 AND l.others = r.others WHERE len(l.others) = 1 AND l.node < l.others[1]")
-def symmetric_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.symmetric_bubbles(_halves(spark, sf_dir))
-
-
 @query(f"""WITH {LINKS}, {SECOND}, n AS (SELECT DISTINCT node FROM he), f AS (SELECT node, side, count(DISTINCT other) AS c FROM he GROUP BY node, side),
 j AS (SELECT n.node, coalesce(fl.c, 0) AS fl, coalesce(fr.c, 0) AS fr, sl.others AS sl, sr.others AS sr, coalesce(len(sl.others), 0) AS cl, coalesce(len(sr.others), 0) AS cr FROM n LEFT JOIN f fl ON fl.node = n.node AND fl.side = 0 LEFT JOIN f fr ON fr.node = n.node AND fr.side = 1
   LEFT JOIN sec sl ON sl.node = n.node AND sl.side = 0 LEFT JOIN sec sr ON sr.node = n.node AND sr.side = 1),
@@ -206,26 +234,29 @@ def chainable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chainable(h, h.select("node").distinct())
 
 
-E49 = "ed AS (SELECT DISTINCT l_partkey AS a, l_orderkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 49)"
+EDGES = "ed AS (SELECT DISTINCT l_orderkey AS a, 100000000 + l_partkey * 100000 + l_suppkey AS b FROM lineitem), bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed)"
+#: Least reachable node of each, by keyed recursion over the edges of ``bo``.
+REACH = "r(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM bo GROUP BY a UNION SELECT bo.b, min(r.root) FROM r JOIN bo ON r.node = bo.a JOIN recurring.r AS o ON o.node = bo.b WHERE r.root < o.root GROUP BY bo.b)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 10000000).alias("b")).distinct()
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), _pair().alias("b")).distinct()
 
 
-@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS node, a AS root FROM bo UNION SELECT b, root FROM r JOIN bo ON r.node = bo.a) SELECT node, min(root) AS component FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, {REACH} SELECT node, root AS component FROM r")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT DISTINCT a AS node, 0 AS depth FROM ed WHERE a < 20 UNION SELECT b, depth + 1 FROM r JOIN bo ON r.node = bo.a WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {EDGES}, r(node, depth) USING KEY (node) AS (SELECT DISTINCT a, 0 FROM ed WHERE a % 1000 = 1 UNION SELECT DISTINCT bo.b, r.depth + 1 FROM r JOIN bo ON r.node = bo.a WHERE bo.b NOT IN (SELECT node FROM recurring.r)) SELECT node, depth FROM r")
 def bfs_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers around every thousandth order, the start nodes, over the whole graph."""
     e = _edges(spark, sf_dir)
-    return G.bfs(e, e.where("a < 20").select(F.col("a").alias("node")))
+    return G.bfs(e, e.where("a % 1000 = 1").select(F.col("a").alias("node")))
 
 
-@query(f"""WITH RECURSIVE {E49}, fl AS (SELECT node, (node % 3 = 0) AS flag FROM (SELECT a AS node FROM ed UNION SELECT b FROM ed)), s AS (SELECT a, b FROM ed JOIN fl x ON x.node = a JOIN fl y ON y.node = b WHERE x.flag = y.flag),
-bo AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), r AS (SELECT node, node AS root FROM fl UNION SELECT b, root FROM r JOIN bo ON r.node = bo.a), c AS (SELECT node, min(root) AS g FROM r GROUP BY node)
+@query(f"""WITH RECURSIVE {EDGES.replace("bo AS", "be AS")}, fl AS (SELECT node, (node % 3 = 0) AS flag FROM (SELECT a AS node FROM ed UNION SELECT b FROM ed)), s AS (SELECT a, b FROM ed JOIN fl x ON x.node = a JOIN fl y ON y.node = b WHERE x.flag = y.flag),
+bo AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), {REACH}, c AS (SELECT fl.node, coalesce(root, fl.node) AS g FROM fl LEFT JOIN r USING (node))
 SELECT DISTINCT least(x.g, y.g) AS a, greatest(x.g, y.g) AS b FROM ed JOIN fl p ON p.node = a JOIN fl q ON q.node = b JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE p.flag <> q.flag""")
 def bipartition_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir)
@@ -233,7 +264,11 @@ def bipartition_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bipartition(e, flags)[1]
 
 
-@query(f"WITH RECURSIVE {E49}, bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS node, a AS root, 0 AS side FROM bo UNION SELECT b, root, 1 - side FROM r JOIN bo ON r.node = bo.a), m AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT m.node, m.component, CAST(min(side) AS INT) AS side, count(DISTINCT side) = 1 AS bipartite FROM m JOIN r ON r.node = m.node AND r.root = m.component GROUP BY m.node, m.component")
+#: Orders on one side and pairs on the other, so a node's side follows from which kind its component's least node is, an order.
+COLOURS = f"{EDGES}, {REACH}"
+
+
+@query(f"WITH RECURSIVE {COLOURS} SELECT node, root AS component, CASE WHEN node < 100000000 THEN 0 ELSE 1 END AS side, true AS bipartite FROM r")
 def alt_two_colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.two_colouring(_edges(spark, sf_dir))
 
@@ -250,9 +285,14 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, "l_partkey").select(F.col("l_orderkey").alias("path"), (F.row_number().over(order) - 1).cast("long").alias("step"), F.col("l_partkey").alias("node"), (F.col("l_linenumber") % 2 == 1).alias("rev"), "length")
 
 
+@query(f"WITH {STEPS}, {BUBBLES} SELECT m + 1 AS node_0, m + 2 AS node_1 FROM bs WHERE bub AND nxt IS NOT NULL")
+def symmetric_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.symmetric_bubbles(_bubble_halves(spark, sf_dir))
+
+
 @query(f"WITH {STEPS} SELECT path, CAST(sum(length) AS BIGINT) AS length, count(*) AS n_steps FROM steps GROUP BY path")
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark, sf_dir).groupBy("path").agg(F.sum("length").alias("length"), F.count("*").alias("n_steps"))
+    return paths.lengths(_steps(spark, sf_dir))
 
 
 @query(f"WITH {STEPS} SELECT path, step, CAST(coalesce(sum(length) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM steps")
@@ -262,8 +302,7 @@ def path_cumulative_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STEPS} SELECT path, count(*) AS n_steps, string_agg(node || CASE WHEN rev THEN '-' ELSE '+' END, ' ' ORDER BY step) AS nodes FROM steps GROUP BY path")
 def path_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _steps(spark, sf_dir).select("path", F.struct("step", F.concat(F.col("node").cast("string"), F.when(F.col("rev"), "-").otherwise("+")).alias("n")).alias("s"))
-    return s.groupBy("path").agg(F.count("*").alias("n_steps"), F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x.n), " ").alias("nodes"))
+    return paths.provenance(_steps(spark, sf_dir).withColumnsRenamed({"step": "step_index", "rev": "reversed"}))
 
 
 def _dna(text: Column) -> Column:
@@ -293,10 +332,18 @@ ds AS (SELECT DISTINCT doc_id // 2 AS component, doc_id % 2 AS haplotype, {CAN}
 mx AS (SELECT component, haplotype, parent, count(*) AS n FROM ds JOIN ps USING (kmer) GROUP BY component, haplotype, parent)"""
 
 
+def _parental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), _dna(F.col("text")).alias("s")).select("parent", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer"))
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("component"), (F.col("doc_id") % 2).alias("haplotype"), _dna(F.col("text")).alias("sequence"))
-    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), _dna(F.col("text")).alias("s")).select("parent", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer"))
-    return K.parental_matrix(d, b, 10)
+    return K.parental_matrix(d, _parental(spark, sf_dir), 10)
+
+
+@query(f"WITH {MATRIX}, z AS (SELECT parent, count(*) AS size FROM ps GROUP BY parent) SELECT component, haplotype, parent, n, size, round(n / CAST(size AS DOUBLE), 9) AS share FROM mx JOIN z USING (parent)")
+def normalised_kmer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.normalised(_matrix(spark, sf_dir), _parental(spark, sf_dir), 10).withColumn("share", F.round("share", 9))
 
 
 @query(f"WITH {MATRIX} SELECT component, haplotype, parent, n FROM mx")
@@ -309,25 +356,54 @@ def bubble_order_by_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.bubble_order(_matrix(spark, sf_dir))
 
 
+def _code(kmer: str, k: int) -> str:
+    return f"CAST(list_sum(list_transform(range(0, {k}), lambda j: (instr('ACGT', substr({kmer}, CAST(j + 1 AS INT), 1)) - 1) << CAST(2 * j AS INT))) AS BIGINT)"
+
+
+def _hash(seed: int) -> str:
+    turn = lambda f, m: f"((c % {m}) * {(f * (2 * seed + 1)) % m} + {seed + 1}) % {m}"
+    return f"({turn(K.A, K.P)}) * {1 << 31} + ({turn(K.C, K.Q)})"
+
+
 OV = f"""{DNA}, k AS (SELECT doc_id AS name, unnest(list_transform(range(1, greatest(length(s) - 14, 1)), lambda i: substr(s, i, 16))) AS kmer FROM dna),
-h AS (SELECT DISTINCT name, h FROM (SELECT name, CAST('0x' || substr(md5(kmer), 1, 15) AS BIGINT) AS h FROM k WHERE length(kmer) = 16) WHERE h < {int(0.1 * (1 << 60))}),
-sz AS (SELECT name, count(*) AS n_hashes FROM h GROUP BY name), bn AS (SELECT h FROM h GROUP BY h HAVING count(*) BETWEEN 2 AND 30),
-pr AS (SELECT x.name, y.name AS other_name, count(*) AS n_shared FROM h x JOIN bn USING (h) JOIN h y ON x.h = y.h AND x.name <> y.name GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_shared DESC, other_name) AS r FROM pr)"""
+cc AS (SELECT DISTINCT name, least({_code('kmer', 16)}, {_code("reverse(translate(kmer, 'ACGT', 'TGCA'))", 16)}) AS c FROM k WHERE length(kmer) = 16),
+h AS (SELECT DISTINCT name, it, h FROM (SELECT name, 0 AS it, {_hash(0)} AS h FROM cc UNION ALL SELECT name, 1, {_hash(1)} FROM cc) WHERE h < {int(0.1 / 2 * (K.P << 31))}),
+bn AS (SELECT it, h, count(*) AS n FROM h GROUP BY it, h), kp AS (SELECT h.* FROM h JOIN bn USING (it, h) WHERE n <= 30), sz AS (SELECT name, count(*) AS total_hashes FROM kp GROUP BY name),
+pr AS (SELECT x.name, y.name AS other_name, count(*) AS score FROM kp x JOIN kp y ON x.it = y.it AND x.h = y.h AND x.name <> y.name GROUP BY 1, 2),
+sh AS (SELECT pr.*, total_hashes FROM pr JOIN sz USING (name) WHERE total_hashes >= 20), ds AS (SELECT name, score, total_hashes, min(other_name) AS other_name FROM sh GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC) AS r FROM ds)"""
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), _dna(F.col("text")).alias("sequence"))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.minhash_bins(_sequences(spark, sf_dir), 16, 0.1, 2)
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.minhash_overlaps(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), _dna(F.col("text")).alias("sequence")), 16, 0.1)
+    return K.top_hits(K.shared_bins(_bins(spark, sf_dir)), 5, 0.0, 20)
 
 
-@query(f"WITH {OV} SELECT name, other_name, n_shared, n_hashes, round(n_shared / CAST(n_hashes AS DOUBLE), 9) AS similarity FROM rk JOIN sz USING (name) WHERE r <= 5")
+@query(f"WITH {OV} SELECT name, other_name, score, total_hashes, round(score / CAST(total_hashes AS DOUBLE), 9) AS similarity FROM rk WHERE r <= 5")
 def minhash_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir)
+    return _overlaps(spark, sf_dir).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH {OV} SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM h GROUP BY it, h) GROUP BY size")
+def minhash_bin_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.bin_sizes(_bins(spark, sf_dir))
 
 
-@query(f"WITH {OV}, b AS (SELECT name, other_name FROM rk WHERE r = 1) SELECT x.name AS a, x.other_name AS b FROM b x JOIN b y ON x.name = y.other_name AND x.other_name = y.name WHERE x.name < x.other_name")
+@query(f"WITH {OV}, b AS (SELECT name, other_name FROM rk WHERE r = 1 AND score > 0.1 * total_hashes) SELECT x.name AS a, x.other_name AS b FROM b x JOIN b y ON x.name = y.other_name AND x.other_name = y.name WHERE x.name < x.other_name")
 def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.mutual_best(_overlaps(spark, sf_dir))
+    return K.mutual_best(K.best_matches(K.shared_bins(_bins(spark, sf_dir)), 0.1, 20))
+
+
+@query(f"WITH {OV}, g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC) AS q FROM ds WHERE score >= 0.05 * total_hashes), e AS (SELECT least(name, other_name) AS a, greatest(name, other_name) AS b, arg_min(score, name) AS weight FROM g WHERE q <= 3 GROUP BY 1, 2) SELECT a, b, weight FROM e")
+def minhash_contact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.overlap_graph(K.shared_bins(_bins(spark, sf_dir)), 0.05, 20, 3)[1]
 
 
 CIG = "cg AS (SELECT l_orderkey AS query_name, CAST(l_suppkey AS BIGINT) AS ref, CAST(l_quantity AS INT) || 'M' || l_linenumber || 'I' || (l_partkey % 7) || 'D' || (l_suppkey % 40) || 'X' AS cigar FROM lineitem), op AS (SELECT query_name, ref, cigar, CAST(l_quantity AS INT) AS m, l_linenumber AS i, l_partkey % 7 AS d, l_suppkey % 40 AS x FROM (SELECT *, l_orderkey AS query_name, CAST(l_suppkey AS BIGINT) AS ref, '' AS cigar FROM lineitem))"
@@ -393,11 +469,11 @@ def interval_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("user_id").agg(F.max("depth").alias("most"), F.sum(F.when(F.col("depth") >= 2, F.col("span")).otherwise(0)).alias("overlapped"))
 
 
-@query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS place FROM cm WHERE a <> b AND weight >= 5")
+@query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS place FROM cm WHERE a <> b")
 def edge_order_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    heavy = _contacts(spark, sf_dir).where("a <> b AND weight >= 5")
+    heavy = _contacts(spark, sf_dir).where("a <> b")
     return heavy.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "a", "b")).cast("long"))
 
 
@@ -422,26 +498,27 @@ def label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STEPS} SELECT path, step, CAST(sum(length) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS BIGINT) AS total FROM steps QUALIFY count(*) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3")
 def sliding_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return paths.sliding_sum(_steps(spark, sf_dir), 3, "path", "step", "length")
 
-    w = Window.partitionBy("path").orderBy("step").rowsBetween(0, 2)
-    s = _steps(spark, sf_dir).select("path", "step", F.sum("length").over(w).alias("total"), F.count("*").over(w).alias("n"))
-    return s.where("n = 3").select("path", "step", F.col("total").cast("long").alias("total"))
 
-
-@query("WITH st AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS node FROM lineitem WHERE l_quantity >= 48) SELECT x.path AS path_a, y.path AS path_b, count(*) AS shared FROM st x JOIN st y ON x.node = y.node AND x.path < y.path GROUP BY 1, 2")
+@query("WITH st AS (SELECT DISTINCT l_orderkey AS path, l_partkey * 100000 + l_suppkey AS node FROM lineitem) SELECT x.path AS path_a, y.path AS path_b, count(*) AS shared FROM st x JOIN st y ON x.node = y.node AND x.path < y.path GROUP BY 1, 2")
 def diploid_path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _t(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("node")).distinct()
-    a, b = st.withColumnRenamed("path", "path_a"), st.withColumnRenamed("path", "path_b")
-    return a.join(b, "node").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("shared"))
+    return paths.shared_nodes(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).cast("long").alias("node")))
 
 
-@query("SELECT p_partkey AS name, upper(substr(p_name, 1, 12)) AS sequence, CAST(length(substr(p_name, 1, 12)) AS INT) AS length FROM part")
+@query(f"""WITH {STEPS}, {LINKS} SELECT 'S' AS kind, CAST(p_partkey AS VARCHAR) AS a, upper(p_name) AS b, count(*) AS n FROM part GROUP BY 2, 3 UNION ALL SELECT 'L', a || CASE WHEN ra THEN '-' ELSE '+' END, b || CASE WHEN rb THEN '-' ELSE '+' END, count(*) FROM lk GROUP BY 2, 3
+UNION ALL SELECT 'P', CAST(path AS VARCHAR), string_agg(node || CASE WHEN rev THEN '-' ELSE '+' END, ' ' ORDER BY step), count(*) FROM steps GROUP BY path""")
 def gfa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.upper(F.substring("p_name", 1, 12)).alias("sequence"))
-    links = spark.createDataFrame([], "node_a string, rev_a boolean, node_b string, rev_b boolean, cigar string")
-    back = text.gfa_segments(writers.gfa_lines(segments, links))
-    return back.select(F.col("name").cast("long").alias("name"), "sequence", "length")
+    """Segments, links and paths, as lines, and read from them again."""
+    segments = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.upper("p_name").alias("sequence"))
+    links = _links(spark, sf_dir).distinct().select(F.col("node_a").cast("string").alias("node_a"), "rev_a", F.col("node_b").cast("string").alias("node_b"), "rev_b", F.lit("").alias("cigar"))
+    steps = _steps(spark, sf_dir).select(F.col("path").cast("string").alias("path"), F.col("step").alias("step_index"), F.col("node").cast("string").alias("node"), F.col("rev").alias("reversed"))
+    lines = writers.gfa_lines(segments, links, steps)
+    sign = lambda n, r: F.concat(F.col(n), F.when(F.col(r), "-").otherwise("+"))
+    s = text.gfa_segments(lines).groupBy(F.lit("S").alias("kind"), F.col("name").alias("a"), F.col("sequence").alias("b")).agg(F.count("*").alias("n"))
+    ln = text.gfa_links(lines).groupBy(F.lit("L"), sign("node_a", "rev_a"), sign("node_b", "rev_b")).agg(F.count("*"))
+    p = text.gfa_path_steps(lines).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("step_index", sign("node", "reversed").alias("x")))).alias("x"))
+    return s.unionAll(ln).unionAll(p.select(F.lit("P"), "path", F.array_join(F.transform("x", lambda v: v.x), " "), F.size("x").cast("long")))
 
 
 @query(f"WITH {STEPS}, sg AS (SELECT p_partkey AS node, substr(repeat('ACGGT', 10), 1, p_size) AS s FROM part) SELECT path, string_agg(CASE WHEN rev THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END, '' ORDER BY step) AS sequence, count(*) AS n_steps FROM steps JOIN sg USING (node) GROUP BY path")
@@ -470,36 +547,37 @@ def phase_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.phase_rows(n).select(F.col("Name").alias("name"), F.col("Phase").alias("phase"), F.col("Color").alias("colour"))
 
 
-@query(f"""WITH {LINKS}, e AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 2 = 0),
-o AS (SELECT x.node, x.side, y.other, y.oside FROM he x JOIN e ON x.other = e.node JOIN he y ON y.node = x.other AND y.side = 1 - x.oside), p AS (SELECT node, side, other, oside FROM he WHERE other NOT IN (SELECT node FROM e) UNION SELECT * FROM o)
-SELECT DISTINCT node, side, other, oside AS other_side FROM p WHERE node NOT IN (SELECT node FROM e) AND other NOT IN (SELECT node FROM e)""")
+@query(f"""WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT node FROM he WHERE node % 3 = 0), st AS (SELECT x.node AS en, x.side AS es, x.other, x.oside FROM he x JOIN e USING (node)),
+w AS (SELECT he.node, he.side, he.other AS en, 1 - he.oside AS es FROM he WHERE he.other IN (SELECT node FROM e) AND he.node NOT IN (SELECT node FROM e) UNION SELECT w.node, w.side, st.other, 1 - st.oside FROM w JOIN st USING (en, es) WHERE st.other IN (SELECT node FROM e))
+SELECT DISTINCT w.node, w.side, st.other, st.oside AS other_side FROM w JOIN st USING (en, es) WHERE st.other NOT IN (SELECT node FROM e)
+UNION SELECT node, side, other, oside FROM he WHERE node NOT IN (SELECT node FROM e) AND other NOT IN (SELECT node FROM e)""")
 def empty_node_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag IN ('R', 'N')")
-    links = li.select(F.col("l_partkey").alias("node_a"), (F.col("l_linenumber") % 2 == 0).alias("rev_a"), (F.col("l_suppkey") + 1000000).alias("node_b"), (F.col("l_returnflag") == "N").alias("rev_b"))
-    return G.splice_empty(links, _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node")))
+    links = _links(spark, sf_dir)
+    nodes = links.select(F.col("node_a").alias("node")).union(links.select("node_b")).distinct()
+    return G.splice_empty(links, nodes.where("node % 3 = 0"))
 
 
-UNPHASED = f"""{MATRIX}, un AS (SELECT doc_id, {CAN} AS kmer FROM dk WHERE length(kmer) = 10), sc AS (SELECT doc_id, sum(CASE WHEN parent = 'mat' THEN 1 ELSE 0 END) AS m, sum(CASE WHEN parent = 'pat' THEN 1 ELSE 0 END) AS p FROM un JOIN ps USING (kmer) GROUP BY doc_id)"""
+UNPHASED = f"""{MATRIX}, un AS (SELECT doc_id, {CAN} AS kmer, count(*) AS c FROM dk WHERE length(kmer) = 10 GROUP BY 1, 2), uq AS (SELECT kmer, sum(c) = 1 AS once FROM un GROUP BY kmer),
+np AS (SELECT sum((parent = 'pat')::INT) AS p, sum((parent = 'mat')::INT) AS m FROM ps),
+sc AS (SELECT doc_id, sum(CASE WHEN parent = 'mat' THEN c ELSE 0 END) AS m, sum(CASE WHEN parent = 'pat' THEN c ELSE 0 END) AS p, sum(CASE WHEN parent = 'mat' AND once THEN c ELSE 0 END) AS um, sum(CASE WHEN parent = 'pat' AND once THEN c ELSE 0 END) AS up FROM un JOIN ps USING (kmer) JOIN uq USING (kmer) GROUP BY doc_id),
+al AS (SELECT dna.doc_id, length(s) AS len, CAST(coalesce(m, 0) AS BIGINT) AS m, CAST(coalesce(p, 0) AS BIGINT) AS p, CAST(coalesce(um, 0) AS BIGINT) AS um, CAST(coalesce(up, 0) AS BIGINT) AS up FROM dna LEFT JOIN sc USING (doc_id)),
+sr AS (SELECT al.*, log2(((al.p + 0.000001) / np.p) / ((al.m + 0.000001) / np.m)) AS score, log2((up + 0.000001) / (um + 0.000001)) AS us FROM al, np)"""
 
 
-@query(f"WITH {UNPHASED} SELECT doc_id, CAST(m AS BIGINT) AS maternal, CAST(p AS BIGINT) AS paternal, round(log2((m + 1.0) / (p + 1.0)), 9) AS score, CASE WHEN abs(log2((m + 1.0) / (p + 1.0))) <= 0.02 THEN 'none' WHEN m > p THEN 'mat' ELSE 'pat' END AS parent FROM sc")
+@query(f"WITH {UNPHASED} SELECT doc_id AS name, m AS maternal, p AS paternal, um AS unique_maternal, up AS unique_paternal, round(score, 6) AS score, round(us, 6) AS unique_score, CASE WHEN len > 200 AND m + p > 30 AND us > 0.02 THEN 'pat' WHEN len > 200 AND m + p > 30 AND us < -0.02 THEN 'mat' ELSE 'none' END AS parent FROM sr")
 def unphased_kmer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", _dna(F.col("text")).alias("s")).select("doc_id", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer")).select("doc_id", sequence.canonical(F.col("kmer")).alias("kmer"))
-    b = _t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "pat").otherwise("mat").alias("parent"), _dna(F.col("text")).alias("s")).select("parent", F.explode(sequence.kmers(F.col("s"), 10)).alias("kmer"))
-    sets = b.select("parent", sequence.canonical(F.col("kmer")).alias("kmer")).distinct()
-    n = lambda p: F.sum((F.col("parent") == p).cast("long"))
-    s = d.groupBy("doc_id", "kmer").agg(F.count("*").alias("c")).join(sets, "kmer").groupBy("doc_id").agg(F.sum(F.when(F.col("parent") == "mat", F.col("c")).otherwise(0)).alias("maternal"), F.sum(F.when(F.col("parent") == "pat", F.col("c")).otherwise(0)).alias("paternal"))
-    score = naming.log2_ratio(F.col("maternal"), F.col("paternal"), 1.0)
-    parent = F.when(F.abs(score) <= 0.02, "none").when(F.col("maternal") > F.col("paternal"), "mat").otherwise("pat")
-    return s.select("doc_id", "maternal", "paternal", F.round(score, 9).alias("score"), parent.alias("parent"))
+    s = K.unphased_scores(_sequences(spark, sf_dir), _parental(spark, sf_dir), 10, 200, 30)
+    return s.withColumns({"score": F.round("score", 6), "unique_score": F.round("unique_score", 6)}).drop("length")
 
 
-@query(f"WITH {OV}, c AS (SELECT least(x.name, x.other_name) AS a, greatest(x.name, x.other_name) AS b, x.n_shared FROM rk x WHERE r <= 5), d AS (SELECT a, b, max(n_shared) AS n_shared FROM c GROUP BY a, b) SELECT a, b, n_shared, CAST((x.n_chars + y.n_chars) // 2 AS BIGINT) AS mean_length FROM d JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE a // 2 <> b // 2")
+@query(f"""WITH {OV}, hit AS (SELECT * FROM rk WHERE r <= 5), j AS (SELECT CASE WHEN x.n_chars > y.n_chars THEN name ELSE other_name END AS a, CASE WHEN x.n_chars > y.n_chars THEN other_name ELSE name END AS b, x.n_chars > y.n_chars AS lg, score / CAST(total_hashes AS DOUBLE) AS s, (x.n_chars + y.n_chars) // 2 AS ml FROM hit JOIN documents x ON x.doc_id = name JOIN documents y ON y.doc_id = other_name),
+g AS (SELECT a, b, coalesce(max(s) FILTER (lg), 0) AS oa, coalesce(max(s) FILTER (NOT lg), 0) AS ob, max(ml) AS mean_length FROM j GROUP BY a, b)
+SELECT a, b, round(oa, 9) AS ab_over_a, round(ob, 9) AS ab_over_b, mean_length FROM g WHERE ob >= 0.1 AND abs(a - b) <> 1""")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlaps(spark, sf_dir).select(F.least("name", "other_name").alias("a"), F.greatest("name", "other_name").alias("b"), "n_shared").groupBy("a", "b").agg(F.max("n_shared").alias("n_shared"))
-    size = lambda x: _t(spark, sf_dir, "documents").select(F.col("doc_id").alias(x), F.col("n_chars").alias(f"n{x}"))
-    adjacent = F.expr("a div 2 = b div 2")
-    return o.where(~adjacent).join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_shared", F.expr("(na + nb) div 2").alias("mean_length"))
+    docs = _t(spark, sf_dir, "documents")
+    c = K.alignment_candidates(_overlaps(spark, sf_dir), docs.select(F.col("doc_id").alias("name"), F.col("n_chars").alias("length")), 0.0, 0.1)
+    links = docs.select(F.col("doc_id").alias("node_a"), (F.col("doc_id") + 1).alias("node_b"))
+    return K.not_adjacent(c, links).withColumns({"ab_over_a": F.round("ab_over_a", 9), "ab_over_b": F.round("ab_over_b", 9)})
 
 
 @query(f"WITH {AL} SELECT read, min(contig) AS contig FROM al GROUP BY read HAVING count(*) = 1")
@@ -520,10 +598,14 @@ def cigar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("query_name", "ref", "e.op", "e.len", "e.ref_at", "e.query_at").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {AL}, b AS (SELECT read, contig, CAST(floor(position) AS BIGINT) AS ref_start, mapq FROM al), w AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY ref_start, mapq) AS r FROM b)
-SELECT contig, CAST(sum(mapq) AS BIGINT) AS matches FROM w GROUP BY contig""")
+@query(f"""WITH RECURSIVE {AL}, b AS (SELECT contig, CAST(floor(position) AS BIGINT) AS s, CAST(floor(position) AS BIGINT) + mapq * 40 AS e, CAST(mapq AS DOUBLE) AS m, mapq / 50.0 AS i FROM al),
+o AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY s, e, m, i) AS r FROM b),
+f AS (SELECT contig, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS total, CAST(-1 AS BIGINT) AS stop, CAST(-1 AS BIGINT) AS start, CAST(0 AS DOUBLE) AS ident FROM (SELECT DISTINCT contig FROM b)
+  UNION ALL SELECT o.contig, o.r, f.total + o.m - CASE WHEN NOT (f.stop > o.s AND f.start < o.e) AND f.stop > o.s THEN (f.stop - o.s) * greatest(f.ident, o.i) ELSE 0 END,
+    CASE WHEN f.stop > o.s AND f.start < o.e THEN f.stop ELSE o.e END, CASE WHEN f.stop > o.s AND f.start < o.e THEN f.start ELSE o.s END, CASE WHEN f.stop > o.s AND f.start < o.e THEN f.ident ELSE CAST(o.i AS DOUBLE) END FROM f JOIN o ON o.contig = f.contig AND o.r = f.r + 1)
+SELECT contig, CAST(max_by(total, r) AS BIGINT) AS matches, max_by(stop, r) AS stop FROM f GROUP BY contig""")
 def nonoverlapping_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _alignments(spark, sf_dir).select("contig", F.floor("position").alias("ref_start"), (F.floor("position") + F.col("mapq")).alias("ref_stop"), F.col("mapq").alias("n_matches"), F.lit(1.0).alias("identity"))
+    a = _alignments(spark, sf_dir).select("contig", F.floor("position").alias("ref_start"), (F.floor("position") + F.col("mapq") * 40).alias("ref_stop"), F.col("mapq").alias("n_matches"), (F.col("mapq") / 50.0).alias("identity"))
     return chains.non_overlapping_matches(a, "contig")
 
 
@@ -543,13 +625,14 @@ def nx_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nx_curve(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("length"), F.col("p_brand").alias("g")), "g")
 
 
-@query()
+@query(f"WITH {STEPS}, {BUBBLES} SELECT chain, CAST(layer AS BIGINT) AS layer, node, node % 5 = 0 AS reversed FROM ly")
 def chain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _halves(spark, sf_dir)
+    h = _bubble_halves(spark, sf_dir)
     return chains.chains(h, h.select("node").distinct())
 
 
-@query()
+@query(f"""WITH {STEPS}, {BUBBLES}, w AS (SELECT chain, layer, node, unnest(CASE WHEN node % 4 = 0 THEN [0, 1] WHEN node % 4 = 2 THEN [0] ELSE [1] END) AS phase FROM ly)
+SELECT chain || '.1.' || phase AS path, CAST(phase AS INT) AS phase, row_number() OVER (PARTITION BY chain, phase ORDER BY layer) - 1 AS step, node, node % 5 = 0 AS reversed FROM w""")
 def chain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = chain_layers(spark, sf_dir)
     return chains.chain_paths(layers, layers.select("node", (F.col("node") % 2 * 2 - 1).cast("int").alias("partition")))
@@ -558,26 +641,26 @@ def chain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def best_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _overlaps(spark, sf_dir)
-    sizes = o.select(F.col("name").alias("node"), F.col("n_hashes").alias("length")).distinct()
-    sizes = sizes.groupBy("node").agg(F.max("length").alias("length"))
-    return chains.best_overlaps(o.select(F.col("name").alias("a"), F.col("other_name").alias("b"), F.col("n_shared").alias("weight")), sizes)
+    sizes = o.groupBy(F.col("name").alias("node")).agg(F.max("total_hashes").alias("length"))
+    return chains.best_overlaps(o.select(F.col("name").alias("a"), F.col("other_name").alias("b"), F.col("score").alias("weight")), sizes)
 
 
-@query()
+@query(f"WITH {STEPS}, {BUBBLES} SELECT node FROM ly WHERE node % 4 = 0")
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _halves(spark, sf_dir)
+    h = _bubble_halves(spark, sf_dir)
     return structure.bridge_nodes(h, h.select("node").distinct())
 
 
-@query()
+@query(f"""WITH {STEPS}, {BUBBLES} SELECT m AS node, CASE WHEN m % 5 = 0 THEN 0 ELSE 1 END AS side, CASE WHEN nxt IS NULL THEN 1 WHEN bub THEN 4 ELSE 2 END AS members FROM bm WHERE n > 1
+UNION ALL SELECT m, CASE WHEN m % 5 = 0 THEN 1 ELSE 0 END, 1 FROM bm WHERE n > 1 AND step = 0""")
 def bridge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _halves(spark, sf_dir)
+    h = _bubble_halves(spark, sf_dir)
     n = h.select("node").distinct()
     parts = structure.bridge_components(h, n, structure.bridge_nodes(h, n))
     return parts.groupBy(F.col("component.n").alias("node"), F.col("component.s").alias("side")).agg(F.count("*").alias("members"))
 
 
-@query()
+@query(f"WITH RECURSIVE {COLOURS} SELECT node, root AS component, CASE WHEN node < 100000000 THEN 0 ELSE 1 END AS side FROM r")
 def alt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.alt_components(_edges(spark, sf_dir).withColumn("weight", F.col("a") % 5))
 
@@ -585,4 +668,4 @@ def alt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _alignments(spark, sf_dir, 20).withColumn("contig", F.expr("concat(contig div 2, '.', contig % 2)"))
-    return pipelines.phase_contacts(a, samples=8, iterations=10)
+    return pipelines.phase_contacts(a)

@@ -18,6 +18,13 @@ def named_alts(nodes: DataFrame) -> DataFrame:
     return nodes.join(other, "node").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1).alias("weight"))
 
 
+def named_bubbles(nodes: DataFrame) -> DataFrame:
+    """(node_0, node_1) of every name's bubble, a partner that is not among ``nodes`` put in."""
+    side = F.regexp_extract("node", r"\.([01])$", 1)
+    pair = nodes.where(side != "").select(F.when(side == "0", F.col("node")).otherwise(alt_name(F.col("node"))).alias("node_0"), F.when(side == "1", F.col("node")).otherwise(alt_name(F.col("node"))).alias("node_1"))
+    return pair.distinct()
+
+
 def phase_contacts(alignments: DataFrame, min_mapq: int = 1, samples: int = 30, iterations: int = 200, seed: int = 0, alts: DataFrame | None = None, rounds: int = 0) -> DataFrame:
     """(node, partition): contacts of reads, alternatives by name unless given, nodes without one left out, then the search.
 

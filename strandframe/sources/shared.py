@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a local one that is set here."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is not set, as in tests, a session whose executors are the driver's own threads gets a temporary
+    one; any other session is refused, because no folder of one machine would do.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
-        else:
+        elif context.master.startswith("local"):
             found = "file://" + tempfile.mkdtemp(prefix="strandframe-")
-            spark.sparkContext.setCheckpointDir(found)
+            context.setCheckpointDir(found)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 

@@ -103,7 +103,7 @@ def paf_alignments(lines: DataFrame) -> DataFrame:
     """The twelve fixed PAF columns and the CIGAR tag."""
     names = ["query:string", "qlen:long", "qstart:long", "qstop:long", "strand:string", "ref:string", "rlen:long", "rstart:long", "rstop:long", "nmatch:long", "blen:long", "mapq:int"]
     d = lines.select(F.split("value", "\t").alias("f"))
-    tag = F.get(F.filter(F.slice("f", 13, 1000), lambda x: x.startswith("cg:Z:")), F.lit(0))
+    tag = F.get(F.filter(F.slice("f", 13, F.size("f")), lambda x: x.startswith("cg:Z:")), F.lit(0))
     return d.select(*[F.get("f", F.lit(i)).cast(n.split(":")[1]).alias(n.split(":")[0]) for i, n in enumerate(names)], F.regexp_replace(tag, "^cg:Z:", "").alias("cigar"))
 
 

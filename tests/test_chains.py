@@ -55,4 +55,4 @@ def test_best_overlaps_keep_components_apart(spark):
 
 def test_non_overlapping_matches(spark):
     b = spark.createDataFrame([("q", 0, 100, 90, 0.9), ("q", 50, 80, 30, 1.0), ("q", 100, 150, 50, 1.0), ("r", 5, 6, 1, 1.0)], "name string, ref_start int, ref_stop int, n_matches int, identity double")
-    assert sorted(map(tuple, chains.non_overlapping_matches(b, "name").collect())) == [("q", 170), ("r", 1)]
+    assert sorted(map(tuple, chains.non_overlapping_matches(b, "name").collect())) == [("q", 170, 150), ("r", 1, 6)]

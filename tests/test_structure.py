@@ -188,20 +188,59 @@ def test_trio(spark):
     assert kmers.kmer_counts(s.limit(0), 5).collect() == []
 
 
-def test_no_round_limit_leaves_nodes_out(spark, monkeypatch):
-    import inspect
-
+def test_no_round_limit_leaves_nodes_out(spark):
     from strandframe.operators import components, graph
-    from strandframe.plans import catalogue
 
     n = 44
     path = spark.range(n).selectExpr("id AS a", "id + 1 AS b").coalesce(1)
-    monkeypatch.setattr(catalogue, "_edges", lambda *_: path.selectExpr("a + 19 AS a", "b + 19 AS b"))
-    assert {r.node: r.depth for r in catalogue.bfs_layers(spark, "").collect()} == {k + 19: k for k in range(n + 1)}
-    assert not {"most_rounds"} & set(inspect.signature(graph.splice_empty).parameters)
+    assert {r.node: r.depth for r in graph.bfs(path, spark.createDataFrame([(0,)], "node long")).collect()} == {k: k for k in range(n + 1)}
     ring = [(0, 1), (1, 2), (2, 3), (3, 1), (3, 9)]
     links = spark.createDataFrame([(a, False, b, False) for a, b in ring], "node_a long, rev_a boolean, node_b long, rev_b boolean")
     empty = spark.createDataFrame([(1,), (2,), (3,)], "node long")
     assert {tuple(r) for r in graph.splice_empty(links, empty).collect()} == {(0, 1, 9, 0), (9, 0, 0, 1)}
+    long = spark.range(131).selectExpr("id AS node_a", "id % 3 = 0 AS rev_a", "id + 1 AS node_b", "(id + 1) % 3 = 0 AS rev_b")
+    assert {tuple(r) for r in graph.splice_empty(long, spark.range(1, 131).selectExpr("id AS node")).collect()} == {(0, 0, 131, 0), (131, 0, 0, 0)}
+    with pytest.raises(RuntimeError):
+        graph.splice_empty(long, spark.range(1, 131).selectExpr("id AS node"), most_rounds=3)
     with pytest.raises(RuntimeError):
         components.connected_components(path, most_rounds=1)
+
+
+def test_components_against_search(spark):
+    from strandframe.operators.components import connected_components
+
+    rng = random.Random(17)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(230)] + [(400 + rng.randrange(40), 999) for _ in range(80)] + [(1000 - k, 1001 - k) for k in range(0, 60)] + [(5000, 5000), (None, 1)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_refused_alternatives_are_listed(spark):
+    from strandframe.operators.structure import alt_components, refused_alts
+
+    alts = spark.createDataFrame([("a", "b", 5), ("b", "c", 4), ("c", "a", 3), ("x", "y", 1)], "a string, b string, weight long")
+    assert sorted(map(tuple, alt_components(alts).collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 0), ("x", "x", 0), ("y", "x", 1)]
+    assert [tuple(r) for r in refused_alts(alts).collect()] == [("c", "a", "a")]
+
+
+def test_qualities_beyond_the_grid_are_counted(spark):
+    from strandframe.operators import contacts
+
+    h = spark.createDataFrame([(10, 2), (254, 3)], "mapq int, n long")
+    got = {r.mapq: r.at_least for r in contacts.reverse_cdf(h, "mapq", 0, 60).collect()}
+    assert (got[0], got[11], got[254], len(got)) == (5, 3, 3, 255)
+    by = spark.createDataFrame([("a", "b", 200, 7)], "a string, b string, mapq int, weight long")
+    parts = spark.createDataFrame([("a", 1), ("b", 1)], "node string, partition int")
+    assert [r.consistent for r in contacts.phase_signal(by, parts, 0, 60).orderBy("mapq").collect()] == [7] * 201
