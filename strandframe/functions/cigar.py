@@ -11,7 +11,9 @@ REFERENCE, QUERY, MATCH = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X"),
 
 
 def parse(cigar: Column) -> Column:
-    """Operations in order; ``*``, the empty string and zero lengths have none."""
+    """Operations in order; ``*``, the empty string and zero lengths have none. Anything else that is no operation is an error."""
+    wrong = F.raise_error(F.concat(F.lit("not a CIGAR: "), F.substring(cigar, 1, 60))).cast("string")
+    cigar = F.when(cigar.isNull() | cigar.isin("*", "") | cigar.rlike("^(\\d+[MIDNSHP=X])+$"), cigar).otherwise(wrong)
     n = F.regexp_extract_all(cigar, F.lit(OPS), F.lit(1))
     o = F.regexp_extract_all(cigar, F.lit(OPS), F.lit(2))
     both = F.transform(F.arrays_zip(n.alias("n"), o.alias("o")), lambda x: F.struct(x.n.cast("int").alias("len"), x.o.alias("op")))
@@ -24,7 +26,8 @@ def render(ops: Column) -> Column:
 
 
 def flipped(ops: Column) -> Column:
-    """The same overlap seen from the other strand and the other sequence: reversed, with I and D exchanged."""
+    """The same overlap seen from the other strand and the other sequence: reversed, with I and D exchanged; clips, N and P have no such view and are an error."""
+    ops = F.when(F.exists(ops, lambda x: x.op.isin("S", "H", "N", "P")), F.raise_error(F.lit("a CIGAR with S, H, N or P cannot be turned")).cast("array<struct<len:int,op:string>>")).otherwise(ops)
     return F.transform(F.reverse(ops), lambda x: F.struct(x.len.alias("len"), F.when(x.op == "I", "D").when(x.op == "D", "I").otherwise(x.op).alias("op")))
 
 
@@ -40,6 +43,23 @@ def identity(ops: Column, indel_cap: int = 20) -> Column:
     return m / F.nullif((m + x + indel).cast("double"), F.lit(0.0))
 
 
+def summary(ops: Column, indel_cap: int = 20) -> Column:
+    """Struct of matches, mismatches, and insertions and deletions, each capped; ``M`` is an error, as it tells matches and mismatches not apart."""
+    known = F.when(F.exists(ops, lambda x: x.op == "M"), F.raise_error(F.lit("a CIGAR with M has no identity")).cast("array<struct<len:int,op:string>>")).otherwise(ops)
+    return F.struct(total(known, ("=",)).alias("matches"), total(known, ("X",)).alias("mismatches"), total(known, ("I",), indel_cap).alias("inserts"), total(known, ("D",), indel_cap).alias("deletes"))
+
+
+def summary_identity(matches: Column, mismatches: Column, inserts: Column, deletes: Column) -> Column:
+    return matches / (matches + mismatches + inserts + deletes + F.lit(1e-12))
+
+
+def oriented_events(ops: Column, least: int, reversed_: Column, ref_start: Column, ref_stop: Column, query_start: Column, query_stop: Column) -> Column:
+    """Events with coordinates: those of the reference ascend, those of a reversed query descend from its end."""
+    walked = events(ops, least)
+    at = lambda e: F.when(reversed_, query_stop - e.query_at).otherwise(query_start + e.query_at)
+    return F.transform(walked, lambda e: F.struct(e.op.alias("op"), e.len.alias("len"), (ref_start + e.ref_at).alias("ref_at"), at(e).alias("query_at")))
+
+
 def events(ops: Column, least: int = 1) -> Column:
     """Insertions, deletions and mismatches of a length or more, with the letters of reference and query before each."""
     start = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<op:string,len:int,ref_at:bigint,query_at:bigint>>").alias("e"))

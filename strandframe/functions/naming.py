@@ -47,3 +47,87 @@ def binomial_p(n: Column, k: Column) -> Column:
 def hex_colour(r: Column, g: Column, b: Column) -> Column:
     """#RRGGBB of three shares from 0 to 1."""
     return F.concat(F.lit("#"), *[F.lpad(F.conv(F.round(255 * x).cast("int").cast("string"), 10, 16), 2, "0") for x in (r, g, b)])
+
+
+#: Ends and middle of the colour maps, as shares of red, green and blue; colours between them are mixed.
+COLOUR_MAPS = {
+    "coolwarm": ((0.23, 0.30, 0.75), (0.87, 0.87, 0.87), (0.71, 0.02, 0.15)),
+    "viridis": ((0.27, 0.00, 0.33), (0.13, 0.57, 0.55), (0.99, 0.91, 0.14)),
+    "magma": ((0.00, 0.00, 0.02), (0.72, 0.21, 0.47), (0.99, 0.99, 0.75)),
+    "plasma": ((0.05, 0.03, 0.53), (0.80, 0.28, 0.47), (0.94, 0.98, 0.13)),
+    "rainbow": ((0.50, 0.00, 1.00), (0.50, 1.00, 0.71), (1.00, 0.00, 0.00)),
+}
+
+
+def clamped(x: Column, saturation: float) -> Column:
+    """``x / saturation`` cut to -1 .. 1 and moved to 0 .. 1."""
+    return (F.least(F.greatest(x / saturation, F.lit(-1.0)), F.lit(1.0)) + 1) / 2
+
+
+def map_colour(share: Column, name: str = "coolwarm") -> Column:
+    """#RRGGBB of a share from 0 to 1 on a colour map."""
+    low, mid, high = COLOUR_MAPS[name]
+    mix = lambda a, b, t: a + (b - a) * t
+    part = lambda i: F.when(share < 0.5, mix(F.lit(low[i]), F.lit(mid[i]), share * 2)).otherwise(mix(F.lit(mid[i]), F.lit(high[i]), share * 2 - 1))
+    return hex_colour(part(0), part(1), part(2))
+
+
+def rgb(hex_: Column) -> Column:
+    """Red, green and blue (0 to 255) of #RRGGBB."""
+    return F.array(*[F.conv(F.substring(hex_, i, 2), 16, 10).cast("int") for i in (2, 4, 6)])
+
+
+def blended(a: Column, b: Column, share: float = 0.5, gamma: float = 2.2) -> Column:
+    """#RRGGBB between two colours, mixed in linear light."""
+    x, y = rgb(a), rgb(b)
+    mix = lambda i: F.sqrt((1 - share) * F.pow(F.get(x, i) / 255, F.lit(gamma)) + share * F.pow(F.get(y, i) / 255, F.lit(gamma)))
+    return hex_colour(*[mix(F.lit(i)) for i in range(3)])
+
+
+def is_bubble(a: Column, b: Column) -> Column:
+    """Whether two names are the sides of one bubble: the same prefix, and sides 0 and 1."""
+    return F.coalesce(alt_name(a) == b, F.lit(False))
+
+
+def chromosome_order(name: Column) -> Column:
+    """Sort key: numbers in their order, then letters."""
+    bare = F.regexp_replace(name, "^(?i)chr", "")
+    number = F.regexp_extract(bare, r"^(\d+)", 1)
+    return F.when(number != "", F.concat(F.lit("0"), F.lpad(number, 6, "0"), bare)).otherwise(F.concat(F.lit("1"), bare))
+
+
+# Flags of an alignment.
+def is_first_mate(flag: Column) -> Column:
+    return flag.bitwiseAND(64) != 0
+
+
+def is_second_mate(flag: Column) -> Column:
+    return flag.bitwiseAND(128) != 0
+
+
+def is_primary(flag: Column) -> Column:
+    """Not secondary; supplementary rows pass."""
+    return flag.bitwiseAND(256) == 0
+
+
+def is_supplementary(flag: Column) -> Column:
+    return flag.bitwiseAND(2048) != 0
+
+
+def strand(is_reverse: Column) -> Column:
+    return F.when(is_reverse, "-").otherwise("+")
+
+
+def forward_range(is_reverse: Column, start: Column, stop: Column, length: Column) -> Column:
+    """(start, stop) on the forward strand of a range on the strand given."""
+    return F.struct(F.when(is_reverse, length - stop).otherwise(start).alias("start"), F.when(is_reverse, length - start).otherwise(stop).alias("stop"))
+
+
+def haplotype_of_name(name: Column) -> Column:
+    """0 or 1 for names that end so behind a dot; null for others."""
+    return F.nullif(F.regexp_extract(name, r"\.([01])$", 1), F.lit("")).cast("int")
+
+
+def qv_identity(qv: Column) -> Column:
+    """Identity of a quality value."""
+    return 1 - F.pow(F.lit(10.0), -qv / 10)

@@ -6,9 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def complement(s: Column) -> Column:
+    """Base by base; an error for a letter other than A, C, G, T, N."""
+    wrong = F.raise_error(F.concat(F.lit("no complement of a letter in: "), F.substring(s, 1, 60))).cast("string")
+    return F.when(s.rlike("^[ACGTN]*$"), F.translate(s, "ACGTN", "TGCAN")).when(s.isNotNull(), wrong)
+
+
 def reverse_complement(s: Column) -> Column:
-    """Null for a sequence with a letter other than A, C, G, T, N."""
-    return F.when(s.rlike("^[ACGTN]*$"), F.reverse(F.translate(s, "ACGTN", "TGCAN")))
+    """The other strand; an error for a letter other than A, C, G, T, N."""
+    return F.reverse(complement(s))
+
+
+def trimmed(s: Column, most: int) -> Column:
+    """The first ``most`` letters."""
+    return F.substring(s, 1, most)
 
 
 def canonical(kmer: Column) -> Column:
@@ -36,9 +47,20 @@ def kmers(s: Column, k: int) -> Column:
 def pack_2bit(kmer: Column) -> Column:
     """BIGINT code of up to 31 letters, first letter lowest; the length is not part of it."""
     codes = F.transform(F.split(kmer, ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
-    return F.aggregate(F.reverse(F.filter(codes, lambda c: c >= 0)), F.lit(0).cast("long"), lambda acc, c: F.shiftleft(acc, 2) + c)
+    code = F.aggregate(F.reverse(F.filter(codes, lambda c: c >= 0)), F.lit(0).cast("long"), lambda acc, c: F.shiftleft(acc, 2) + c)
+    return F.when(kmer.rlike("^[ACGT]{1,31}$"), code).when(kmer.isNotNull(), F.raise_error(F.concat(F.lit("not 1 to 31 of A, C, G, T: "), kmer)).cast("long"))
+
+
+def unpack_2bit(code: Column, k: int) -> Column:
+    """The ``k`` letters of a code of ``pack_2bit``."""
+    return F.concat(*[F.substring(F.lit("ACGT"), F.shiftrightunsigned(code, 2 * i).bitwiseAND(3).cast("int") + 1, F.lit(1)) for i in range(k)])
+
+
+def seeded_hash(x: Column, seed: int) -> Column:
+    """64-bit hash of a value under a seed."""
+    return F.xxhash64(x, F.lit(seed))
 
 
-def minhash_value(kmer: Column) -> Column:
-    """15 hexadecimal digits of a digest, as BIGINT: the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(kmer), 1, 15), 16, 10).cast("long")
+def murmur3(x: Column) -> Column:
+    """32-bit Murmur3 hash."""
+    return F.hash(x)

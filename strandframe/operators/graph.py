@@ -169,3 +169,105 @@ def nx_curve(lengths: DataFrame, *by: str) -> DataFrame:
 
 def n50(lengths: DataFrame, *by: str) -> DataFrame:
     return nx_curve(lengths, *by).where("2 * x0 < total AND total <= 2 * x1").select(*by, F.col("length").alias("n50"))
+
+
+def tips(halves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, has_left, has_right): nodes without a link on one side or both."""
+    d = halves.groupBy("node").agg(F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r"))
+    j = nodes.select("node").join(d, "node", "left").select("node", F.coalesce("l", F.lit(False)).alias("has_left"), F.coalesce("r", F.lit(False)).alias("has_right"))
+    return j.where("NOT (has_left AND has_right)")
+
+
+def edge_bfs(edges: DataFrame, start: DataFrame, refused: DataFrame) -> DataFrame:
+    """(a, b, passed): each edge met from ``start(node)`` once; those into ``refused(node)`` fail and lead no further."""
+    no = refused.select("node").distinct()
+    open_ = edges.join(no.select(F.col("node").alias("a")), "a", "left_anti").join(no.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+    seen = bfs(open_, start.join(no, "node", "left_anti")).select("node")
+    end = lambda x: seen.select(F.col("node").alias(x), F.lit(True).alias(f"seen_{x}"))
+    bad = lambda x: no.select(F.col("node").alias(x), F.lit(True).alias(f"bad_{x}"))
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    j = once.join(end("a"), "a", "left").join(end("b"), "b", "left").join(bad("a"), "a", "left").join(bad("b"), "b", "left")
+    return j.where("seen_a OR seen_b").select("a", "b", (F.col("bad_a").isNull() & F.col("bad_b").isNull()).alias("passed"))
+
+
+def component_labels(halves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of all nodes, alone or not."""
+    c = connected_components(halves.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return nodes.select("node").join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def split_links(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links inside a labelled part, with its label, and those between two parts, with both; ``labels(node, component)``."""
+    end = lambda x: labels.select(F.col("node").alias(f"node_{x}"), F.col("component").alias(f"part_{x}"))
+    j = links.join(end("a"), "node_a").join(end("b"), "node_b")
+    return j.where("part_a = part_b").withColumnRenamed("part_a", "component").drop("part_b"), j.where("part_a <> part_b")
+
+
+def boundary_nodes(halves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(subgraph, node, side, other, beyond): sides of a subgraph's nodes that meet another subgraph; ``labels(node, subgraph)``."""
+    other = labels.select(F.col("node").alias("other"), F.col("subgraph").alias("beyond"))
+    return halves.join(labels.select("node", "subgraph"), "node").join(other, "other").where("subgraph <> beyond").select("subgraph", "node", "side", "other", "beyond")
+
+
+def merged_subgraphs(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``labels(node, subgraph, flag)`` with the subgraphs of ``pairs(a, b)`` as one; two of different flag are an error."""
+    c = connected_components(pairs.select("a", "b"))
+    j = labels.join(c.select(F.col("node").alias("subgraph"), "component"), "subgraph", "left").withColumn("merged", F.coalesce("component", "subgraph"))
+    mixed = j.groupBy("merged").agg(F.countDistinct("flag").alias("flags")).where("flags > 1").select("merged", F.lit(True).alias("mixed"))
+    checked = F.when(F.col("mixed"), F.raise_error(F.lit("subgraphs of different ploidy cannot be merged")).cast(dict(j.dtypes)["merged"])).otherwise(F.col("merged"))
+    return j.join(mixed, "merged", "left").select("node", checked.alias("subgraph"), "flag")
+
+
+def merge_diploid_singletons(labels: DataFrame, bubbles: DataFrame) -> DataFrame:
+    """Lone diploid subgraphs join their partner's; ``labels(node, subgraph, flag)``, flag true for haploid nodes, ``bubbles(node_0, node_1)``."""
+    size = labels.groupBy("subgraph").agg(F.count("*").alias("n"))
+    lone = labels.join(size.where("n = 1"), "subgraph").where("NOT flag").select("node", "subgraph")
+    both = bubbles.select(F.col("node_0").alias("node"), F.col("node_1").alias("mate")).unionAll(bubbles.select("node_1", "node_0"))
+    mate = labels.where("NOT flag").select(F.col("node").alias("mate"), F.col("subgraph").alias("theirs"))
+    return merged_subgraphs(labels, lone.join(both, "node").join(mate, "mate").select(F.col("subgraph").alias("a"), F.col("theirs").alias("b")))
+
+
+def diploid_flags(nodes: DataFrame, bubbles: DataFrame) -> DataFrame:
+    """(node, flag): flag is false for nodes of a bubble, true for the others."""
+    of = bubbles.select(F.explode(F.array("node_0", "node_1")).alias("node")).distinct().withColumn("bubble", F.lit(True))
+    return nodes.select("node").join(of, "node", "left").select("node", F.col("bubble").isNull().alias("flag"))
+
+
+def chain_criteria(halves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node): nodes that may stand in a chain.
+
+    Diploid subgraphs (flag false) of one node, or whose nodes have two neighbours a side at most; and haploid nodes
+    alone in their subgraph with a chainable neighbour, one node that is reached by going out of a side and back (or
+    none), and fewer than three neighbours a side.
+    """
+    first = halves.where("node <> other").groupBy("node", "side").agg(F.countDistinct("other").alias("n"))
+    most = first.groupBy("node").agg(F.max("n").alias("most"))
+    size = labels.groupBy("subgraph").agg(F.count("*").alias("members"))
+    j = labels.join(size, "subgraph").join(most, "node", "left").fillna(0, ["most"])
+    wide = j.groupBy("subgraph").agg(F.max("most").alias("widest"))
+    diploid = j.join(wide, "subgraph").where("NOT flag AND (members = 1 OR widest <= 2)").select("node")
+    beside = halves.join(diploid.select(F.col("node").alias("other")), "other").select("node").distinct()
+    second = second_neighbours(halves).select("node", F.size("others").alias("n2")).groupBy("node").agg(F.max("n2").alias("n2"))
+    haploid = j.where("flag AND members = 1 AND most < 3").join(beside, "node", "left_semi").join(second, "node", "left").where("coalesce(n2, 0) <= 1").select("node")
+    return diploid.unionAll(haploid)
+
+
+def translated(edges: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """``edges(a, b, ...)`` of one graph's ids in another's, by names; ends without a counterpart are null. ``source`` and ``target`` are (id, name)."""
+    for end in ("a", "b"):
+        ids = source.join(target.withColumnRenamed("id", "there"), "name", "left").select(F.col("id").alias("here"), "there")
+        edges = edges.join(ids, F.col(end) == F.col("here"), "left").withColumn(end, F.col("there")).drop("here", "there")
+    return edges
+
+
+def by_name(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the names of the ids in ``column``; an id that is not listed is an error."""
+    named = ids.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
+    found = F.when(F.col("_name").isNull(), F.raise_error(F.concat(F.lit("no name for id "), F.col(column).cast("string"))).cast("string")).otherwise(F.col("_name"))
+    return rows.join(named, F.col(column) == F.col("_id"), "left").withColumn(column, found).drop("_id", "_name")
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes(node)``."""
+    end = lambda x: nodes.select(F.col("node").alias(x))
+    return edges.join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")

@@ -3,7 +3,8 @@
 The search keeps, per connected alt component, one sign: the two sides of a component are opposite
 phases, so the score is a quadratic form over signs and a flip's gain is known in advance. Samples run
 as independent groups of ``applyInPandas``, each with a seed of its own; the graph of one search is
-given to every sample, so it must fit a task (as it must fit one machine in any tool of this kind).
+given to every sample, so it must fit a task (as it must fit one machine in any tool of this kind); its size is
+checked before it is taken to the driver, and a larger one is refused.
 """
 
 from __future__ import annotations
@@ -12,10 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a search's graph, alternatives or votes that are taken to the driver and to every sample, at most.
+MOST_ROWS = 20_000_000
+
+
+def held(df: DataFrame, what: str, most: int | None = None) -> pd.DataFrame:
+    """A table of a checked size, on the driver."""
+    most = MOST_ROWS if most is None else most
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{what} of {n} rows do not fit one search; the most are {most}")
+    return df.toPandas()
+
+
 def scored_edges(contacts: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges between different nodes with both partitions (absent: 0) and their consistency."""
     p = lambda x: parts.select(F.col("node").alias(x), F.col("partition").alias(f"p{x}"))
@@ -33,6 +47,28 @@ def node_consistency(contacts: DataFrame, parts: DataFrame) -> DataFrame:
     return half.groupBy("node").agg(F.sum("score").cast("long").alias("score"))
 
 
+def node_consistency_with_alts(contacts: DataFrame, parts: DataFrame, alts: DataFrame) -> DataFrame:
+    """(node, score): a node's edges and those of its direct alternatives; ``alts(a, b)``, each pair once."""
+    own = node_consistency(contacts, parts)
+    both = alts.select("a", "b").unionAll(alts.select("b", "a")).distinct()
+    theirs = both.join(own.select(F.col("node").alias("b"), "score"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("score").alias("more"))
+    nodes = own.select("node").union(theirs.select("node")).distinct()
+    j = nodes.join(own, "node", "left").join(theirs, "node", "left").fillna(0, ["score", "more"])
+    return j.select("node", (F.col("score") + F.col("more")).alias("score"))
+
+
+def component_consistency(contacts: DataFrame, parts: DataFrame, alts: DataFrame) -> DataFrame:
+    """(component, score) over both sides of each component of alternatives."""
+    return node_consistency(contacts, parts).join(alts.select("node", "component"), "node").groupBy("component").agg(F.sum("score").alias("score"))
+
+
+def bubble_adjacency(contacts: DataFrame, bubbles: DataFrame) -> DataFrame:
+    """(a, b), a < b: bubbles with a contact between them; ``bubbles(node, bubble)``."""
+    s = lambda x: bubbles.select(F.col("node").alias(x), F.col("bubble").alias(f"u{x}"))
+    e = contacts.join(s("a"), "a").join(s("b"), "b").where("ua <> ub")
+    return e.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+
+
 def bubble_consistency(contacts: DataFrame, bubbles: DataFrame) -> DataFrame:
     """Per pair of bubbles: weight within equal sides and across sides; ``bubbles(node, bubble, side)``."""
     s = lambda x: bubbles.select(F.col("node").alias(x), F.col("bubble").alias(f"u{x}"), F.col("side").alias(f"s{x}"))
@@ -83,8 +119,8 @@ def search(edges: np.ndarray, weights: np.ndarray, unit: np.ndarray, sign: np.nd
 def sample_partitions(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
     """(sample, node, partition, score) of independent searches; ``alts(node, component, side)``."""
     spark = contacts.sparkSession
-    graph = contacts.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")).toPandas()
-    units = alts.toPandas()
+    graph = held(contacts.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "contacts")
+    units = held(alts, "alternatives")
     shared = spark.sparkContext.broadcast((graph, units))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,6 +148,20 @@ def phase(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: i
     return s.join(best.select("sample"), "sample").select("node", "partition")
 
 
+def ordered_votes(votes: DataFrame, strength: DataFrame, samples: int, top_share: float = 1.0) -> DataFrame:
+    """Votes on which all samples agree, in the order they are merged: heaviest first, then by the ends' mean consistency, then names.
+
+    ``top_share`` below 1 leaves out those beyond that share of the order.
+    """
+    end = lambda x: strength.select(F.col("node").alias(x), F.col("score").alias(f"s{x}"))
+    most = F.greatest("n_different", "n_same")
+    v = votes.where(most == samples).join(end("a"), "a", "left").join(end("b"), "b", "left").fillna(0, ["sa", "sb"])
+    v = v.withColumn("mean", (F.col("sa") + F.col("sb")) / 2)
+    if top_share < 1:
+        v = v.withColumn("rank", F.percent_rank().over(Window.orderBy(F.desc(most), F.desc("mean"), "a", "b"))).where(F.col("rank") <= top_share)
+    return v.orderBy(F.desc(most), F.desc("mean"), "a", "b").select("a", "b", "n_different", "n_same")
+
+
 def merge_round(votes: list[tuple], components: dict, samples: int, strength: dict) -> dict:
     """Join components across edges on which all samples agree, each component once a round.
 
@@ -119,6 +169,9 @@ def merge_round(votes: list[tuple], components: dict, samples: int, strength: di
     then names. Ends that always differ become opposite sides, ends that never do become the same side.
     """
     out, touched = dict(components), set()
+    members: dict = {}
+    for n, (c, _) in components.items():
+        members.setdefault(c, []).append(n)
     agreed = [v for v in votes if max(v[2], v[3]) == samples]
     agreed.sort(key=lambda v: (-max(v[2], v[3]), -(strength.get(v[0], 0) + strength.get(v[1], 0)) / 2, v[0], v[1]))
     for a, b, different, same in agreed:
@@ -128,29 +181,144 @@ def merge_round(votes: list[tuple], components: dict, samples: int, strength: di
         touched |= {ca, cb}
         turn = (sa ^ sb ^ 1) if different >= same else (sa ^ sb)
         low = min(ca, cb)
-        for n, (c, s) in list(components.items()) + [(x, (x, 0)) for x in (a, b) if x not in components]:
-            if c in (ca, cb):
-                out[n] = (low, s ^ (turn if c == cb else 0))
+        for c, flip in ((ca, 0), (cb, turn)):
+            for n in members.get(c, [c]):
+                out[n] = (low, components.get(n, (n, 0))[1] ^ flip)
     return out
 
 
 def phase_in_rounds(contacts: DataFrame, alts: DataFrame, rounds: int = 2, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
     """(node, partition): rounds of sampling, each joining what all samples agree on, then a search three times as long.
 
-    Components and votes of one search are held by the driver, as its graph is by every sample.
+    Components and votes of one search are held by the driver, as its graph is by every sample; their size is checked.
     """
     spark = contacts.sparkSession
     kinds = f"node {contacts.schema['a'].dataType.simpleString()}, component {alts.schema['component'].dataType.simpleString()}, side int"
-    held = {r.node: (r.component, r.side) for r in alts.collect()}
-    frame = lambda: spark.createDataFrame([(n, c, s) for n, (c, s) in held.items()], kinds)
+    now = {n: (c, int(s)) for n, c, s in held(alts.select("node", "component", "side"), "alternatives").itertuples(index=False, name=None)}
+    frame = lambda: spark.createDataFrame([(n, c, s) for n, (c, s) in now.items()], kinds)
     for r in range(rounds):
         s = sample_partitions(contacts, frame(), samples, iterations, seed + 1000 * r).select("sample", "node", "partition").persist()
-        votes = [tuple(v) for v in orientation_votes(s, contacts).select("a", "b", "n_different", "n_same").collect()]
+        votes = list(held(orientation_votes(s, contacts).select("a", "b", "n_different", "n_same"), "votes").itertuples(index=False, name=None))
         best = s.where("sample = 0").select("node", "partition")
         strength = {x.node: x.score for x in node_consistency(contacts, best).collect()}
         s.unpersist()
-        after = merge_round(votes, held, samples, strength)
-        if after == held:
+        after = merge_round(votes, now, samples, strength)
+        if after == now:
             break
-        held = after
+        now = after
     return phase(contacts, frame(), samples, 3 * iterations, seed + 1000 * rounds)
+
+
+def tripartition_search(edges: np.ndarray, weights: np.ndarray, n: int, mate: np.ndarray, iterations: int, seed: int) -> tuple[np.ndarray, float]:
+    """Best partition (-1, 0, 1) of ``n`` nodes, of which ``mate`` names the one alternative or -1; a node with one is never 0."""
+    rng = np.random.default_rng(seed)
+    a, b = edges[:, 0], edges[:, 1]
+    src, dst, val = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weights, weights]).astype(float)
+    order = np.argsort(src, kind="stable")
+    dst, val, start = dst[order], val[order], np.searchsorted(src[order], np.arange(n + 1))
+    field = lambda x, u: float((val[start[u] : start[u + 1]] * x[dst[start[u] : start[u + 1]]]).sum())
+
+    def put(x: np.ndarray, u: int, p: int) -> None:
+        x[u] = p
+        if mate[u] >= 0:
+            x[mate[u]] = -p
+
+    def drawn(x: np.ndarray, u: int) -> None:
+        put(x, u, int(rng.choice((-1, 1) if mate[u] >= 0 else (-1, 0, 1))))
+
+    x = np.zeros(n)
+    for u in range(n):
+        drawn(x, u)
+    total = lambda y: float((weights * y[a] * y[b]).sum())
+    best, best_x = total(x), x.copy()
+    for _ in range(iterations):
+        for u in rng.integers(0, n, size=n // 30 + 1):
+            drawn(x, u)
+        for u in rng.integers(0, n, size=3 * n):
+            gain = field(x, u) - (field(x, mate[u]) if mate[u] >= 0 else 0.0)
+            scores = {p: p * gain for p in ((-1, 1) if mate[u] >= 0 else (-1, 0, 1))}
+            choice = max(scores, key=lambda p: (scores[p], p == x[u]))
+            if scores[choice] > x[u] * gain:
+                put(x, u, choice)
+        now = total(x)
+        if now > best:
+            best, best_x = now, x.copy()
+        else:
+            x = best_x.copy()
+    return best_x.astype(int), best
+
+
+def flip_search(pairs: np.ndarray, gains: np.ndarray, n: int, iterations: int, seed: int) -> tuple[np.ndarray, float]:
+    """Best flips (0, 1) of ``n`` bubbles; ``gains`` of a pair is its weight on equal less that on crossed sides. Flips that do no harm stay."""
+    rng = np.random.default_rng(seed)
+    a, b = pairs[:, 0], pairs[:, 1]
+    src, dst, val = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([gains, gains]).astype(float)
+    order = np.argsort(src, kind="stable")
+    dst, val, start = dst[order], val[order], np.searchsorted(src[order], np.arange(n + 1))
+    x = rng.choice([-1.0, 1.0], size=n)
+    total = lambda y: float((gains * y[a] * y[b]).sum())
+    best, best_x = total(x), x.copy()
+    for _ in range(iterations):
+        for u in rng.integers(0, n, size=n // 10 + 1):
+            x[u] = -x[u]
+        for u in rng.integers(0, n, size=3 * n):
+            if x[u] * float((val[start[u] : start[u + 1]] * x[dst[start[u] : start[u + 1]]]).sum()) <= 0:
+                x[u] = -x[u]
+        now = total(x)
+        if now >= best:
+            best, best_x = now, x.copy()
+        else:
+            x = best_x.copy()
+    return ((1 - best_x) // 2).astype(int), best
+
+
+def _sampled(spark, table: pd.DataFrame, samples: int, schema: str, one) -> DataFrame:
+    """``one(table, sample)`` for every sample, in tasks of their own."""
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for s in pdf["sample"]:
+                yield one(shared.value, int(s))
+
+    return spark.range(samples).withColumnRenamed("id", "sample").repartition(min(samples, 64), "sample").mapInPandas(run, schema)
+
+
+def phase_tripartition(contacts: DataFrame, mates: DataFrame, samples: int = 8, iterations: int = 200, seed: int = 0) -> DataFrame:
+    """(sample, node, partition, score) of searches that may leave nodes out; ``mates(a, b)`` are the pairs of alternatives."""
+    spark = contacts.sparkSession
+    graph = held(contacts.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "contacts")
+    pairs = held(mates.select("a", "b"), "alternatives")
+    names = sorted({*graph["a"], *graph["b"], *pairs["a"], *pairs["b"]})
+    at = {n: i for i, n in enumerate(names)}
+    mate = np.full(len(names), -1)
+    for a, b in pairs.itertuples(index=False, name=None):
+        mate[at[a]], mate[at[b]] = at[b], at[a]
+    table = (names, np.array([[at[a], at[b]] for a, b in zip(graph["a"], graph["b"], strict=True)]).reshape(-1, 2), graph["weight"].to_numpy(float), mate)
+
+    def one(t: tuple, s: int) -> pd.DataFrame:
+        part, score = tripartition_search(t[1], t[2], len(t[0]), t[3], iterations, seed + s)
+        return pd.DataFrame({"sample": s, "node": t[0], "partition": part, "score": score})
+
+    return _sampled(spark, table, samples, f"sample long, node {contacts.schema['a'].dataType.simpleString()}, partition int, score double", one)
+
+
+def phase_bubbles(pairs: DataFrame, samples: int = 8, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """(sample, bubble, flipped, score) of searches over ``pairs(bubble_a, bubble_b, same_side, cross_side)``."""
+    spark = pairs.sparkSession
+    p = held(pairs, "pairs of bubbles")
+    names = sorted({*p["bubble_a"], *p["bubble_b"]})
+    at = {n: i for i, n in enumerate(names)}
+    table = (names, np.array([[at[a], at[b]] for a, b in zip(p["bubble_a"], p["bubble_b"], strict=True)]).reshape(-1, 2), (p["same_side"] - p["cross_side"]).to_numpy(float))
+
+    def one(t: tuple, s: int) -> pd.DataFrame:
+        flips, score = flip_search(t[1], t[2], len(t[0]), iterations, seed + s)
+        return pd.DataFrame({"sample": s, "bubble": t[0], "flipped": flips, "score": score})
+
+    return _sampled(spark, table, samples, f"sample long, bubble {pairs.schema['bubble_a'].dataType.simpleString()}, flipped int, score double", one)
+
+
+def best_sample(samples: DataFrame) -> DataFrame:
+    """Rows of the sample of the highest score, the first of equals."""
+    best = samples.groupBy("sample").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "sample").limit(1)
+    return samples.join(F.broadcast(best.select("sample")), "sample").drop("sample", "score")

@@ -199,3 +199,32 @@ def alt_components(alts: DataFrame) -> DataFrame:
 def refused_alts(alts: DataFrame) -> DataFrame:
     """(a, b, component): alternatives that contradict heavier ones."""
     return merged_alts(alts).where("node IS NULL").select("a", "b", "component")
+
+
+def consolidated(halves: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(run, place, node, reversed): bridge nodes in maximal runs that nothing else joins; a run is named by its smallest node.
+
+    Links between bridges that are each other's only neighbour make the runs' components; one run is one group.
+    """
+    from strandframe.operators.chainer import outgoing, unipaths
+
+    b = bridges.select("node").distinct()
+    one = halves.groupBy("node", "side").agg(F.count("*").alias("n"), F.min(F.struct("other", "other_side")).alias("o")).where("n = 1").select("node", "side", "o.other", "o.other_side")
+    back = one.select(F.col("node").alias("other"), F.col("side").alias("other_side"), F.col("other").alias("node"), F.col("other_side").alias("side"))
+    joined = one.join(back, ["node", "side", "other", "other_side"]).join(b, "node").join(b.select(F.col("node").alias("other")), "other").where("node <> other").select("node", "side", "other", "other_side")
+    comp = connected_components(joined.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    kind = bridges.schema["node"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf[["node", "side", "other", "other_side"]].itertuples(index=False, name=None))
+        out = []
+        for walk in unipaths({r[0] for r in rows}, outgoing(rows)):
+            if walk[0][0] > walk[-1][0]:
+                walk = [flip(h) for h in reversed(walk)]
+            name = min(h[0] for h in walk)
+            out += [(name, i, h[0], h[1]) for i, h in enumerate(walk)]
+        return pd.DataFrame(out, columns=["run", "place", "node", "reversed"])
+
+    several = joined.join(comp, "node").groupBy("component").applyInPandas(run, f"run {kind}, place long, node {kind}, reversed boolean")
+    alone = b.join(comp.select("node"), "node", "left_anti").select(F.col("node").alias("run"), F.lit(0).cast("long").alias("place"), "node", F.lit(False).alias("reversed"))
+    return several.unionAll(alone)

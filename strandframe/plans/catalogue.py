@@ -669,3 +669,7 @@ def alt_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _alignments(spark, sf_dir, 20).withColumn("contig", F.expr("concat(contig div 2, '.', contig % 2)"))
     return pipelines.phase_contacts(a)
+
+
+# The other queries register themselves in the tables above.
+from strandframe.plans import graph_queries, report_queries  # noqa: E402, F401
