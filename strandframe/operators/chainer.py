@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.operators.components import connected_components
+from strandframe.operators.groups import map_groups
 from strandframe.operators.structure import Handle, find_bridges, flip, hamiltonian_path
 
 Links = dict[Handle, list[Handle]]
@@ -353,13 +353,13 @@ def chain_haplotypes(halves: DataFrame, nodes: DataFrame, alts: DataFrame, phase
     far = n.where("alt IS NOT NULL AND linked").groupBy("alt").agg(F.countDistinct("component").alias("places"), F.min("component").alias("one"))
     n = n.join(far, "alt", "left")
     foreign = F.coalesce((F.col("places") > 1) | (F.col("one") != F.col("component")), F.lit(False))
-    n = n.select(F.col("component").alias("part"), F.col("node").alias("name"), F.col("length").alias("length"), F.col("alt").alias("alt"), F.when(F.col("partition") > 0, 1).otherwise(0).alias("haplotype"), foreign.alias("foreign"))
-    h = halves.join(comp, "node").select(F.col("component").alias("part"), *[F.col(c).alias(c) for c in ("node", "side", "other", "other_side")])
+    alt = F.col("alt").cast(kind)
+    every = n.select(F.col("component").alias("part"), F.col("node").alias("name"), F.col("length").cast("long").alias("number"), alt.alias("other"), F.when(F.col("partition") > 0, 1).otherwise(0).alias("end"), foreign.alias("foreign"))
+    h = halves.join(comp, "node").select(F.col("component").alias("part"), F.col("node").alias("name"), F.col("side").cast("long").alias("number"), F.col("other").alias("other"), F.col("other_side").alias("end"), F.lit(None).cast("boolean").alias("foreign"))
 
-    def run(key: tuple, half: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
-        rows = [(a, int(b), None if pd.isna(c) else c, int(d), bool(e)) for a, b, c, d, e in node[["name", "length", "alt", "haplotype", "foreign"]].itertuples(index=False, name=None)]
-        found = phase_paths(list(half[["node", "side", "other", "other_side"]].itertuples(index=False, name=None)), rows, least, most_steps)
-        out = [(f"{key[0]}.{p}.{i}", p, k, g[0], g[1]) for i, (p, walk) in enumerate(found) for k, g in enumerate(walk)]
-        return pd.DataFrame(out, columns=["path", "phase", "step", "node", "reversed"])
+    def run(part: object, rows: list[tuple]) -> list[tuple]:
+        links = [r[:4] for r in rows if r[4] is None]
+        found = phase_paths(links, [r for r in rows if r[4] is not None], least, most_steps)
+        return [(f"{part}.{p}.{i}", p, k, g[0], g[1]) for i, (p, walk) in enumerate(found) for k, g in enumerate(walk)]
 
-    return h.groupBy("part").cogroup(n.groupBy("part")).applyInPandas(run, f"path string, phase int, step long, node {kind}, reversed boolean")
+    return map_groups(h.unionAll(every), "part", run, f"path string, phase int, step long, node {kind}, reversed boolean")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.components import connected_components
 from strandframe.operators.graph import chainable, second_neighbours
+from strandframe.operators.groups import map_groups
+from strandframe.sources.shared import stash
 
 
 def chain_items(halves: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,22 +60,17 @@ def chains(halves: DataFrame, nodes: DataFrame) -> DataFrame:
     Both alleles of a bubble share a layer. Lone chainable nodes are chains of one layer. One chain is
     walked in one task.
     """
-    items = chain_items(halves, nodes)
+    items, _ = stash(chain_items(halves, nodes), "chain-items")
     mine, theirs = items, items.select(F.col("node").alias("other"), F.col("item").alias("other_item"))
     links = halves.join(mine, "node").join(theirs, "other").where("item <> other_item").select("node", "side", "other", "other_side", "item", "other_item")
     joined = links.select(F.col("item").alias("a"), F.col("other_item").alias("b")).distinct()
     comp = connected_components(joined)
     kind = nodes.schema["node"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["node", "side", "other", "other_side", "item", "other_item"]
-        out = walk(list(pdf[cols].itertuples(index=False, name=None)))
-        return pd.DataFrame({"chain": [pdf["component"].iloc[0]] * len(out), "layer": [x[0] for x in out], "node": [x[1] for x in out], "reversed": [x[2] for x in out]})
-
-    rows = links.join(comp.withColumnRenamed("node", "item"), "item")
-    walked = rows.groupBy("component").applyInPandas(run, f"chain {kind}, layer long, node {kind}, reversed boolean")
+    rows = links.join(comp.withColumnRenamed("node", "item"), "item").select("component", "node", "side", "other", "other_side", "item", "other_item")
+    walked = map_groups(rows, "component", lambda chain, links_: [(chain, *x) for x in walk(links_)], f"chain {kind}, layer long, node {kind}, reversed boolean")
     lone = items.join(comp.select(F.col("node").alias("item")), "item", "left_anti").select(F.col("item").alias("chain"), F.lit(0).cast("long").alias("layer"), "node", F.lit(False).alias("reversed"))
-    return walked.unionAll(lone)
+    return stash(walked.unionAll(lone), "chains")[0]
 
 
 def chain_paths(layers: DataFrame, phases: DataFrame) -> DataFrame:
@@ -141,12 +137,11 @@ def best_overlaps(overlaps: DataFrame, lengths: DataFrame, min_similarity: float
     e = overlaps.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").cast("long").alias("weight"))
     rows = e.join(size("a"), "a").join(size("b"), "b").join(comp, "a")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = dict(zip(pdf["a"], pdf["length_a"], strict=True)) | dict(zip(pdf["b"], pdf["length_b"], strict=True))
-        kept = select_overlaps(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None)), sizes, min_similarity)
-        return pd.DataFrame(kept, columns=["a", "b", "weight"])
+    def run(_: object, group: list[tuple]) -> list[tuple]:
+        sizes = {r[0]: r[3] for r in group} | {r[1]: r[4] for r in group}
+        return select_overlaps([r[:3] for r in group], sizes, min_similarity)
 
-    return rows.groupBy("component").applyInPandas(run, f"a {kind}, b {kind}, weight long")
+    return map_groups(rows.select("component", "a", "b", "weight", "length_a", "length_b"), "component", run, f"a {kind}, b {kind}, weight long")
 
 
 def non_overlapping_matches(blocks: DataFrame, *by: str) -> DataFrame:

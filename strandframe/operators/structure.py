@@ -1,16 +1,16 @@
 """Bridges, constrained walks and alternative merges: the parts that look at one component as a whole.
 
-Each works inside ``applyInPandas`` over the component id, so components run side by side; one
+Each works on one component after another within a partition, and partitions run side by side; one
 component must fit a task. A driver never sees the graph.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.operators.components import connected_components
+from strandframe.operators.groups import map_groups
 
 Handle = tuple[str, bool]
 
@@ -58,13 +58,12 @@ def bridge_nodes(halves: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = once.join(comp, "node").select("component", "node", "side", "other", "other_side")
     lone = nodes.join(comp, "node", "left_anti").select("node")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = list(dict.fromkeys([*pdf["node"], *pdf["other"]]))
-        edges = [((n, 0), (n, 1)) for n in names] + [((a, s), (b, t)) for a, s, b, t in zip(pdf["node"], pdf["side"], pdf["other"], pdf["other_side"], strict=True)]
-        cut = find_bridges(edges)
-        return pd.DataFrame({"node": [n for i, n in enumerate(names) if i in cut]})
+    def run(_: object, links: list[tuple]) -> list[tuple]:
+        names = list(dict.fromkeys([*(r[0] for r in links), *(r[2] for r in links)]))
+        cut = find_bridges([((n, 0), (n, 1)) for n in names] + [((a, s), (b, t)) for a, s, b, t in links])
+        return [(n,) for i, n in enumerate(names) if i in cut]
 
-    return rows.groupBy("component").applyInPandas(run, f"node {kind}").unionAll(lone)
+    return map_groups(rows, "component", run, f"node {kind}").unionAll(lone)
 
 
 def bridge_components(halves: DataFrame, nodes: DataFrame, bridges: DataFrame) -> DataFrame:
@@ -181,14 +180,12 @@ def merged_alts(alts: DataFrame) -> DataFrame:
     comp = connected_components(alts.select("a", "b"))
     kind = alts.schema["a"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "a", "b"], ascending=[False, True, True])
-        sides, refused = merge_alts(list(zip(pdf["a"], pdf["b"], strict=True)))
-        rows = [(None, None, c, n, s) for n, (c, s) in sides.items()] + [(a, b, sides[a][0], None, None) for a, b in refused]
-        return pd.DataFrame(rows, columns=["a", "b", "component", "node", "side"], dtype=object)
+    def run(_: object, edges: list[tuple]) -> list[tuple]:
+        sides, refused = merge_alts([(a, b) for a, b, _ in sorted(edges, key=lambda e: (-e[2], e[0], e[1]))])
+        return [(None, None, c, n, s) for n, (c, s) in sides.items()] + [(a, b, sides[a][0], None, None) for a, b in refused]
 
-    rows = alts.join(comp.withColumnRenamed("node", "a"), "a")
-    return rows.groupBy(rows["component"]).applyInPandas(run, f"a {kind}, b {kind}, component {kind}, node {kind}, side int")
+    rows = alts.join(comp.select(F.col("node").alias("a"), F.col("component").alias("part")), "a").select("part", "a", "b", "weight")
+    return map_groups(rows, "part", run, f"a {kind}, b {kind}, component {kind}, node {kind}, side int")
 
 
 def alt_components(alts: DataFrame) -> DataFrame:
@@ -215,16 +212,15 @@ def consolidated(halves: DataFrame, bridges: DataFrame) -> DataFrame:
     comp = connected_components(joined.select(F.col("node").alias("a"), F.col("other").alias("b")))
     kind = bridges.schema["node"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["node", "side", "other", "other_side"]].itertuples(index=False, name=None))
+    def run(_: object, rows: list[tuple]) -> list[tuple]:
         out = []
         for walk in unipaths({r[0] for r in rows}, outgoing(rows)):
             if walk[0][0] > walk[-1][0]:
                 walk = [flip(h) for h in reversed(walk)]
             name = min(h[0] for h in walk)
             out += [(name, i, h[0], h[1]) for i, h in enumerate(walk)]
-        return pd.DataFrame(out, columns=["run", "place", "node", "reversed"])
+        return out
 
-    several = joined.join(comp, "node").groupBy("component").applyInPandas(run, f"run {kind}, place long, node {kind}, reversed boolean")
+    several = map_groups(joined.join(comp, "node").select("component", "node", "side", "other", "other_side"), "component", run, f"run {kind}, place long, node {kind}, reversed boolean")
     alone = b.join(comp.select("node"), "node", "left_anti").select(F.col("node").alias("run"), F.lit(0).cast("long").alias("place"), "node", F.lit(False).alias("reversed"))
     return several.unionAll(alone)
