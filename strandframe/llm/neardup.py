@@ -198,26 +198,30 @@ def sift(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs (a table in the shared folder) with ``100 * |A & B| >= percent * |A | B|`` on full shingle sets.
 
-    A pivot ``a`` of many pairs has its text given to several groups of ``FAN`` pairs.
+    A pivot ``a`` comes once before its partners, so its text is not copied for each of them; one of many
+    pairs is given to several groups of about ``FAN`` of them.
     """
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=U))
-        for batch in batches:
+        pivot = np.zeros(0, dtype=U)
+        for batch in slices(batches, "text"):
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(x))
-                s, t = last[1], shingles(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            for b, text in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = shingles(text)
+                if b is None:
+                    pivot = found
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(pivot, found, assume_unique=True))
+                keep.append(100 * both >= percent * (len(pivot) + len(found) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    left = texts.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"), F.col("text").alias("ta"))
-    right = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("slice"))
-    right = right.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return right.join(left, ["a", "slice"]).select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+    pivots = texts.join(fans, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), "text")
+    right = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("slice"), "b")
+    partners = right.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "slice", "b", "text")
+    rows = pivots.unionAll(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(exact, "a long, b long")
 
 
 KEYS = ["key", "i", "j"]
