@@ -20,6 +20,7 @@ from strandframe.operators import assembly, chains, paths, structure
 from strandframe.operators.components import connected_components as components
 from strandframe.plans import pipelines
 from strandframe.sources import text, writers
+from strandframe.sources.shared import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,10 +472,7 @@ def interval_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {AL}, {AQ}, {CM} SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS place FROM cm WHERE a <> b")
 def edge_order_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    heavy = _contacts(spark, sf_dir).where("a <> b")
-    return heavy.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "a", "b")).cast("long"))
+    return numbered(_contacts(spark, sf_dir).where("a <> b"), "place", 1, F.desc("weight"), "a", "b")
 
 
 @query(f"""WITH {AL}, x AS (SELECT contig, sum(CASE WHEN mapq < 25 THEN 1 ELSE 0 END) AS na, sum(CASE WHEN mapq >= 25 THEN 1 ELSE 0 END) AS nb FROM al GROUP BY contig)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(rows: DataFrame, name: str, first: int, *order: Column | str) -> DataFrame:
+    """``rows`` with their place in an order, from ``first`` on.
+
+    They are sorted in ranges, and a range's first place follows from the sizes of those before it, one number each;
+    no task sees all rows.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    held, _ = stash(placed, "numbered")
+    before, base = first, []
+    for r in held.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("low")).orderBy("_part").collect():
+        base.append((r._part, before - r.low))
+        before += r.n
+    offsets = spark.createDataFrame(base or [(0, 0)], "_part int, _base long")
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_row") + F.col("_base")).drop("_part", "_row", "_base")

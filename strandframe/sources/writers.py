@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.naming import binomial_p, phase_colour
+from strandframe.sources.shared import numbered
 
 
 def gfa_lines(segments: DataFrame, links: DataFrame, steps: DataFrame | None = None) -> DataFrame:
@@ -138,20 +139,8 @@ def config_rows(spark: SparkSession, options: dict) -> DataFrame:
 
 
 def id_rows(names: DataFrame, first: int = 1) -> DataFrame:
-    """(id, name): dense ids in the order of names.
-
-    Names are sorted in ranges; a range's first id follows from the sizes of the ranges before it, one number each.
-    """
-    from strandframe.sources.shared import stash
-
-    placed = names.select("name").distinct().repartitionByRange("name").sortWithinPartitions("name").select("name", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
-    held, _ = stash(placed, "ids")
-    before, base = first, []
-    for r in held.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low")).orderBy("part").collect():
-        base.append((r.part, before - r.low))
-        before += r.n
-    offsets = names.sparkSession.createDataFrame(base or [(0, 0)], "part int, base long")
-    return held.join(F.broadcast(offsets), "part").select((F.col("row") + F.col("base")).alias("id"), "name")
+    """(id, name): dense ids in the order of names."""
+    return numbered(names.select("name").distinct(), "id", first, "name").select("id", "name")
 
 
 def histogram_rows(values: DataFrame, column: str, width: int) -> DataFrame:
