@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +25,54 @@ def _roots(parents: DataFrame, most_rounds: int) -> tuple[DataFrame, str]:
     raise RuntimeError(f"trees are deeper than {most_rounds} doublings reach")
 
 
+#: So many edges or fewer, counted, are finished in one task.
+SMALL = 100_000
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """(node, up): the least node of each component, by union-find over all edges in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        plain = lambda x: tuple(x.items()) if isinstance(x, dict) else x  # noqa: E731  structs come as dictionaries
+
+        def find(x: object) -> object:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(plain(a)), find(plain(b))
+                up[max(x, y)] = min(x, y)
+        if up:
+            back = (lambda x: dict(x)) if pa.types.is_struct(kinds) else (lambda x: x)
+            yield pa.RecordBatch.from_arrays([pa.array([back(x) for x in up], kinds), pa.array([back(find(x)) for x in up], kinds)], names=["node", "up"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, up {kind}")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges(a, b)`` -> (node, component): the smallest node that can be reached. Nodes without edges are not listed.
 
     A round hooks every node to its least neighbour (pre-aggregated before the shuffle) if that is less than
     itself, finds the roots of the trees that arise, and replaces the edges by those between different roots,
     once each. What is settled leaves, so rounds shrink; a hub's edges become one after its first round.
-    A table for each round says which root a node went to, and the tables are joined from the last, smallest,
-    to the first.
+    Once ``SMALL`` edges are left, one task finishes them. A table for each round says which root a node went to,
+    and the tables are joined from the last, smallest, to the first.
     """
     spark = edges.sparkSession
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     current, path = stash(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     layers: list[tuple[DataFrame, str]] = []
     for _ in range(most_rounds):
+        if current.count() <= SMALL:
+            layers.append(stash(_finished(current), "roots"))
+            break
         both = current.select("a", "b").unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         layer = _roots(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")), most_rounds)
         layers.append(layer)
@@ -44,8 +81,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         new, new_path = stash(further.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "edges")
         discard(spark, path)
         current, path = new, new_path
-        if not current.limit(1).count():
-            break
     else:
         raise RuntimeError(f"edges are left after {most_rounds} rounds")
     labels = layers[-1][0]
