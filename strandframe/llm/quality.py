@@ -10,7 +10,7 @@ host is boilerplate and is taken away, and a document is depleted, and rejected,
 The documents are read once; their metrics and line hashes are written to the shared folder and read from
 there. No text and no line is ever shuffled, what travels are 64-bit hashes with word counts. Boilerplate
 lines, and the texts that hold some, are broadcast when a count shows them to be few, and joined by their
-keys otherwise; texts that a thousandth of all rows share are taken out of that join and broadcast.
+keys otherwise; rows of texts that a thousandth of all rows share are spread over salted keys there.
 
 Defined results: null or empty texts have no words, fail the base rule and are not kept; a null host
 is a host of its own (the empty string); repeated rows are judged alike; an empty table gives an
@@ -28,6 +28,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 MIN_DOCS, KEPT_PERCENT = 20, 30
 #: Tables of so many rows or fewer are broadcast.
 FEW = 50_000
+#: Join keys over which the rows of a text that very many documents share are spread.
+SALT = 16
 
 
 def _words(text: Column) -> Column:
@@ -94,17 +96,21 @@ def flawed(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, str]:
     return bad, bad_path
 
 
-def with_flaws(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """``rows(host, text_hash, ...)`` with ``bad`` of their text, null where there is none."""
+def with_flaws(rows: DataFrame, bad: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows(host, text_hash, ...)`` with ``bad`` of their text, null where there is none.
+
+    ``texts(host, text_hash)``, a stored table with a row per document, tells which texts are shared by more than
+    a thousandth of all rows; these are fewer than a thousand, and their rows are spread over ``SALT`` keys.
+    """
     keys = ["host", "text_hash"]
     if few(bad):
         return rows.join(F.broadcast(bad), keys, "left")
-    total = rows.count()
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * 1000 > total).select(*keys)  # fewer than a thousand
-    if not hot.limit(1).count():
-        return rows.join(bad, keys, "left")
-    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(bad, keys, "left")
-    return cold.unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(bad.join(F.broadcast(hot), keys, "left_semi")), keys, "left"))
+    total = texts.count()
+    hot = texts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * 1000 > total).select(*keys, F.lit(True).alias("hot"))
+    marked = lambda d: d.join(F.broadcast(hot), keys, "left")
+    spread = marked(rows).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALT))).otherwise(0).cast("int")).drop("hot")
+    copied = marked(bad).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return spread.join(copied, [*keys, "salt"], "left").drop("salt")
 
 
 def _sum_words(lines: Column) -> Column:
@@ -119,7 +125,7 @@ def assess(docs: DataFrame, min_docs: int = MIN_DOCS, kept_percent: int = KEPT_P
     """doc_id with the base counts, the words in its distinct lines, those removed, and the verdict."""
     rows, _ = stash(base_metrics(line_structs(docs.select("doc_id", "text", "source"))).drop("text", "source"), "quality-rows")
     bad, _ = flawed(rows.select("host", "text_hash", "lines"), min_docs)
-    out = with_flaws(rows.withColumn("line_words", _sum_words(F.col("lines"))).drop("lines"), bad).withColumn("removed_words", _sum_words(F.col("bad")))
+    out = with_flaws(rows.withColumn("line_words", _sum_words(F.col("lines"))).drop("lines"), bad, rows).withColumn("removed_words", _sum_words(F.col("bad")))
     kept = ~F.col("base_failed") & ~depleted(F.col("line_words"), F.col("removed_words"), kept_percent)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_words", "removed_words", "base_failed", kept.alias("kept"))
 
@@ -131,18 +137,17 @@ def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, kept_percent: int = KEPT
     """
     plain, name = renamed(docs)
     text, source = F.col(name["text"]), F.col(name["source"])
-    lines, path = stash(line_structs(plain.select(text.alias("text"), source.alias("source"))).select("host", "text_hash", "lines"), "quality-lines")
+    lines, _ = stash(line_structs(plain.select(text.alias("text"), source.alias("source"))).select("host", "text_hash", "lines"), "quality-lines")
     bad, _ = flawed(lines, min_docs)
     words = lines.join(F.broadcast(bad.select("host", "text_hash")) if few(bad) else bad.select("host", "text_hash"), ["host", "text_hash"], "left_semi")
     words = words.groupBy("host", "text_hash").agg(F.first(_sum_words(F.col("lines"))).alias("line_words"))
     removed = _sum_words(F.col("bad"))
     verdicts, _ = stash(bad.join(words, ["host", "text_hash"]).select("host", "text_hash", depleted(F.col("line_words"), removed, kept_percent).alias("depleted"), F.col("bad.line").alias("bad")), "quality-verdicts")
-    discard(docs.sparkSession, path)
     judged = base_metrics(plain.select(F.struct(*plain.columns).alias("_row"), text.alias("text")))
     # Behind a generator: a filter on the projections themselves would be pushed into them, and their arrays computed again for every element.
     passed = judged.select("_row", F.explode(F.array("base_failed")).alias("_failed")).where(~F.col("_failed"))
     whole = F.coalesce(F.col(f"_row.{name['text']}"), F.lit(""))
-    found = with_flaws(passed.select("_row", F.coalesce(F.col(f"_row.{name['source']}"), F.lit("")).alias("host"), F.xxhash64(whole).alias("text_hash")), verdicts).where(~F.coalesce(F.col("depleted"), F.lit(False)))
+    found = with_flaws(passed.select("_row", F.coalesce(F.col(f"_row.{name['source']}"), F.lit("")).alias("host"), F.xxhash64(whole).alias("text_hash")), verdicts, lines).where(~F.coalesce(F.col("depleted"), F.lit(False)))
     bad_lines = F.col("bad")
     left = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains(bad_lines, F.xxhash64(normal_line(x)))), "\n")
     cleaned = F.when(bad_lines.isNull(), whole).otherwise(left)
