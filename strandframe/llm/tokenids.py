@@ -201,12 +201,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
                 for s in segments(raw):
-                    starts, sizes, sums = [], [], []
+                    starts, sizes, sums, begin = [], [], [], 0
                     for i in range(s.n_docs):
-                        begin, end = s.span(i)
+                        end = s.bounds[i]
                         starts.append(s.before + begin)
                         sizes.append(end - begin)
                         sums.append(zlib.crc32(s.ids[begin:end].astype("<u4").tobytes()))
+                        begin = end
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(s.n_docs, s.partition)), pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
                         names=["part", "doc_id", "local", "n_tokens", "ids_crc32"],
