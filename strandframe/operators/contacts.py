@@ -57,18 +57,17 @@ def mapq_distribution(alignments: DataFrame) -> DataFrame:
     return alignments.groupBy("mapq").agg(F.count("*").alias("n"))
 
 
-def bins(histogram: DataFrame, bin_col: str, low: int, high: int) -> DataFrame:
-    """(bin_col): a dense grid from ``low`` to ``high``, and wider if the histogram has bins beyond."""
+def bins(histogram: DataFrame, bin_col: str, low: int, high: int) -> Column:
+    """Array of every bin from ``low`` to ``high``, and further if the histogram has bins beyond."""
     found = histogram.agg(F.min(bin_col).alias("a"), F.max(bin_col).alias("b")).first()
     low, high = (low, high) if found.a is None else (min(low, found.a), max(high, found.b))
-    return histogram.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias(bin_col))
+    return F.sequence(F.lit(low), F.lit(high))
 
 
 def reverse_cdf(histogram: DataFrame, bin_col: str, low: int, high: int, *by: str) -> DataFrame:
     """Counts at or above each bin of a dense grid; the histogram has one row per bin, so the window is small."""
-    grid = bins(histogram, bin_col, low, high)
-    if by:
-        grid = histogram.select(*by).distinct().join(F.broadcast(grid))
+    groups = histogram.select(*by).distinct() if by else histogram.sparkSession.range(1)
+    grid = groups.select(*by, F.explode(bins(histogram, bin_col, low, high)).alias(bin_col))
     dense = grid.join(histogram, [*by, bin_col], "left").fillna(0, ["n"])
     w = Window.partitionBy(*by).orderBy(F.desc(bin_col)).rowsBetween(Window.unboundedPreceding, 0)
     return dense.select(*by, bin_col, "n", F.sum("n").over(w).alias("at_least"))
@@ -81,7 +80,8 @@ def phase_signal(by_mapq: DataFrame, parts: DataFrame, low: int, high: int) -> D
     h = e.groupBy("mapq").agg(F.sum(F.when(F.col("pa") == F.col("pb"), F.col("weight")).otherwise(0)).alias("same"), F.sum("weight").alias("total"))
     h, _ = stash(h, "phase-signal")  # one row a quality, read twice
     w = Window.orderBy(F.desc("mapq")).rowsBetween(Window.unboundedPreceding, 0)
-    d = bins(h, "mapq", low, high).join(h, "mapq", "left").fillna(0, ["same", "total"]).select("mapq", F.sum("same").over(w).alias("consistent"), F.sum("total").over(w).alias("total"))
+    grid = by_mapq.sparkSession.range(1).select(F.explode(bins(h, "mapq", low, high)).alias("mapq"))
+    d = grid.join(h, "mapq", "left").fillna(0, ["same", "total"]).select("mapq", F.sum("same").over(w).alias("consistent"), F.sum("total").over(w).alias("total"))
     return d.select("mapq", "consistent", (F.col("total") - F.col("consistent")).alias("inconsistent"), F.round(F.col("consistent") / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 9).alias("ratio"))
 
 

@@ -88,10 +88,9 @@ def contact_signal(first: DataFrame, second: DataFrame, bubbles: DataFrame) -> D
 
 def fold_change(first: DataFrame, second: DataFrame, epsilon: float = 1e-12) -> DataFrame:
     """(a, b, w1, w2, log_ratio) of two contact maps, each weight as a share of its map's sum."""
-    total = lambda d, w: d.agg(F.sum("weight").alias(w))
+    t1, t2 = (d.agg(F.sum("weight").alias("t")).first().t or 1 for d in (first, second))
     j = first.select("a", "b", F.col("weight").alias("w1")).join(second.select("a", "b", F.col("weight").alias("w2")), ["a", "b"], "full").fillna(0, ["w1", "w2"])
-    j = j.join(F.broadcast(total(first, "t1"))).join(F.broadcast(total(second, "t2")))
-    return j.select("a", "b", "w1", "w2", log2_ratio(F.col("w1") / F.col("t1"), F.col("w2") / F.col("t2"), epsilon).alias("log_ratio"))
+    return j.select("a", "b", "w1", "w2", log2_ratio(F.col("w1") / t1, F.col("w2") / t2, epsilon).alias("log_ratio"))
 
 
 def edge_relations(contacts: DataFrame, parts: DataFrame) -> DataFrame:
