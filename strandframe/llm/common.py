@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandframe.sources.shared import discard, fresh_path, shared_dir, stash
 
-__all__ = ["WordCachedEncoder", "discard", "encoder", "fresh_path", "renamed", "shared_dir", "slices", "stash", "table"]
+__all__ = ["WordCachedEncoder", "discard", "encoder", "forget_encoders", "fresh_path", "renamed", "shared_dir", "slices", "stash", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,3 +198,8 @@ def encoder(path: str, drops_space: bool, most: int = 1_500_000) -> WordCachedEn
     if key not in _ENCODERS:
         _ENCODERS[key] = WordCachedEncoder(path, drops_space, most)
     return _ENCODERS[key]
+
+
+def forget_encoders() -> None:
+    """Give an encoder's memory back. Python workers outlive their tasks, so functions that need none call this first."""
+    _ENCODERS.clear()

@@ -11,9 +11,9 @@ window's least edit distance there, in characters or in words. A document is con
 any of its windows lies within a budget.
 
 The items are the query set: they are broadcast in blocks of about ``BLOCK_BYTES`` of text, and each
-block meets every document, whole, where it is read. Nothing is shuffled. A block's automaton is built once
-in a Python worker; it is bounded by the block, and so is what one pass over the documents can hold, so
-their number of passes grows with the items.
+block meets every document, whole, where it is read. Nothing is shuffled. A block's automaton is built in
+each task and leaves with it, since Python workers outlive their tasks and would each keep one; it is bounded
+by the block, so the number of passes over the documents grows with the items.
 
 Where a script has no blanks between words (Chinese, Japanese, Thai and others), every letter is a word.
 
@@ -26,7 +26,6 @@ names.
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import renamed, slices, table
+from strandframe.llm.common import forget_encoders, renamed, slices, table
 
 WINDOW, STRIDE, MIN_WORDS, RATE = 13, 1, 6, 0.06
 LONG, LONG_STRIDE = 20, 10
@@ -199,17 +198,6 @@ class Matcher:
                 note(w, distance, blanks[stop - 1])
 
 
-_BUILT: dict[str, Matcher] = {}
-
-
-def matcher_of(name: str, items: list[tuple[int, str]]) -> Matcher:
-    """The automaton of the block of that name; a worker keeps the last one."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Matcher(items)
-    return _BUILT[name]
-
-
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items, a bounded block at a time."""
     rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
@@ -225,10 +213,11 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
     sc, parts = docs.sparkSession.sparkContext, []
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for block in blocks(items, block_bytes):
-        shared, name = sc.broadcast(block), uuid.uuid4().hex
+        shared = sc.broadcast(block)
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(name, shared.value)
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget_encoders()
+            matcher = Matcher(shared.value)
             for batch in slices(batches, "text"):
                 out = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.find(t)]
                 if out:
@@ -244,10 +233,11 @@ def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     out, names = renamed(docs)
     schema, text = out.schema, names["text"]
     for block in blocks(items, block_bytes):
-        shared, name = sc.broadcast(block), uuid.uuid4().hex
+        shared = sc.broadcast(block)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(name, shared.value)
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget_encoders()
+            matcher = Matcher(shared.value)
             for batch in slices(batches, text):
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import renamed, slices, table
+from strandframe.llm.common import forget_encoders, renamed, slices, table
 
 BUCKETS, GRAMS, SMOOTHING = 1 << 15, (1, 2, 3, 4), 0.5
 #: Documents of each language that are fitted on, about.
@@ -211,6 +211,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         m = shared.value
         for batch in slices(batches, "text"):
             found = m.predict(batch.column("text").to_pylist())
@@ -226,6 +227,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame
     text = name["text"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         m = shared.value
         for batch in slices(batches, text):
             found = m.predict(batch.column(text).to_pylist())

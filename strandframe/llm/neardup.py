@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import discard, renamed, slices, stash, table
+from strandframe.llm.common import discard, forget_encoders, renamed, slices, stash, table
 from strandframe.operators.components import connected_components
 
 WORDS = 5
@@ -157,6 +157,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def features(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in slices(batches, "text"):
             n, digest, bands, marks, sketch = [], [], [], [], []
             for text in batch.column("text").to_pylist():
