@@ -45,7 +45,7 @@ SAMPLES, BITS = BANDS * ROWS, 1024
 #: Most bits in which sketches of linked texts may differ: similarity 0.75 gives about 60, and 112 lies more than five deviations away.
 ODD_LIMIT = 112
 #: Members of a block; a task compares two blocks at a time.
-BLOCK = 512
+BLOCK = 256
 #: Pivot rounds beyond the first, for buckets with more than a block of members outside their largest component.
 ROUNDS = 4
 #: A text is confirmed against so many others at most in one group of a join.
