@@ -1,10 +1,11 @@
 """Scores of a two-way partition of contact-graph nodes, and the search for a good one.
 
 The search keeps, per connected alt component, one sign: the two sides of a component are opposite
-phases, so the score is a quadratic form over signs and a flip's gain is known in advance. Samples run
-as independent groups of ``applyInPandas``, each with a seed of its own; the graph of one search is
-given to every sample, so it must fit a task (as it must fit one machine in any tool of this kind); its size is
-checked before it is taken to the driver, and a larger one is refused.
+phases, so the score is a quadratic form over signs and a flip's gain is known in advance. Samples are
+independent, each with a seed of its own. Parts of the graph that no contact joins are searched apart, in tasks that
+are given one part's contacts; the driver sees none. A part must fit a task (as a graph must fit one machine in any
+tool of this kind); its size is checked, and a larger one is refused. Searches with sides left out and those over
+bubbles still take their whole graph, checked too, to the driver and to every sample.
 """
 
 from __future__ import annotations
@@ -13,12 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.components import connected_components
+from strandframe.sources.shared import discard, numbered, stash
 
-#: Rows of a search's graph, alternatives or votes that are taken to the driver and to every sample, at most.
+#: Rows of one part of a search's graph, or of what is taken to the driver, at most.
 MOST_ROWS = 20_000_000
+#: Components of fewer contacts are searched several at a time, in parts of about so many.
+PART = 100_000
+#: Visits that a search compares at once.
+VISITS = 512
 
 
 def held(df: DataFrame, what: str, most: int | None = None) -> pd.DataFrame:
@@ -90,62 +98,141 @@ def orientation_votes(samples: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def search(edges: np.ndarray, weights: np.ndarray, unit: np.ndarray, sign: np.ndarray, iterations: int, seed: int) -> tuple[np.ndarray, float]:
-    """Best partition (-1, 1) of ``len(unit)`` nodes; ``unit``: alt component of each node, ``sign``: its side."""
+    """Best partition (-1, 1) of ``len(unit)`` nodes; ``unit``: alt component of each node, ``sign``: its side.
+
+    ``f`` holds every unit's field. A flip changes only its neighbours' fields, so a visit that flips nothing costs a
+    comparison, and runs of them are compared at once; the order of visits and the decisions are those of one after another.
+    """
     rng, k = np.random.default_rng(seed), int(unit.max()) + 1 if len(unit) else 0
     a, b = unit[edges[:, 0]], unit[edges[:, 1]]
     w = weights * sign[edges[:, 0]] * sign[edges[:, 1]]
     keep = a != b
     fixed = float(w[~keep].sum())
-    src, dst, val = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]]), np.concatenate([w[keep], w[keep]])
-    order = np.argsort(src, kind="stable")
-    dst, val, start = dst[order], val[order], np.searchsorted(src[order], np.arange(k + 1))
+    pair, at = np.unique(np.concatenate([a[keep] * k + b[keep], b[keep] * k + a[keep]]), return_inverse=True)
+    val = np.bincount(at, np.concatenate([w[keep], w[keep]]), len(pair))
+    del at
+    src, dst = pair // max(k, 1), pair % max(k, 1)
+    start = np.searchsorted(src, np.arange(k + 1))
     x = rng.choice([-1.0, 1.0], size=k)
-    field = lambda u: float((val[start[u] : start[u + 1]] * x[dst[start[u] : start[u + 1]]]).sum())
-    best, best_x = -np.inf, x.copy()
+    if not len(pair):
+        return x[unit] * sign, fixed
+    fields = lambda: np.bincount(src, val * x[dst], k)
+
+    def flip(u: int) -> None:
+        x[u] = -x[u]
+        f[dst[start[u] : start[u + 1]]] += 2 * x[u] * val[start[u] : start[u + 1]]
+
+    f = fields()
+    best, best_x, best_f = -np.inf, x.copy(), f.copy()
     for _ in range(iterations):
         for u in rng.integers(0, k, size=k // 30 + 1):
-            x[u] = rng.choice([-1.0, 1.0])
-        for u in rng.integers(0, k, size=3 * k):
-            if x[u] * field(u) < 0:
-                x[u] = -x[u]
-        total = sum(x[u] * field(u) for u in range(k)) / 2
+            if rng.choice([-1.0, 1.0]) != x[u]:
+                flip(u)
+        visits, i = rng.integers(0, k, size=3 * k), 0
+        while i < len(visits):
+            run = visits[i : i + VISITS]
+            wrong = x[run] * f[run] < 0
+            j = int(wrong.argmax())
+            if wrong[j]:
+                flip(run[j])
+                i += j + 1
+            else:
+                i += VISITS
+        total = float((x * f).sum()) / 2
         if total > best:
-            best, best_x = total, x.copy()
+            f = fields()  # no rounding of weights with fractions adds up
+            best, best_x, best_f = total, x.copy(), f.copy()
         else:
-            x = best_x.copy()
+            x, f = best_x.copy(), best_f.copy()
     return best_x[unit] * sign, best + fixed
 
 
-def sample_partitions(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
-    """(sample, node, partition, score) of independent searches; ``alts(node, component, side)``."""
+def _units(contacts: DataFrame, alts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Nodes with a contact (node, unit, sign), contacts of units (a, b, w), a <= b, and the paths of both tables.
+
+    A unit is an alt component, or a node without one; units are numbered by their smallest node. Every unit has a row
+    with itself, which holds the contacts between its own nodes; ``w`` is positive where both signs should be equal.
+    """
     spark = contacts.sparkSession
-    graph = held(contacts.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "contacts")
-    units = held(alts, "alternatives")
-    shared = spark.sparkContext.broadcast((graph, units))
+    graph, graph_path = stash(contacts.where("a <> b").groupBy("a", "b").agg(F.sum("weight").cast("double").alias("weight")), "search-contacts")
+    side = alts.select("node", "component", F.when(F.col("side") == 0, 1.0).otherwise(-1.0).alias("sign")).dropDuplicates(["node"])
+    nodes = graph.select(F.col("a").alias("node")).unionAll(graph.select("b")).distinct().join(side, "node", "left")
+    alone = F.when(F.col("sign").isNull(), F.col("node"))
+    named, named_path = stash(nodes.withColumn("name", F.min("node").over(Window.partitionBy("component", alone))).select("node", "name", F.coalesce("sign", F.lit(1.0)).alias("sign")), "search-names")
+    places = numbered(named.select("name").distinct(), "unit", 0, "name")
+    members, members_path = stash(named.join(places, "name").select("node", "unit", "sign"), "search-nodes")
+    end = lambda c: members.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}"), F.col("sign").alias(f"s{c}"))
+    e = graph.join(end("a"), "a").join(end("b"), "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"), (F.col("weight") * F.col("sa") * F.col("sb")).alias("w"))
+    own = members.select(F.col("unit").alias("a"), F.col("unit").alias("b"), F.lit(0.0).alias("w"))
+    edges, path = stash(e.unionAll(own).groupBy("a", "b").agg(F.sum("w").alias("w")), "search-edges")
+    discard(spark, graph_path, named_path)
+    return members, edges, [members_path, path]
+
+
+def _found(contacts: DataFrame, alts: DataFrame, samples: int, iterations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(part, sample, unit, sign, score) of every sample's search in every part, and the nodes of the units.
+
+    No contact joins two parts: a part is a connected component of the units, or several small ones. Its contacts come
+    together in a task, which searches for a share of the samples; large parts are given to several tasks.
+    """
+    spark = contacts.sparkSession
+    members, edges, paths = _units(contacts, alts)
+    labels = connected_components(edges.select("a", "b")).select(F.col("node").alias("a"), "component")
+    sizes, sizes_path = stash(edges.join(labels, "a").groupBy("component").agg(F.count("*").alias("n")), "search-sizes")
+    total, most, small = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") < PART, F.col("n"))), F.lit(0))).first()
+    if most > MOST_ROWS:
+        raise ValueError(f"contacts of {most} rows between units that hang together do not fit one search; the most are {MOST_ROWS}")
+    cores, bins = spark.sparkContext.defaultParallelism, -(-small // PART) or 1
+    part = F.when(F.col("n") < PART, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
+    sized = sizes.withColumn("part", part).withColumn("n", F.sum("n").over(Window.partitionBy("part")))
+    sized = sized.select("component", "part", F.least(F.lit(samples), F.ceil(F.lit(cores) * F.col("n") / F.lit(max(total, 1)))).cast("long").alias("tasks"))
+    rows = edges.join(labels.join(sized, "component").drop("component"), "a").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    rows = rows.select("part", "task", "tasks", "a", "b", "w")
+
+    def searched(part: int, task: int, tasks: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b, w = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        names = np.sort(a[a == b])
+        e, k = np.stack([np.searchsorted(names, a), np.searchsorted(names, b)], 1), len(names)
+        for s in range(task, samples, tasks):
+            signs, score = search(e, w, np.arange(k), np.ones(k), iterations, seed + s)
+            yield pa.RecordBatch.from_pydict({"part": np.full(k, part), "sample": np.full(k, s), "unit": names, "sign": signs, "score": np.full(k, score)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            cuts = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(c[0])], strict=True):
+                if low == high:
+                    continue
+                here = tuple(int(x[low]) for x in c[:3])
+                if held and here != now:
+                    yield from searched(*now, held)
+                now = here
+                held.append(tuple(x[low:high] for x in c[3:]))
+        if held:
+            yield from searched(*now, held)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    dealt = rows.repartition(n, "part", "task").sortWithinPartitions("part", "task")
+    found, _ = stash(dealt.mapInArrow(run, "part long, sample long, unit long, sign double, score double"), "search-found")
+    discard(spark, sizes_path, *paths[1:])
+    return found, members
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, u = shared.value
-        names = sorted({*g["a"], *g["b"]})
-        at = {n: i for i, n in enumerate(names)}
-        side = dict(zip(u["node"], zip(u["component"], u["side"], strict=True), strict=True))
-        units_ = {}
-        unit = np.array([units_.setdefault(side[n][0] if n in side else ("single", n), len(units_)) for n in names])
-        sign = np.array([1.0 if n not in side or side[n][1] == 0 else -1.0 for n in names])
-        edges = np.array([[at[x], at[y]] for x, y in zip(g["a"], g["b"], strict=True)]).reshape(-1, 2)
-        for pdf in it:
-            for s in pdf["sample"]:
-                part, score = search(edges, g["weight"].to_numpy(dtype=float), unit, sign, iterations, seed + int(s))
-                yield pd.DataFrame({"sample": int(s), "node": names, "partition": part.astype(int), "score": score})
 
-    node = contacts.schema["a"].dataType.simpleString()
-    return spark.range(samples).withColumnRenamed("id", "sample").repartition(min(samples, 64), "sample").mapInPandas(run, f"sample long, node {node}, partition int, score double")
+def sample_partitions(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
+    """(sample, node, partition, score) of independent searches, the score over the whole graph; ``alts(node, component, side)``."""
+    found, members = _found(contacts, alts, samples, iterations, seed)
+    scores = found.groupBy("sample", "part").agg(F.first("score").alias("score")).groupBy("sample").agg(F.sum("score").alias("score"))
+    return found.drop("score").join(members.withColumnRenamed("sign", "side"), "unit").join(F.broadcast(scores), "sample").select("sample", "node", (F.col("sign") * F.col("side")).cast("int").alias("partition"), "score")
 
 
 def phase(contacts: DataFrame, alts: DataFrame, samples: int = 30, iterations: int = 200, seed: int = 0) -> DataFrame:
-    """(node, partition) of the best sample; the first of equals."""
-    s = sample_partitions(contacts, alts, samples, iterations, seed).persist()
-    best = s.groupBy("sample").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "sample").limit(1)
-    return s.join(best.select("sample"), "sample").select("node", "partition")
+    """(node, partition) of the best sample, the first of equals; parts of the graph that no contact joins have their own."""
+    found, members = _found(contacts, alts, samples, iterations, seed)
+    best = found.groupBy("part", "sample").agg(F.first("score").alias("score")).groupBy("part").agg(F.min(F.struct(-F.col("score"), F.col("sample")))["sample"].alias("sample"))
+    return found.join(best, ["part", "sample"]).join(members.withColumnRenamed("sign", "side"), "unit").select("node", (F.col("sign") * F.col("side")).cast("int").alias("partition"))
 
 
 def ordered_votes(votes: DataFrame, strength: DataFrame, samples: int, top_share: float = 1.0) -> DataFrame:

@@ -35,9 +35,9 @@ def phase_contacts(alignments: DataFrame, min_mapq: int = 1, samples: int = 30,
 
     No contact left between such nodes gives no rows.
     """
-    contacts = C.contact_map(C.usable(alignments, min_mapq))
+    contacts, _ = stash(C.contact_map(C.usable(alignments, min_mapq)), "contacts")
     nodes = contacts.select(F.col("a").alias("node")).union(contacts.select("b")).distinct()
-    components = alt_components(named_alts(nodes) if alts is None else alts)
+    components, _ = stash(alt_components(named_alts(nodes) if alts is None else alts), "alternatives")
     has = lambda x: components.select(F.col("node").alias(x))
     kept = contacts.where("a <> b").join(has("a"), "a", "left_semi").join(has("b"), "b", "left_semi")
     same = components.select(F.col("node").alias("a"), F.col("component").alias("ca")), components.select(F.col("node").alias("b"), F.col("component").alias("cb"))

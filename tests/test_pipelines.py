@@ -184,6 +184,28 @@ def test_graphs_that_do_not_fit_are_refused(spark, monkeypatch):
         phasing.sample_partitions(c, spark.createDataFrame([], "node long, component long, side int"))
 
 
+def test_search_by_parts(spark, monkeypatch):
+    """A graph of more rows than a search may hold, none of which comes to the driver, is searched where its parts fit."""
+    monkeypatch.setattr(phasing, "MOST_ROWS", 30)
+    monkeypatch.setattr(phasing, "PART", 2)
+    monkeypatch.delattr(type(spark.range(1)), "toPandas")
+    rng, side, rows = random.Random(4), {}, []
+    for part in range(5):
+        names = [f"{part}.{u}.{p}" for u in range(4) for p in (0, 1)]
+        side |= {n: (-1) ** (int(n[-1]) + (rng.random() < 0.5 if n[-1] == "0" else 0)) for n in names}
+        side |= {f"{n[:-1]}1": -side[n] for n in names if n[-1] == "0"}
+        rows += [(a, b, 9 if side[a] == side[b] else 1) for a in names for b in names if a < b and a[:-1] != b[:-1]]
+    c = spark.createDataFrame([*rows, ("6.0.0", "6.0.1", 5)], "a string, b string, weight long")
+    alts = spark.createDataFrame([(n, n[:-2], int(n[-1])) for n in [*side, "6.0.0", "6.0.1"]], "node string, component string, side int")
+    got = {r.node: r.partition for r in phasing.phase(c, alts, 3, 20).collect()}
+    assert set(got) == {*side, "6.0.0", "6.0.1"} and got["6.0.0"] == -got["6.0.1"]
+    for part in range(5):
+        assert len({got[n] * side[n] for n in side if n[0] == str(part)}) == 1
+    best = sum(w if side[a] == side[b] else -w for a, b, w in rows) - 5
+    samples = phasing.sample_partitions(c, alts, 3, 20).collect()
+    assert len(samples) == 3 * len(got) and max(r.score for r in samples) == best
+
+
 def test_bubble_phasing_by_names(spark):
     rows = []
     for r in range(60):
