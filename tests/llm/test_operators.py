@@ -557,6 +557,19 @@ def test_myers_is_the_edit_distance():
             assert hit[0] == distance(p, t)
 
 
+def test_only_flawed_texts_are_joined_by_key(spark, monkeypatch):
+    rows = [(i, f"shared line of the host\n{' '.join(f'w{i}x{j}' for j in range(30))}", "h") for i in range(40)]
+    rows += [(100 + i, " ".join(f"v{i}x{j}" for j in range(30)), "h") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, seen, join = sorted(map(tuple, quality.accepted(d).collect())), [], quality.with_flaws
+    monkeypatch.setattr(quality, "FEW", 0)
+    monkeypatch.setattr(quality, "with_flaws", lambda rows, *more: seen.append(rows.count()) or join(rows, *more))
+    assert sorted(map(tuple, quality.accepted(d).collect())) == want and len(want) == 440
+    assert len(seen) == 1 and 40 <= seen[0] < 50
+    monkeypatch.setattr(quality, "MARKS", 1)  # a full table of marks lets everything travel, with the same result
+    assert sorted(map(tuple, quality.accepted(d).collect())) == want
+
+
 def brute_quality(text):
     t = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
