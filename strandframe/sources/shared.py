@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All tables stashed inside go at its end, and so do the shuffle files of work that nothing refers to any more."""
+    path = fresh_path(spark, "scratch")
+    before = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        discard(spark, path)
+        gc.collect()  # a frame that Python still holds holds its shuffle files
+        spark._jvm.System.gc()
 
 
 def stash(df: DataFrame, what: str) -> tuple[DataFrame, str]:
