@@ -120,10 +120,14 @@ def chain_rows(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(node, color): which haplotypes' paths a node is on, and whether it ends one; ``paths(path, phase, step, node)``."""
     ends = paths.groupBy("path").agg(F.max("step").alias("last"))
     at = paths.join(ends, "path").groupBy("node").agg(*[F.max(F.col("phase") == p).alias(f"p{p}") for p in (0, 1)], F.max((F.col("step") == 0) | (F.col("step") == F.col("last"))).alias("cap"))
-    j = nodes.select("node").join(at, "node", "left")
+    return chain_colours(nodes.select("node").join(at, "node", "left"))
+
+
+def chain_colours(places: DataFrame) -> DataFrame:
+    """(node, color) of ``places(node, p0, p1, cap)``: the phases whose paths hold a node, and whether it ends one; null on no path."""
     both = F.col("p0") & F.col("p1")
     colour = F.when(F.col("p0").isNull(), "#AAAAAA").when(both & F.col("cap"), "Purple").when(both, "Plum").when(F.col("p0"), "Cornflower Blue").otherwise("Tomato")
-    return j.select("node", colour.alias("color"))
+    return places.select("node", colour.alias("color"))
 
 
 def intersection_rows(sets: DataFrame) -> DataFrame:
