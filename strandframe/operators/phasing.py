@@ -3,7 +3,7 @@
 The search keeps, per connected alt component, one sign: the two sides of a component are opposite
 phases, so the score is a quadratic form over signs and a flip's gain is known in advance. Samples are
 independent, each with a seed of its own. Parts of the graph that no contact joins are searched apart, in tasks that
-are given one part's contacts; the driver sees none. A part must fit a task (as a graph must fit one machine in any
+are given one part's contacts, packed and in order; the driver sees none. A part must fit a task (as a graph must fit one machine in any
 tool of this kind); its size is checked, and a larger one is refused. Searches with sides left out and those over
 bubbles still take their whole graph, checked too, to the driver and to every sample.
 """
@@ -27,6 +27,8 @@ MOST_ROWS = 20_000_000
 PART = 100_000
 #: Visits that a search compares at once.
 VISITS = 512
+#: Contacts of units, about, that are summed or renamed at once.
+CONTACTS = 1_000_000
 
 
 def held(df: DataFrame, what: str, most: int | None = None) -> pd.DataFrame:
@@ -97,32 +99,37 @@ def orientation_votes(samples: DataFrame, contacts: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.sum((F.col("pa") != F.col("pb")).cast("int")).alias("n_different"), F.sum((F.col("pa") == F.col("pb")).cast("int")).alias("n_same"))
 
 
-def search(edges: np.ndarray, weights: np.ndarray, unit: np.ndarray, sign: np.ndarray, iterations: int, seed: int) -> tuple[np.ndarray, float]:
-    """Best partition (-1, 1) of ``len(unit)`` nodes; ``unit``: alt component of each node, ``sign``: its side.
+def narrowed(w: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest kind that holds them, others as they are."""
+    if len(w) and np.abs(w).max() < 2**31 and (w == np.floor(w)).all():
+        return w.astype(np.min_scalar_type(-1 - int(np.abs(w).max())))
+    return w.astype(float)
+
+
+def climb(start: np.ndarray, dst: np.ndarray, val: np.ndarray, iterations: int, seed: int) -> tuple[np.ndarray, float]:
+    """Best signs (-1, 1) of units, and their score; the contacts of unit u are ``dst`` and ``val`` from ``start[u]`` to ``start[u + 1]``, in both directions.
 
     ``f`` holds every unit's field. A flip changes only its neighbours' fields, so a visit that flips nothing costs a
     comparison, and runs of them are compared at once; the order of visits and the decisions are those of one after another.
     """
-    rng, k = np.random.default_rng(seed), int(unit.max()) + 1 if len(unit) else 0
-    a, b = unit[edges[:, 0]], unit[edges[:, 1]]
-    w = weights * sign[edges[:, 0]] * sign[edges[:, 1]]
-    keep = a != b
-    fixed = float(w[~keep].sum())
-    pair, at = np.unique(np.concatenate([a[keep] * k + b[keep], b[keep] * k + a[keep]]), return_inverse=True)
-    val = np.bincount(at, np.concatenate([w[keep], w[keep]]), len(pair))
-    del at
-    src, dst = pair // max(k, 1), pair % max(k, 1)
-    start = np.searchsorted(src, np.arange(k + 1))
+    rng, k = np.random.default_rng(seed), len(start) - 1
     x = rng.choice([-1.0, 1.0], size=k)
-    if not len(pair):
-        return x[unit] * sign, fixed
-    fields = lambda: np.bincount(src, val * x[dst], k)
+    if not len(dst):
+        return x, 0.0
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(dst), CONTACTS)), k))
+
+    def fields() -> np.ndarray:
+        out = np.zeros(k)
+        for low, high in zip([0, *cuts], cuts, strict=False):
+            here = slice(start[low], start[high])
+            out[low:high] = np.bincount(np.repeat(np.arange(high - low), np.diff(start[low : high + 1])), val[here] * x[dst[here]], high - low)
+        return out
 
     def flip(u: int) -> None:
         x[u] = -x[u]
         f[dst[start[u] : start[u + 1]]] += 2 * x[u] * val[start[u] : start[u + 1]]
 
-    f = fields()
+    f, whole = fields(), val.dtype.kind == "i"
     best, best_x, best_f = -np.inf, x.copy(), f.copy()
     for _ in range(iterations):
         for u in rng.integers(0, k, size=k // 30 + 1):
@@ -140,11 +147,67 @@ def search(edges: np.ndarray, weights: np.ndarray, unit: np.ndarray, sign: np.nd
                 i += VISITS
         total = float((x * f).sum()) / 2
         if total > best:
-            f = fields()  # no rounding of weights with fractions adds up
+            f = f if whole else fields()  # no rounding of weights with fractions adds up
             best, best_x, best_f = total, x.copy(), f.copy()
         else:
             x, f = best_x.copy(), best_f.copy()
-    return best_x[unit] * sign, best + fixed
+    return best_x, best
+
+
+def search(edges: np.ndarray, weights: np.ndarray, unit: np.ndarray, sign: np.ndarray, iterations: int, seed: int) -> tuple[np.ndarray, float]:
+    """Best partition (-1, 1) of ``len(unit)`` nodes; ``unit``: alt component of each node, ``sign``: its side."""
+    k = int(unit.max()) + 1 if len(unit) else 0
+    a, b = unit[edges[:, 0]], unit[edges[:, 1]]
+    w = weights * sign[edges[:, 0]] * sign[edges[:, 1]]
+    keep = a != b
+    pair, at = np.unique(np.concatenate([a[keep] * k + b[keep], b[keep] * k + a[keep]]), return_inverse=True)
+    val = narrowed(np.bincount(at, np.concatenate([w[keep], w[keep]]), len(pair)))
+    x, best = climb(np.searchsorted(pair // max(k, 1), np.arange(k + 1)), pair % max(k, 1), val, iterations, seed)
+    return x[unit] * sign, best + float(w[~keep].sum())
+
+
+PACKED = "part long, a0 long, b0 long, a binary, n binary, b binary, w binary, kinds string"
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, range, a, b, w) in order as rows of whole batches: the units ``a``, their numbers of contacts, and these, each as an array of its kind."""
+    for batch in batches:
+        part, span, a, b, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [*np.flatnonzero(np.diff(part, prepend=part[:1] - 1) | np.diff(span, prepend=span[:1])), len(part)]
+        out = []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            first = low + np.flatnonzero(np.diff(a[low:high], prepend=a[low] - 1))
+            kinds = b[low:high].astype(np.int32 if b[low:high].max() < 2**31 else np.int64), narrowed(w[low:high])
+            out.append((part[low], a[low], b[low], a[first].tobytes(), np.diff(np.append(first, high)).tobytes(), *(x.tobytes() for x in kinds), " ".join(x.dtype.str for x in kinds)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()] * 4 + [pa.string()], strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+class Part:
+    """Contacts of one part, filled from packed rows in the order of their units; ``room`` rows at most, as small as their kinds allow."""
+
+    def __init__(self, room: int) -> None:
+        self.dst, self.val, self.at, self.own = np.empty(room, np.int32), np.empty(room, np.int8), 0, 0.0
+        self.units, self.counts = [], []
+
+    def add(self, a: np.ndarray, n: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        other = np.repeat(a, n) != b
+        self.own += float(w[~other].sum(dtype=float))
+        self.units.append(a.copy())
+        self.counts.append(np.add.reduceat(other, np.cumsum(n) - n, dtype=np.int64))
+        b, w = b[other], w[other]
+        self.dst, self.val = (x if (kind := np.promote_types(x.dtype, y.dtype)) == x.dtype else x.astype(kind) for x, y in ((self.dst, b), (self.val, w)))
+        self.dst[self.at : self.at + len(b)], self.val[self.at : self.at + len(b)] = b, w
+        self.at += len(b)
+
+    def ended(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of units, and their contacts as ``climb`` takes them."""
+        units, counts = np.concatenate(self.units), np.concatenate(self.counts)
+        first = np.flatnonzero(np.diff(units, prepend=units[0] - 1))
+        names, dst = units[first], self.dst[: self.at]
+        for i in range(0, len(dst), CONTACTS):
+            dst[i : i + CONTACTS] = np.searchsorted(names, dst[i : i + CONTACTS])
+        return names, np.append(0, np.cumsum(np.add.reduceat(counts, first))), dst, self.val[: self.at]
 
 
 def _units(contacts: DataFrame, alts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -172,52 +235,59 @@ def _units(contacts: DataFrame, alts: DataFrame) -> tuple[DataFrame, DataFrame,
 def _found(contacts: DataFrame, alts: DataFrame, samples: int, iterations: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(part, sample, unit, sign, score) of every sample's search in every part, and the nodes of the units.
 
-    No contact joins two parts: a part is a connected component of the units, or several small ones. Its contacts come
-    together in a task, which searches for a share of the samples; large parts are given to several tasks.
+    No contact joins two parts: a part is a connected component of the units, or several small ones. Its contacts are
+    put in order and packed in many tasks, and come together in one, which searches for a share of the samples; large
+    parts are given to several tasks. What such a task holds is 5 bytes a contact and direction if weights are small whole numbers.
     """
     spark = contacts.sparkSession
     members, edges, paths = _units(contacts, alts)
     labels = connected_components(edges.select("a", "b")).select(F.col("node").alias("a"), "component")
-    sizes, sizes_path = stash(edges.join(labels, "a").groupBy("component").agg(F.count("*").alias("n")), "search-sizes")
-    total, most, small = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") < PART, F.col("n"))), F.lit(0))).first()
+    sizes, sizes_path = stash(edges.join(labels, "a").groupBy("component").agg(F.count("*").alias("n"), F.max("a").alias("last")), "search-sizes")
+    total, most, small, last = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") < PART, F.col("n"))), F.lit(0)), F.coalesce(F.max("last"), F.lit(0))).first()
     if most > MOST_ROWS:
         raise ValueError(f"contacts of {most} rows between units that hang together do not fit one search; the most are {MOST_ROWS}")
     cores, bins = spark.sparkContext.defaultParallelism, -(-small // PART) or 1
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
     part = F.when(F.col("n") < PART, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
-    sized = sizes.withColumn("part", part).withColumn("n", F.sum("n").over(Window.partitionBy("part")))
-    sized = sized.select("component", "part", F.least(F.lit(samples), F.ceil(F.lit(cores) * F.col("n") / F.lit(max(total, 1)))).cast("long").alias("tasks"))
-    rows = edges.join(labels.join(sized, "component").drop("component"), "a").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
-    rows = rows.select("part", "task", "tasks", "a", "b", "w")
-
-    def searched(part: int, task: int, tasks: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        a, b, w = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        names = np.sort(a[a == b])
-        e, k = np.stack([np.searchsorted(names, a), np.searchsorted(names, b)], 1), len(names)
+    named = labels.join(sizes.select("component", part.alias("part")), "component").select("a", "part")
+    tasks = F.least(F.lit(samples), F.ceil(F.lit(cores) * F.col("n") / F.lit(max(total, 1)))).cast("long")
+    dealt = sizes.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).select("part", (2 * F.col("n")).alias("room"), tasks.alias("tasks"))
+    dealt = dealt.withColumn("before", F.sum("tasks").over(Window.orderBy("part")) - F.col("tasks"))  # a row a part
+    dealt, dealt_path = stash(dealt, "search-parts")
+    slots = dealt.agg(F.coalesce(F.sum("tasks"), F.lit(1))).first()[0]
+
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    rows = edges.join(named, "a").select("part", F.explode(both).alias("x"), "w").select("part", F.expr(f"x.a div {last // (4 * n) + 1}").alias("range"), "x.a", "x.b", "w")
+    blocks = rows.repartition(n, "part", "range").sortWithinPartitions("part", "range", "a", "b").mapInArrow(packed, PACKED)
+    blocks = blocks.join(F.broadcast(dealt), "part").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    blocks = blocks.repartitionById(int(min(slots, n)), ((F.col("before") + F.col("task")) % F.lit(min(slots, n))).cast("int")).sortWithinPartitions("part", "task", "a0", "b0")
+
+    def searched(part: int, task: int, tasks: int, held: Part) -> Iterator[pa.RecordBatch]:
+        names, *graph = held.ended()
+        k = len(names)
         for s in range(task, samples, tasks):
-            signs, score = search(e, w, np.arange(k), np.ones(k), iterations, seed + s)
-            yield pa.RecordBatch.from_pydict({"part": np.full(k, part), "sample": np.full(k, s), "unit": names, "sign": signs, "score": np.full(k, score)})
+            signs, score = climb(*graph, iterations, seed + s)
+            yield pa.RecordBatch.from_pydict({"part": np.full(k, part), "sample": np.full(k, s), "unit": names, "sign": signs, "score": np.full(k, score + held.own)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, None
         for batch in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            cuts = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(c[0])], strict=True):
-                if low == high:
-                    continue
-                here = tuple(int(x[low]) for x in c[:3])
-                if held and here != now:
-                    yield from searched(*now, held)
-                now = here
-                held.append(tuple(x[low:high] for x in c[3:]))
-        if held:
+            c = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                here = tuple(c[x][i].as_py() for x in ("part", "task", "tasks"))
+                if here != now:
+                    if now:
+                        yield from searched(*now, held)
+                    now, held = here, None
+                    held = Part(c["room"][i].as_py())
+                kinds = [np.int64, np.int64, *c["kinds"][i].as_py().split()]
+                held.add(*(np.frombuffer(c[x][i].as_buffer(), kind) for x, kind in zip("anbw", kinds, strict=True)))
+        if now:
             yield from searched(*now, held)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
-    dealt = rows.repartition(n, "part", "task").sortWithinPartitions("part", "task")
-    found, _ = stash(dealt.mapInArrow(run, "part long, sample long, unit long, sign double, score double"), "search-found")
-    discard(spark, sizes_path, *paths[1:])
+    found, _ = stash(blocks.select("part", "task", "tasks", "room", "a", "n", "b", "w", "kinds").mapInArrow(run, "part long, sample long, unit long, sign double, score double"), "search-found")
+    discard(spark, sizes_path, dealt_path, *paths[1:])
     return found, members
 
 
