@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandframe.operators import chains, part_chains
 from strandframe.operators import graph as G
+from strandframe.plans import catalogue
 from strandframe.sources import writers
 
 
@@ -68,3 +70,13 @@ def test_a_part_in_two_places_is_an_error():
     row = lambda part: pa.RecordBatch.from_pydict({"part": [part], "node_a": [1], "rev_a": [False], "partition_a": [1], "node_b": [2], "rev_b": [False], "partition_b": [1]})
     with pytest.raises(ValueError, match="order"):
         list(part_chains.places_of(iter([row(2), row(1)])))
+
+
+def test_paths_of_over_a_hundred_steps_are_not_dealt_out(spark, tmp_path):
+    db = duckdb.connect()
+    for name, sql in {"lineitem": "SELECT * REPLACE (row_number() OVER () // 101 * 10 AS l_orderkey) FROM '{}' LIMIT 250", "part": "SELECT * FROM '{}'"}.items():
+        db.execute(f"COPY ({sql.format(f'/root/testdata/sf0.001/{name}.parquet')}) TO '{tmp_path}/{name}.parquet'")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(db.execute(catalogue.ORACLES["chain_csv"]).fetchall())
+    assert catalogue._path_shares(spark, str(tmp_path)) == [] and len(want) > 250
+    assert sorted(map(tuple, catalogue.QUERIES["chain_csv"](spark, str(tmp_path)).select("node", "color").collect())) == want
